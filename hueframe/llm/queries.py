@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, licenses, mixing, packing, quality_rules, token_counts
+from . import chat, language_id, licenses, mixing, near_duplicates, nearest, packing, quality_knn, quality_rules, token_counts
 from .common import table
 
 
@@ -32,6 +32,21 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.license_table(spark))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def quality_held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = quality_held_out()
+    model = quality_knn.fit(docs.where(~held), labels.where(~held))
+    return quality_knn.score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), bpe_path())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -48,11 +63,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mixing, op3_licenses, op6_packing, op7_chat_format, op8_token_counts, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_mixing, op3_licenses, op4_near_duplicates, op5_quality, op6_packing, op7_chat_format, op8_token_counts, op9_nearest, op10_quality_rules)
+}
 
 
 def _mixing_sql() -> str:
