@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .statistics import robust_standardize
+from .storage import kept
 
 
 def standardized(features: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -76,7 +77,7 @@ def kmeans(points: DataFrame, k: int, starts: int = 8, seed: int = 42) -> tuple[
     """Assigned points and inertia of the best of several starts; points (id, x) are passed over, not gathered."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    points = points.persist()
+    points = kept(points)
     best = None
     for s in range(1 if k == 1 else max(starts, 1)):
         found = lloyd(points, seeds(points, k, seed + 1000 * s))

@@ -13,6 +13,7 @@ from ..functions import colour
 from ..functions.lattice import clamp, corners, grid_coords, luma, neutral_boost, prior_strength, shadow_boost
 from . import curves, lattices
 from .binning import MEAN_IN, MEAN_OUT
+from .storage import kept
 
 
 @dataclass(frozen=True)
@@ -138,8 +139,8 @@ def fit_channels(samples: DataFrame, goals: DataFrame, n: int, o: FitOptions, oc
         smooth = F.when(chroma, smooth * o.chroma_ratio).otherwise(smooth)
         prior = F.when(chroma, prior * neutral_boost(*at, o.neutral_k, o.neutral_sigma)).otherwise(prior)
     fixed = ids.join(goals, ["lut_id", "node_id"]).select("lut_id", "node_id", "distance", F.posexplode(F.array("r", "g", "b")).alias("channel", "goal"))
-    fixed = fixed.select("lut_id", "channel", "node_id", smooth.alias("smooth"), prior.alias("prior"), "goal").persist()
-    samples = samples.persist()
+    fixed = kept(fixed.select("lut_id", "channel", "node_id", smooth.alias("smooth"), prior.alias("prior"), "goal"))
+    samples = kept(samples)
     found: DataFrame | None = None
     robust = o.loss == "huber"
     for step in range(1 + (o.rounds if robust else 0)):
@@ -158,7 +159,7 @@ def fit_channels(samples: DataFrame, goals: DataFrame, n: int, o: FitOptions, oc
         none = [F.lit(None).cast("double").alias(c) for c in ("smooth", "prior", "goal", "now")]
         system = pairs.select("lut_id", "channel", F.lit(0).alias("kind"), "i", "j", "v", *none).union(now.select("lut_id", "channel", F.lit(1), F.col("node_id"), F.lit(None).cast("long"), F.lit(None).cast("double"), "smooth", "prior", "goal", "now")).union(sums.select("lut_id", "channel", F.lit(2), "i", F.lit(None).cast("long"), "v", *none))
         solved = system.groupBy("lut_id", "channel").applyInPandas(_solve(n, around, o.delta, robust, found is None), "lut_id string, channel int, node_id long, x double")
-        wide = solved.groupBy("lut_id", "node_id").agg(*(F.max(F.when(F.col("channel") == c, F.col("x"))).alias(k) for c, k in enumerate("rgb"))).persist()
+        wide = kept(solved.groupBy("lut_id", "node_id").agg(*(F.max(F.when(F.col("channel") == c, F.col("x"))).alias(k) for c, k in enumerate("rgb"))))
         if found is not None:
             change = wide.join(found.select("lut_id", "node_id", *(F.col(k).alias(f"o{k}") for k in "rgb")), ["lut_id", "node_id"]).agg(F.sqrt(F.sum(sum(((F.col(k) - F.col(f"o{k}")) * (F.col(k) - F.col(f"o{k}")) for k in "gb"), (F.col("r") - F.col("or")) * (F.col("r") - F.col("or"))))).alias("d"), F.sqrt(F.sum(F.col("r") * F.col("r") + F.col("g") * F.col("g") + F.col("b") * F.col("b"))).alias("s")).first()
             found = wide
@@ -198,7 +199,7 @@ def fit_lattice(samples: DataFrame, options: FitOptions = FitOptions()) -> DataF
     identity where the baseline fails its quality gate.
     """
     o, n = options, options.size
-    samples = samples.select("lut_id", *MEAN_IN, *MEAN_OUT, "alpha")
+    samples = kept(samples.select("lut_id", *MEAN_IN, *MEAN_OUT, "alpha"))
     zero = lambda r, g, b: (F.lit(0.0),) * 3
     if o.prior_model != "identity":
         base = curves.fit_baseline(samples, delta=o.delta)
@@ -214,7 +215,7 @@ def fit_lattice(samples: DataFrame, options: FitOptions = FitOptions()) -> DataF
                 now = lattices.resample(now, at, m)
                 rest = lattices.apply_lattice(samples, now, m, o.kernel, MEAN_IN, on=("lut_id",)).withColumns({c: F.col(c) - F.col(p) for c, p in zip(MEAN_OUT, ("pr", "pg", "pb"))}).drop("pr", "pg", "pb")
                 level = replace(o, smoothness=o.smoothness * o.coarse_scale ** (len(sizes) - 1 - i))
-                now, at = _plus(now, fit_channels(rest, _goal(samples, m, zero), m, level, occupied=m == n)), m
+                now, at = kept(_plus(now, fit_channels(rest, _goal(samples, m, zero), m, level, occupied=m == n))), m
             return lattices.clip_lattice(now)
     return lattices.clip_lattice(fit_channels(samples, _goal(samples, n, lambda r, g, b: (r, g, b)), n, o))
 
@@ -229,7 +230,7 @@ def refine(lattice: DataFrame, samples: DataFrame, options: FitOptions = FitOpti
     for _ in range(rounds):
         out = lattices.apply_lattice(samples.select(keep), lattice, options.size, options.kernel, MEAN_IN, on=("lut_id",))
         error = F.sqrt(sum(((F.col(p) - F.col(t)) * (F.col(p) - F.col(t)) for p, t in zip(("pg", "pb"), MEAN_OUT[1:])), (F.col("pr") - F.col("or_")) * (F.col("pr") - F.col("or_"))))
-        out = out.withColumn("error", error)
+        out = kept(out.withColumn("error", error))
         limit = 2.0 * (out.agg(F.percentile("error", F.lit(0.95))).first()[0] or 0.0)
         if out.where(F.col("error") > limit).isEmpty():
             break

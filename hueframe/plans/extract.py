@@ -14,6 +14,7 @@ from ..functions import transfer
 from ..functions.lattice import clamp
 from ..operators import binning, clustering, fitting, lattices, routing, signatures, statistics
 from ..operators.binning import MEAN_IN, SOURCE, TARGET
+from ..operators.storage import kept
 from ..sources import cube, images, tables
 
 Progress = Callable[[str, float, str], None]
@@ -76,10 +77,10 @@ def image_pairs(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     for f in files:
         images.check_input(f)
     name = F.regexp_replace(F.col("image_id"), r"^file:/+", "/")
-    pixels = images.read_images(spark, files).withColumn("path", name).drop("image_id").join(paths, "path").withColumn("image_id", F.concat_ws("\u0001", "side", "pair_id")).drop("path").persist()
+    pixels = kept(images.read_images(spark, files).withColumn("path", name).drop("image_id").join(paths, "path").withColumn("image_id", F.concat_ws("\u0001", "side", "pair_id")).drop("path"))
     sizes = pixels.groupBy("pair_id", "side").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     least = sizes.groupBy("pair_id").agg(F.min("h").alias("height"), F.min("w").alias("width"))
-    odd = sizes.join(least, "pair_id").where("h <> height OR w <> width").select(F.concat_ws("\u0001", "side", "pair_id").alias("image_id"), "height", "width").persist()
+    odd = kept(sizes.join(least, "pair_id").where("h <> height OR w <> width").select(F.concat_ws("\u0001", "side", "pair_id").alias("image_id"), "height", "width"))
     columns = ["image_id", "y", "x", "r", "g", "b"]
     same = pixels.select(columns).join(odd, "image_id", "left_anti")
     both = same if odd.isEmpty() else same.union(lattices.resize(pixels.select(columns).join(odd, "image_id", "left_semi"), odd).select(columns))
@@ -114,11 +115,11 @@ def _fit(rows: DataFrame, pairs: DataFrame, options: Options, several: bool) ->
         info["shadows_adapted"] = t["adapted"]
     weighted = binning.sample_weights(rows, options.by_frequency, options.min_samples, fit.shadow, over=("pair_id",) if several else ())
     samples = binning.balanced(weighted, pairs, options.balance) if several else weighted
-    samples = samples.withColumn("lut_id", F.lit("master")).persist()
+    samples = kept(samples.withColumn("lut_id", F.lit("master")))
     lattice = fitting.fit_lattice(samples, fit)
     if options.refine_rounds:
         lattice = fitting.refine(lattice, samples, fit, options.refine_rounds)
-    lattice = lattice.persist()
+    lattice = kept(lattice)
     return lattice, lattices.quality_metrics(samples, lattice, fit.size, fit.kernel), samples, info
 
 
@@ -136,17 +137,17 @@ def extract(spark: SparkSession, pixels: DataFrame, options: Options = Options()
     if len(kinds) > 1 and not options.allow_mixed_transfers:
         raise ValueError(f"pairs have several transfer functions: {', '.join(kinds)}")
     step("sampling", 0.0, "gathering bins")
-    rows = binning.bin_pixels(pixels, options.bins, options.min_samples).persist()
+    rows = kept(binning.bin_pixels(pixels, options.bins, options.min_samples))
     counts = pixels.groupBy("pair_id").agg(F.count(F.lit(1)).alias("pixels"))
     weights = pairs.select("pair_id", F.coalesce("weight", F.lit(1.0)).alias("weight")) if pairs is not None else counts.select("pair_id", F.lit(1.0).alias("weight"))
-    counts = counts.join(weights, "pair_id").persist()
+    counts = kept(counts.join(weights, "pair_id"))
     several = counts.count() > 1
     step("solving", 0.0, "fitting")
     lattice, metrics, samples, info = _fit(rows, counts, options, several)
     dropped: list[str] = []
     if several and options.outlier_sigma > 0:
         errors = fitting.pair_errors(samples, lattice, options.fit.size, options.fit.kernel)
-        out = statistics.outlier_pairs(errors, options.outlier_sigma, options.min_pairs).where("outlier").select("pair_id").persist()
+        out = kept(statistics.outlier_pairs(errors, options.outlier_sigma, options.min_pairs).where("outlier").select("pair_id"))
         dropped = sorted(r[0] for r in out.toLocalIterator())
         if dropped:
             lattice, metrics, samples, info = _fit(rows.join(out, "pair_id", "left_anti"), counts.join(out, "pair_id", "left_anti"), options, several)
@@ -179,14 +180,14 @@ def extract_batch(spark: SparkSession, manifest: str, output: str | Path, option
     up to `most_clusters`). Pixels are read and binned once for signatures. With `reports`, a folder, the assignment,
     centroid and metrics reports are written there.
     """
-    rows = tables.read_pairs(spark, manifest).withColumn("pair_id", F.format_string("pair_%05d", "pair_index")).persist()
-    pixels = image_pairs(spark, rows).persist()
+    rows = kept(tables.read_pairs(spark, manifest).withColumn("pair_id", F.format_string("pair_%05d", "pair_index")))
+    pixels = kept(image_pairs(spark, rows))
     results = {"master": extract(spark, pixels, options, output, rows, progress, cancel)}
     if cluster == "none" and reports is None:
         return results
     prepared, _ = shaped(pixels, options, rows)
-    bins = binning.bin_pixels(prepared, options.bins, options.min_samples).persist()
-    marks = signatures.pair_signature(bins).join(signatures.appearance_from_bins(bins), "pair_id").join(rows.select("pair_id", F.col("pair_index").cast("long").alias("id"), "cluster"), "pair_id").persist()
+    bins = kept(binning.bin_pixels(prepared, options.bins, options.min_samples))
+    marks = kept(signatures.pair_signature(bins).join(signatures.appearance_from_bins(bins), "pair_id").join(rows.select("pair_id", F.col("pair_index").cast("long").alias("id"), "cluster"), "pair_id"))
     points = clustering.standardized(marks.select("id", F.col("transform").alias("v")), "id", "v")
     if cluster == "manual":
         named = signatures.dense_ids(marks.select("id", F.coalesce("cluster", F.lit("cluster_01")).alias("label")), "label", "id")
@@ -194,7 +195,7 @@ def extract_batch(spark: SparkSession, manifest: str, output: str | Path, option
         named = clustering.kmeans(points, clusters)[0].select("id", "cluster_id").withColumn("label", F.format_string("cluster_%02d", F.col("cluster_id") + 1))
     else:
         named = (clustering.auto_clusters(points, most_clusters)[0] if cluster == "auto" else points.withColumn("cluster_id", F.lit(0))).select("id", "cluster_id").withColumn("label", F.format_string("cluster_%02d", F.col("cluster_id") + 1))
-    assigned = marks.join(named.select("id", "cluster_id", "label"), "id").persist()
+    assigned = kept(marks.join(named.select("id", "cluster_id", "label"), "id"))
     labels = {r["cluster_id"]: r["label"] for r in assigned.select("cluster_id", "label").distinct().collect()}
     if cluster != "none":
         for label in labels.values():
@@ -225,7 +226,7 @@ def metrics_rows(spark: SparkSession, results: dict[str, Result]) -> DataFrame:
 
 def route_shots(spark: SparkSession, shots: str, centroids: str, output: str | Path | None = None, window: int = 1, penalty: float = 0.0, options: Options = Options()) -> DataFrame:
     """The routing report of a shot manifest against a centroid report: (shot_index, shot_id, cluster_id, cluster_label, lut_path, distance, confidence_margin, frame_count, frames)."""
-    frames = tables.read_shots(spark, shots).persist()
+    frames = kept(tables.read_shots(spark, shots))
     files = sorted({r[0] for r in frames.select("frame_path").distinct().toLocalIterator()})
     for f in files:
         images.check_input(f)
@@ -234,9 +235,9 @@ def route_shots(spark: SparkSession, shots: str, centroids: str, output: str | P
     ready, _ = shaped(binning.sanitize_pixels(rows), options, frames.select(F.col("frame_index").cast("string").alias("pair_id"), "transfer_fn"))
     looks = signatures.appearance_from_pixels(ready).select(F.col("pair_id").cast("int").alias("frame_index"), "appearance").join(frames, "frame_index")
     found = signatures.shot_signatures(looks)
-    order = found.withColumn("first", F.col("shot_index")).withColumn("shot_index", F.row_number().over(Window.orderBy("first")) - 1).persist()
-    cents = tables.read_centroids(spark, centroids).persist()
-    distances = routing.shot_distances(order.select(F.lit("shots").alias("track"), "shot_index", F.col("appearance").alias("vec")), cents).persist()
+    order = kept(found.withColumn("first", F.col("shot_index")).withColumn("shot_index", F.row_number().over(Window.orderBy("first")) - 1))
+    cents = kept(tables.read_centroids(spark, centroids))
+    distances = kept(routing.shot_distances(order.select(F.lit("shots").alias("track"), "shot_index", F.col("appearance").alias("vec")), cents))
     chosen = routing.route(distances, window, penalty).join(order.select("shot_index", "shot_id", "frame_count"), "shot_index").join(cents.drop("vec"), "cluster_id")
     names = looks.groupBy("shot_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "frame_path"))), lambda v: v["frame_path"]), ";").alias("frames"))
     label = F.coalesce("cluster_label", F.format_string("cluster_%02d", F.col("cluster_id") + 1))

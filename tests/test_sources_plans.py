@@ -136,7 +136,7 @@ def test_names():
 
 def test_extract_one_pair(spark, tmp_path):
     p = picture()
-    source, target = save(tmp_path / "s.png", p), save(tmp_path / "t.png", np.clip(p * 1.1 + 0.02, 0, 1)[:20])
+    source, target = save(tmp_path / "s.png", p), save(tmp_path / "t.png", np.clip(p * 1.1 + 0.02, 0, 1))
     stages = []
     r = plans.extract_pair(spark, source, target, tmp_path / "o.cube", OPTIONS, progress=lambda s, f, m: stages.append(s))
     assert r.output.exists() and stages == ["preprocess", "sampling", "solving", "validation", "export", "export"]
