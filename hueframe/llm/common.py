@@ -50,3 +50,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_by_small_methods(df: DataFrame) -> DataFrame:
+    """`stored`, for plans whose row conditions are long.
+
+    The JVM never compiles methods above 8000 bytes of code; with this limit Spark splits such conditions into small
+    ones instead of fusing them into a whole stage, which would run interpreted.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
+    before = conf.get(name)
+    conf.set(name, 8000)
+    try:
+        return stored(df)
+    finally:
+        conf.set(name, before)

@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: Links up to which rounds run in one task; 16 bytes each.
+ONE_TASK = 100_000
+
+
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (id, component) for every id in `links` (a, b); the component is its smallest id.
 
     Each round links every larger neighbour of a node to the node's smallest one (large star), then a node and
     its smaller neighbours to their smallest (small star). Rounds end when the links stay the same, which takes
     about the logarithm of the longest path. Links are tables in the shared folder throughout; the driver sees
-    only their number and a checksum. An empty table gives an empty one; self links and nulls are left out.
+    only their number and a checksum. Few links, by their counted number, take a task a round and no shuffles; more
+    are dealt over all. An empty table gives an empty one; self links and nulls are left out.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = edges.count() <= ONE_TASK
     mark = None
     for _ in range(rounds):
+        edges = edges.coalesce(1) if few else edges
         seen = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if not seen["n"] or (seen["n"], seen["x"]) == mark:
             break

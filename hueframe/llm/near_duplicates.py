@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, words
+from .common import slices, stored, stored_by_small_methods, words
 from .components import connected_components
 
-TOKENS = 64  # minwise tokens of a document, and four bits of each in its sketch
-SKETCH = ["s0", "s1", "s2", "s3"]
-#: Sketches of sets with a similarity of 0.85 differ in about 19 of 256 bits, with a deviation of 6; 64 is beyond 7 deviations.
-MAX_BITS = 64
+TOKENS = 512  # minwise tokens of a document, and two bits of each in its sketch
+SKETCH = [f"s{i}" for i in range(16)]
+#: Sketches of sets with a similarity of 0.85 differ in the bits of about 58 of 512 tokens, with a deviation of 7; 91 is 4.7 deviations beyond.
+MAX_DIFFERENT = 91
+#: The lower bit of each token in a long of the sketch, as a signed number.
+LOW_BITS = 0x5555555555555555
 #: Ids that are broadcast at most, eight bytes each.
 BROADCAST_IDS = 200_000
 _MASK = (1 << 64) - 1
@@ -59,14 +61,14 @@ def shingle_set(text: str | None, k: int = 5) -> set[tuple[bytes, ...]]:
 def minwise(hashes: np.ndarray) -> np.ndarray:
     """The smallest value of the set under each of TOKENS functions, its high 32 bits."""
     low = np.full(TOKENS, _MASK, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048]
+    for at in range(0, len(hashes), 512):
+        part = hashes[at : at + 512]
         np.minimum(low, (_A[:, None] * part + _B[:, None]).min(axis=1), out=low)
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, digest of the shingle set, tokens, sketch) of every whole text."""
+def signatures(docs: DataFrame, k: int = 5, kept: int = 32) -> DataFrame:
+    """(doc_id, n_shingles, digest of the shingle set, the first `kept` tokens, sketch) of every whole text."""
     names = ["doc_id", "n_shingles", "digest", "tokens", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,22 +81,41 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                     digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                     if len(h):
                         tokens[i] = minwise(h)
-                bits = (tokens * np.uint32(0x85EBCA6B)) >> np.uint32(28)
-                packed = (bits[:, 0::2] << 4 | bits[:, 1::2]).astype(np.uint8).view(np.int64) if part.num_rows else np.zeros((0, 4), np.int64)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(tokens.view(np.int32).ravel()), TOKENS).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(4))], names=names)
+                bits = ((tokens * np.uint32(0x85EBCA6B)) >> np.uint32(30)).reshape(-1, TOKENS // 4, 4)
+                packed = np.ascontiguousarray((bits << np.array([6, 4, 2, 0], np.uint32)).sum(axis=2).astype(np.uint8)).view(np.int64).reshape(-1, len(SKETCH))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(tokens[:, :kept]).view(np.int32).ravel()), kept).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(SKETCH)))], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, tokens array<int>, s0 long, s1 long, s2 long, s3 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, tokens array<int>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _close(left: str, right: str, percent: int) -> Column:
     """May two rows be linked: neither set is too large for the other, and the sketches are near."""
     n, m = F.col(f"{left}n_shingles"), F.col(f"{right}n_shingles")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_bits(left, right) <= MAX_BITS)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_different(left, right) <= MAX_DIFFERENT)
 
 
-def _bits(left: str, right: str) -> Column:
-    return sum((F.bit_count(F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{left}s0").bitwiseXOR(F.col(f"{right}s0"))))
+def _different(left: str, right: str) -> Column:
+    """Tokens whose two bits differ."""
+    x = [F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}")) for s in SKETCH]
+    counts = [F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(LOW_BITS))) for v in x]
+    return sum(counts[1:], counts[0])
+
+
+def central(nodes: DataFrame, light: list[str]) -> DataFrame:
+    """(node, f_...): of each node the row that is nearest to what most of its rows have, bit by bit.
+
+    Near copies of one text differ from each other more than each from that text, which agrees with most of them
+    everywhere. Bits are summed within tasks first, one of each token's for half the tokens.
+    """
+    half = SKETCH[: len(SKETCH) // 2]
+    one = lambda s, j: F.sum(F.shiftright(F.col(s), 2 * j).bitwiseAND(F.lit(1)))
+    sums = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), *(one(s, j).alias(f"{s}_{j}") for s in half for j in range(32)))
+    word = lambda s: F.array(*(F.when(F.col(f"{s}_{j}") * 2 > F.col("m"), 1 << 2 * j if j < 31 else 1 << 62).otherwise(0).cast("long") for j in range(32)))
+    most = sums.select("node", *(F.aggregate(word(s), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias(f"m_{s}") for s in half))
+    off = [F.bit_count(F.col(s).bitwiseXOR(F.col(f"m_{s}")).bitwiseAND(F.lit(LOW_BITS))) for s in half]
+    near = nodes.join(most, "node").groupBy("node").agg(F.min(F.struct(sum(off[1:], off[0]).alias("off"), "doc_id")).alias("m")).select("node", F.col("m.doc_id").alias("doc_id"))
+    return nodes.join(near, ["node", "doc_id"]).select("node", *(F.col(c).alias(f"f_{c}") for c in light))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, k: int = 5) -> DataFrame:
@@ -126,7 +147,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, k: int = 5) -> Data
     return ready.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int = 3, width: int = 3, deeper: int = 2, small: int = 32, depth: int = 6) -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int = 3, width: int = 3, deeper: int = 2, small: int = 4096, depth: int = 4) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each row of `df`.
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked; a component is all
@@ -135,7 +156,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str =
     1. Documents with the same set are one class, and its smallest id stands for it.
     2. `trees` independent trees branch each class by `width` of its minwise tokens: classes with an equal token
        share a node. A pair of similarity 0.85 misses a node of all three trees with probability 0.15^9.
-    3. In each node every class is tried against the smallest id there; each class's best candidate is confirmed
+    3. In each node every class is tried against the node's central class; each class's best candidate is confirmed
        on full sets. That joins large groups of copies without looking at all their pairs.
     4. Nodes that hold one component are done. Where more than `small` classes stand outside a node's largest
        component, its classes branch again by `deeper` other tokens, down to `depth` levels. In a small node,
@@ -143,12 +164,13 @@ def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str =
        classes of other components in the node, and candidates are confirmed on full sets.
 
     Size and sketch of both sets go before every confirmation; neither drops a pair of similarity 0.85 but with
-    probability below 1e-8. Texts without words are linked with nothing. Rows that share an id count as one
+    probability below 2e-6. Texts without words are linked with nothing. Rows that share an id count as one
     document's; rows with a null id are linked with nothing and kept. Repeated rows each give a row; an empty
     table gives an empty one; other columns are left out, whatever their names.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(signatures(docs, k))
+    first_level = trees * width
+    signed = stored(signatures(docs, k, tokens := max(32, first_level)))
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "tokens", *SKETCH)]
     classes = stored(signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts))
     light = ["doc_id", "n_shingles", *SKETCH]
@@ -156,18 +178,19 @@ def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str =
     def token(node: list[Column], at: Column) -> Column:
         return F.xxhash64(*node, at, F.element_at("tokens", (at + 1).cast("int")))
 
-    branches = F.array(*(token([F.lit(t)], F.lit(t * width + i)) for t in range(trees) for i in range(width)))
-    nodes = classes.select(F.explode(branches).alias("node"), *light)
-    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    nodes = stored(nodes.join(shared, "node").drop("n"))
+    branches = F.array(*(token([F.lit(i // width)], F.lit(i)) for i in range(first_level)))
+    nodes = classes.select(F.posexplode(branches).alias("branch", "node"), *light, F.slice("tokens", 1, first_level).alias("tokens"))
+    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    nodes = stored(nodes.join(shared, "node"))
 
-    head = nodes.where("doc_id = first").select("node", *(F.col(c).alias(f"f_{c}") for c in light))
-    near = nodes.where("doc_id <> first").join(head, "node").where(_close("", "f_", percent))
-    best = near.groupBy("doc_id").agg(F.min(F.struct(_bits("", "f_").alias("bits"), F.col("f_doc_id").alias("a"))).alias("m"))
-    links = confirm(stored(best.select("m.a", F.col("doc_id").alias("b"))), docs, percent, k)
+    large = nodes.where("n > 8").select("node", *light)
+    near = large.join(central(large, light), "node").where((F.col("doc_id") != F.col("f_doc_id")) & _close("", "f_", percent))
+    best = near.groupBy("doc_id").agg(F.min(F.struct(_different("", "f_").alias("off"), F.col("f_doc_id").alias("a"))).alias("m"))
+    tried = stored_by_small_methods(best.select(F.least("m.a", "doc_id").alias("a"), F.greatest("m.a", "doc_id").alias("b")).distinct())
+    links = confirm(tried, docs, percent, k)
     parts = stored(connected_components(links))
 
-    level = nodes.drop("first").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    level = nodes.drop("n").join(parts.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     found: list[DataFrame] = []
     for i in range(depth):
         level = stored(level)
@@ -175,10 +198,16 @@ def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str =
         state = by_part.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).select("node", F.col("top.component").alias("largest"), (F.col("n") - F.col("top.n")).alias("others")).where("others > 0")
         mixed = level.join(state, "node")
         ready = mixed if i == depth - 1 else mixed.where(F.col("others") <= small)
-        out = ready.where("component <> largest").select("node", "component", *light)
-        all_ = ready.select("node", "largest", *(F.col(c).alias(f"r_{c}") for c in ("component", *light)))
+        extra = ["branch", "tokens"] if i == 0 else []
+        out = ready.where("component <> largest").select("node", "component", *light, *extra)
+        all_ = ready.select("node", "largest", *(F.col(c).alias(f"r_{c}") for c in ("component", *light, *extra)))
         apart = (F.col("component") != F.col("r_component")) & ((F.col("r_component") == F.col("largest")) | (F.col("doc_id") < F.col("r_doc_id")))
-        found.append(stored(out.join(all_, "node").where(apart & _close("", "r_", percent)).select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")).distinct()))
+        if i == 0:  # a pair comes from the first of the nodes that it shares and that are compared here
+            mask = ready.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1, branch)")).alias("mask"))
+            out = out.join(mask, "doc_id")
+            for j in range(first_level - 1):
+                apart = apart & ~((F.col("branch") > j) & (F.col("mask").bitwiseAND(F.lit(1 << j)) != 0) & (F.col("tokens")[j] == F.col("r_tokens")[j]))
+        found.append(stored_by_small_methods(out.join(all_, "node").where(apart & _close("", "r_", percent)).select(F.least("doc_id", "r_doc_id").alias("a"), F.greatest("doc_id", "r_doc_id").alias("b")).distinct()))
         if i == depth - 1:
             break
         again = stored(mixed.where(F.col("others") > small).select("node", "component", *light))
@@ -186,7 +215,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str =
             break
         other = F.explode(F.array(*map(F.lit, range(deeper)))).alias("j")
         chosen = again.select("*", other).join(classes.select("doc_id", "tokens"), "doc_id")
-        level = chosen.withColumn("at", F.pmod(F.xxhash64("node", "j"), F.lit(TOKENS))).select(token([F.col("node"), F.col("j")], F.col("at")).alias("node"), "component", *light)
+        level = chosen.withColumn("at", F.pmod(F.xxhash64("node", "j"), F.lit(tokens))).select(token([F.col("node"), F.col("j")], F.col("at")).alias("node"), "component", *light)
 
     pairs = found[0]
     for more in found[1:]:
