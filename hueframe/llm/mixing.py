@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 #: Weights that the sources take in turn, by code point of their names, null last.
 WEIGHTS = (3, 1, 2)
@@ -34,8 +34,8 @@ def _size_class(size: Column) -> Column:
     return F.when(size < 4096, F.expr("size div 32")).otherwise(128 + F.least(F.expr("size div 4096"), F.lit(1000)))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """Each row of `df` with its copies in the mix: (row: struct of df's columns, size, source_size, target, copies, taken).
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
+    """Each row of `df` with its copies in the mix: (row: struct of df's columns, or of those in `carry`, size, source_size, target, copies, taken).
 
     A document's expected copies are its source's target over its source's size. Within a source the documents
     stand by size class, hash of their id, size and id; the running sum of expected copies plus one random offset
@@ -49,7 +49,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     table gives an empty one. df's columns may have any name.
     """
     rows = (
-        df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("string").alias("k"), F.col(source_col).cast("string").alias("s"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        df.select(F.struct(*(F.col(f"`{c}`") for c in carry or df.columns)).alias("row"), F.col(id_col).cast("string").alias("k"), F.col(source_col).cast("string").alias("s"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         .withColumn("key", F.when(F.col("s").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "s")))
         .withColumn("class", _size_class(F.col("size")).cast("long"))
         .withColumn("hash", F.md5(F.coalesce("k", F.lit("")).cast("binary")))
@@ -57,7 +57,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         .drop("s", "k")
     )
     cell = ["key", "class", "bucket"]
-    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    # Read several times below, and small: so many rows as there are cells, whatever the documents.
+    cells = stored(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")))
     classes = cells.groupBy("key", "class").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     targets = source_targets(classes.groupBy("key").agg(F.sum("size").alias("source_size")), weights, share, most)
     before = Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)

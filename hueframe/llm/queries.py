@@ -25,7 +25,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("row.doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(docs, carry=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
