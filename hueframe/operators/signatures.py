@@ -82,7 +82,7 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def formatted(c: Column, digits: int) -> Column:
     """Text with `digits` decimals; empty for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit(""))
+    return F.when(c.isNull(), "").otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
 
 
 def assignment_report(rows: DataFrame) -> DataFrame:
