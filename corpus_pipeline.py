@@ -22,8 +22,8 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return near_duplicates.keep_first(docs)
+    """One document of each component of near duplicates, linked from a similarity of 0.80 on."""
+    return near_duplicates.keep_first(docs, percent=80)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,6 @@ from .components import connected_components
 
 TOKENS = 512  # minwise tokens of a document, and two bits of each in its sketch
 SKETCH = [f"s{i}" for i in range(16)]
-#: Sketches of sets with a similarity of 0.85 differ in the bits of about 58 of 512 tokens, with a deviation of 7; 91 is 4.7 deviations beyond.
-MAX_DIFFERENT = 91
 #: The lower bit of each token in a long of the sketch, as a signed number.
 LOW_BITS = 0x5555555555555555
 #: Ids that are broadcast at most, eight bytes each.
@@ -89,10 +88,20 @@ def signatures(docs: DataFrame, k: int = 5, kept: int = 32) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, tokens array<int>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
+def max_different(percent: int) -> int:
+    """Tokens whose bits may differ in the sketches of two sets of similarity `percent`: 4.7 deviations above the mean.
+
+    A token differs with probability 1 - percent / 100, and its two bits show that in three cases of four. A pair at
+    the threshold exceeds this with probability below 5e-6.
+    """
+    p = 0.75 * (1 - percent / 100)
+    return math.floor(TOKENS * p + 4.7 * math.sqrt(TOKENS * p * (1 - p)))
+
+
 def _close(left: str, right: str, percent: int) -> Column:
     """May two rows be linked: neither set is too large for the other, and the sketches are near."""
     n, m = F.col(f"{left}n_shingles"), F.col(f"{right}n_shingles")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_different(left, right) <= MAX_DIFFERENT)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_different(left, right) <= max_different(percent))
 
 
 def _different(left: str, right: str) -> Column:
@@ -155,7 +164,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str =
 
     1. Documents with the same set are one class, and its smallest id stands for it.
     2. `trees` independent trees branch each class by `width` of its minwise tokens: classes with an equal token
-       share a node. A pair of similarity 0.85 misses a node of all three trees with probability 0.15^9.
+       share a node. A pair of similarity s misses a node of all three trees with probability (1 - s)^9.
     3. In each node every class is tried against the node's central class; each class's best candidate is confirmed
        on full sets. That joins large groups of copies without looking at all their pairs.
     4. Nodes that hold one component are done. Where more than `small` classes stand outside a node's largest
@@ -163,8 +172,8 @@ def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str =
        and whatever is left at the last level, all classes outside the largest component are compared with all
        classes of other components in the node, and candidates are confirmed on full sets.
 
-    Size and sketch of both sets go before every confirmation; neither drops a pair of similarity 0.85 but with
-    probability below 2e-6. Texts without words are linked with nothing. Rows that share an id count as one
+    Size and sketch of both sets go before every confirmation; neither drops a pair at the threshold but with
+    probability below 5e-6. Texts without words are linked with nothing. Rows that share an id count as one
     document's; rows with a null id are linked with nothing and kept. Repeated rows each give a row; an empty
     table gives an empty one; other columns are left out, whatever their names.
     """

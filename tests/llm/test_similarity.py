@@ -80,6 +80,39 @@ def test_threshold_is_exact(spark):
     check(spark, rows)
 
 
+def pairs_between(rng, low, high, n, size=600):
+    """n pairs of long texts without common words between pairs, each of a similarity from `low` to `high`."""
+    rows = []
+    for g in range(n):
+        common = round(size * rng.uniform(low, high))
+        own = (size - common) // 2
+        words = lambda tag, m: [f"{tag}{g}x{i}" for i in range(m)]  # noqa: B023,E731
+        shared = words("s", common + 4)
+        rows += [(2 * g, " ".join(shared + words("a", own))), (2 * g + 1, " ".join(shared + words("b", own)))]
+    return rows
+
+
+def test_sketch_bound_follows_the_threshold(spark):
+    """Pairs from 0.80 to 0.85 are linked at 80 and not at 85, by brute force over each pair; likewise from 0.70 at 70."""
+    for percent, high, linked_at_85 in ((80, 0.81, 0), (80, 0.849, 0), (70, 0.71, 0)):
+        rows = pairs_between(random.Random(percent), percent / 100, high, 200)
+        sets = {i: nd.shingle_set(t) for i, t in rows}
+        want = {i: i - i % 2 if 100 * len(sets[i] & sets[i ^ 1]) >= percent * len(sets[i] | sets[i ^ 1]) else i for i, _ in rows}
+        assert sum(i != c for i, c in want.items()) >= 150
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(df, percent=percent).collect()} == want
+    assert nd.near_duplicates(df).where("NOT kept").count() == linked_at_85
+    assert nd.max_different(85) == 91
+
+
+def test_pipeline_stage_drops_from_080(spark, sf):
+    import corpus_pipeline
+
+    rows = pairs_between(random.Random(1), 0.805, 0.845, 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.without_copies(spark, df, sf).collect()) == list(range(0, 40, 2))
+
+
 def test_awkward_rows(spark):
     rows = nd.near_duplicates(awkward(spark)).collect()
     assert len(rows) == awkward(spark).count()
