@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -57,6 +57,15 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(d, 0.0))
 
 
+def js_distances(p: np.ndarray, qs: np.ndarray) -> np.ndarray:
+    """`js_distance` of a filled histogram to each row of `qs`, whose rows sum to 1."""
+    p = p / p.sum()
+    m = (p + qs) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = (np.where(p > 0, p * np.log2(p / m), 0).sum(1) + np.where(qs > 0, qs * np.log2(qs / m), 0).sum(1)) / 2
+    return np.sqrt(np.maximum(d, 0.0))
+
+
 def repeated_words(words: list[str]) -> int:
     """Places of words inside 3-word windows that occur twice or more in the text, first occurrences included."""
     n = len(words) - 2
@@ -94,16 +103,21 @@ def base_counts(text: str | None) -> tuple[list[str], int, int, int, int]:
 STEPS = 400
 
 
-def references(df: DataFrame, lang_col: str | None = "lang", text_col: str = "text", min_share: float = 0.005, min_chars: int = 200) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+#: The reference of documents without a language, and of all languages with too few documents together.
+POOL = "*"
+
+
+def references(df: DataFrame, lang_col: str | None = "lang", text_col: str = "text", min_docs: int = 20, min_chars: int = 200) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Class and word reference of each language, from all its documents.
 
     The word reference sums the common words of all documents. The class reference is each class's median share
     over the documents of `min_chars` bytes or more, read from counts of shares, so that a minority of broken
-    documents can't bend it. Counts are summed inside tasks and merged by Spark; the driver gets them only for
-    languages that hold `min_share` of all words or more: at most 1 / min_share languages, and 1000 where all
-    are rare. Documents without a language make a reference of their own only if no other is left.
+    documents can't bend it; it is all zero where there is no such document. Every language with `min_docs` such
+    documents has a reference, however small its share of the table; all others make one together, named POOL.
+    Documents without a language make a reference only if no other is left. Counts are summed inside tasks, merged
+    and reduced to one row a reference by Spark; the driver gets those rows.
     """
-    few = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("*")) if lang_col else F.lit("*"), F.col(text_col))
+    few = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(POOL)) if lang_col else F.lit(POOL), F.col(text_col))
     size = N_WORDS + N_CLASSES * (STEPS + 1)
     at = N_WORDS + np.arange(N_CLASSES) * (STEPS + 1)
 
@@ -128,24 +142,23 @@ def references(df: DataFrame, lang_col: str | None = "lang", text_col: str = "te
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in filled], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["lang", "bin", "n"])
 
     summed = few.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    by_lang = summed.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("h"), F.sum(F.when(F.col("bin") < N_WORDS, F.col("n"))).alias("words"))
-    rows = by_lang.where("words > 0").orderBy(F.desc("words"), "lang").limit(1000).collect()
-    total = sum(r["words"] for r in rows)
-    out = {}
-    for r in rows:
-        if r["words"] < min_share * total and len(rows) > 1:
-            continue
-        h = np.zeros(size)
-        for i, n in r["h"]:
-            h[i] = n
+    long_docs = F.sum(F.when((F.col("bin") >= int(at[0])) & (F.col("bin") <= int(at[0]) + STEPS), F.col("n"))).over(Window.partitionBy("lang"))
+    kind = F.when(F.col("lang") == POOL, "none").when(long_docs >= min_docs, "own").otherwise("rest")
+    merged = summed.withColumn("kind", kind).groupBy("kind", F.when(F.col("kind") == "own", F.col("lang")).otherwise(POOL).alias("lang"), "bin").agg(F.sum("n").alias("n"))
+
+    def reduce(rows: pa.Table) -> pa.Table:
+        h = np.zeros(size, np.int64)
+        h[rows["bin"].to_numpy()] = rows["n"].to_numpy()
         shares = np.zeros(N_CLASSES)
         if (docs := h[at[0] : at[0] + STEPS + 1].sum()) > 0:
             for c, start in enumerate(at):
                 shares[c] = (int(np.searchsorted(np.cumsum(h[start : start + STEPS + 1]), docs / 2)) / STEPS) ** 2
-        out[r["lang"]] = (shares, h[:N_WORDS])
-    if len(out) > 1:
-        out.pop("*", None)
-    return dict(sorted(out.items()))
+        return pa.table({"kind": rows["kind"][:1], "lang": rows["lang"][:1], "shares": pa.array([shares.tolist()]), "words": pa.array([h[:N_WORDS].tolist()])})
+
+    rows = merged.groupBy("kind", "lang").applyInArrow(reduce, "kind string, lang string, shares array<double>, words array<long>").collect()
+    rows = [r for r in rows if any(r["words"])]
+    rows = [r for r in rows if r["kind"] != "none"] or rows
+    return {r["lang"]: (np.array(r["shares"]), np.array(r["words"], float)) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
 def quality_rules(df: DataFrame, lang_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text", max_class_distance: float = 0.2, max_word_distance: float = 0.6, min_chars: int = 200, min_words: int = 50, keep: bool = False) -> DataFrame:
@@ -164,6 +177,9 @@ def quality_rules(df: DataFrame, lang_col: str | None = "lang", id_col: str = "d
     `df` may have any name.
     """
     refs = references(df, lang_col, text_col, min_chars=min_chars)
+    langs = list(refs)
+    by_words = np.array([w / w.sum() for _, w in refs.values()])
+    by_classes = np.array([c / c.sum() for c, _ in refs.values() if c.any()])
 
     def judge(text: str | None) -> tuple:
         words, chars, symbols, dup, rep = base_counts(text)
@@ -173,8 +189,9 @@ def quality_rules(df: DataFrame, lang_col: str | None = "lang", id_col: str = "d
         if n and refs:
             raw = text.encode("utf-8", "surrogatepass")
             mine, own = class_histogram(raw), word_histogram(words)
-            by_class = min(js_distance(mine, c) for c, _ in refs.values())
-            by_word, lang = min((js_distance(own, w), k) for k, (_, w) in refs.items())
+            by_class = float(js_distances(mine, by_classes).min()) if len(by_classes) and mine.any() else 0.0
+            distances = js_distances(own, by_words)
+            by_word, lang = float(distances.min()), langs[int(distances.argmin())]
             ok = (len(raw) < min_chars or by_class <= max_class_distance) and (n < min_words or by_word <= max_word_distance)
         else:
             ok = True

@@ -173,6 +173,46 @@ def test_rule_edges(spark):
     assert quality_rules.js_distance(np.array([1, 0]), np.array([0, 1])) == 1 and quality_rules.js_distance(np.array([1, 2]), np.array([2, 4])) == 0
 
 
+def script_prose(rng, first, n):
+    """n words in the letters of a block of Unicode, with Latin full stops."""
+    return " ".join("".join(chr(first + rng.randrange(24)) for _ in range(rng.randint(3, 9))) + rng.choice(["", "", "", "."]) for _ in range(n))
+
+
+def test_rare_languages_keep_references(spark):
+    """A non-Latin language far below 0.5 % of all words keeps its clean documents, with its own reference or, with few documents, a pooled one."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 9_000), "en") for i in range(40)]
+    rows += [(100 + i, script_prose(rng, 0x430, 60), "ru") for i in range(25)]
+    rows += [(200 + i, script_prose(rng, 0x3B1, 60), "el") for i in range(3)]
+    rows += [(300, "#$% &*| <> 1!! " * 40, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality_rules.references(df)
+    assert set(refs) == {"en", "ru", "*"}
+    assert refs["ru"][1].sum() < 0.005 * sum(w.sum() for _, w in refs.values())
+    distance = {r["doc_id"]: r["class_distance"] for r in quality_rules.quality_rules(df).collect()}
+    assert all(distance[i] <= 0.2 for i, _, lang in rows if lang != "en") and distance[300] > 0.2
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(df, keep=True).collect()}
+    assert {i for i, _, lang in rows if lang in ("ru", "el")} <= kept and 300 not in kept
+
+
+def test_references_of_many_even_languages(spark):
+    """Of 250 languages with 0.4 % of the words each, and with 2 or 20 documents each, none is left untested."""
+    rng = random.Random(6)
+    for each, names in ((2, {"*"}), (20, {f"l{k:03d}" for k in range(250)})):
+        rows = [(k * 100 + i, prose(rng, 60), f"l{k:03d}") for k in range(250) for i in range(each)] + [(10**6, "#$%&*|<> 1!! " * 60, None), (10**6 + 1, "".join(rng.choice("#$%&*|<>{}~ ") for _ in range(900)), "l001")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert set(quality_rules.references(df)) == names
+        got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+        assert got[10**6 + 1]["n_words"] >= 50 and not got[10**6 + 1]["kept"] and got[10**6 + 1]["class_distance"] > 0.2
+        assert all(got[i]["kept"] for i, _, _ in rows[:-2])
+
+
+def test_distances_are_those_one_by_one():
+    rng = np.random.default_rng(1)
+    p, qs = rng.integers(0, 5, 30), rng.integers(0, 5, (7, 30))
+    assert np.allclose(quality_rules.js_distances(p, qs / qs.sum(1, keepdims=True)), [quality_rules.js_distance(p, q) for q in qs], rtol=1e-12)
+
+
 def test_classifier_held_out(spark, sf):
     rows = queries.op5_quality(spark, sf).collect()
     label = {r["doc_id"]: r["quality"] for r in queries.table(spark, sf, "labels").collect()}
