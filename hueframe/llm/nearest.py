@@ -86,11 +86,13 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_col: str
     `probe_share` of all and more until they hold k rows other than its own id's. List and queries meet in blocks of bounded
     size: a long list is split, so a hot list, say of one vector that many rows repeat, is many blocks. In a
     block, one table of distances for each query gives asymmetric distances of all codes, and the `shortlist`
-    smallest (ties: smaller id) are measured exactly, in double precision, on the vectors themselves. The best k of
-    all blocks stay, nearest first, ties to the smaller id.
+    nearest ids (ties: smaller id) are measured exactly, in double precision, on the vectors themselves. Each block
+    gives its best k ids, each with its lowest score; the best k of all blocks stay, nearest first, ties to the
+    smaller id.
 
     Rows whose vector is null, zero, of another length than most, or holds a null or non-finite component take no
-    part, nor do rows with a null id. Repeated rows count once. A table without usable rows, or with fewer than k
+    part, nor do rows with a null id. Repeated rows are dropped before all else; an id with several vectors counts once, by
+    its nearest. A table without usable rows, or with fewer than k
     other rows, gives what there is. Other columns are left out, whatever their names.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
@@ -99,7 +101,7 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_col: str
     if top is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, count = top["dim"], top["count"]
-    rows = rows.where(F.size("vec") == dim)
+    rows = rows.where(F.size("vec") == dim).dropDuplicates(["vec_id", "vec"])
     index = fit_index(rows, count, dim, sample, lists)
     shared = df.sparkSession.sparkContext.broadcast(index)
 
@@ -115,17 +117,19 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_col: str
     sizes = np.zeros(len(index.coarse), np.int64)
     for r in filed.groupBy("list").count().collect():  # one row a list
         sizes[r["list"]] = r["count"]
+    homes = np.zeros(len(index.coarse), np.int64)  # ids, each in the first list that holds it
+    for r in filed.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        homes[r["list"]] = r["count"]
     row_blocks = np.maximum(-(-sizes // rows_a_block), 1)
     probes = max(1, int(np.ceil(probe_share * len(sizes))))
-    same = filed.where(is_query).groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0  # rows of one query's id
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value.coarse
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             order = np.argsort((centres**2).sum(1) - 2 * (x @ centres.T), axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1)
-            n = np.maximum(probes, np.minimum((held < k + same).sum(axis=1) + 1, len(sizes)))
+            held = np.cumsum(homes[order], axis=1)
+            n = np.maximum(probes, np.minimum((held < k + 1).sum(axis=1) + 1, len(sizes)))
             at = np.repeat(np.arange(len(x)), n)
             which = np.concatenate([order[i, :m] for i, m in enumerate(n)]) if len(x) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(which.astype(np.int32)), batch.column(1).take(pa.array(at))], names=["query_id", "list", "q"])
@@ -151,14 +155,22 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_col: str
             codes = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             vecs = _matrix(held["vec"].combine_chunks(), dim)
             places = np.arange(codes.shape[1])
+            repeats = len(np.unique(ids)) < len(ids)
             for qid, q in zip(asks["query_id"].to_pylist(), _matrix(asks["q"].combine_chunks(), dim)):
                 guess = shared.value.tables(q, key[0].as_py())[places, codes].sum(1)
                 guess[ids == qid] = np.inf
-                n = min(shortlist, len(ids))
-                near = np.argsort(guess, kind="stable")[:n]
+                near = np.argsort(guess, kind="stable")
+                if repeats:  # an id takes one place of the shortlist, with all its rows up to the last place
+                    firsts = np.sort(np.unique(ids[near], return_index=True)[1])
+                    near = near[: firsts[shortlist] if len(firsts) > shortlist else None]
+                else:
+                    near = near[:shortlist]
                 near = near[ids[near] != qid]
                 exact = np.sqrt(((vecs[near] - q) ** 2).sum(1))
-                best = np.lexsort((ids[near], exact))[: 2 * k]
+                best = np.lexsort((ids[near], exact))
+                if repeats:
+                    best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+                best = best[:k]
                 found.append((np.full(len(best), qid), ids[near][best], exact[best]))
         cols = [np.concatenate(x) if found else np.zeros(0) for x in (zip(*found) if found else ((), (), ()))]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})

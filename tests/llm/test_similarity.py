@@ -218,3 +218,22 @@ def test_awkward_vectors(spark):
     assert nearest.nearest_neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     alone = nearest.nearest_neighbours(df.where("vec_id = 100"), F.col("vec_id") % 100 == 0)
     assert alone.count() == 0
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_repeated_rows_take_no_places(spark, same):
+    """Rows repeated 3, 25 and 300 times, exactly or as slightly other vectors of one id, hide no other neighbour."""
+    rng = np.random.default_rng(3)
+    base = {i: rng.normal(size=8) for i in range(60)}
+    order = [i for _, i in exact(list(base.items()), 0, 59)]
+    times = {i: 3 for i in base} | {order[0]: 25, order[1]: 300}
+    rows = [(i, [float(x) for x in v + (0 if same or not i else rng.normal(size=8) * 1e-3)]) for i, v in base.items() for _ in range(times[i])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = np.array(base[0])
+    best = {}
+    for i, v in rows:
+        best[i] = min(best.get(i, np.inf), float(np.sqrt(((np.array(v) - q) ** 2).sum())))
+    want = sorted((d, i) for i, d in best.items() if i)[:10]
+    for lists in (1, 4):
+        got = nearest.nearest_neighbours(df, F.col("vec_id") == 0, lists=lists, probe_share=1.0, shortlist=59).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [i for _, i in want] and np.allclose([r["score"] for r in got], [d for d, _ in want])
