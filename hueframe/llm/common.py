@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters, for Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,24 +45,47 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+class Scratch:
+    """Tables of one job in the shared folder: `keep` writes them, `clear` removes all but the result's own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+        self.tables = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df` written once to the shared folder and read again: lineage ends there, so a lost executor costs no recomputation."""
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes this job's tables; what reads them must have been stored elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read again: lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """`df` as a table of its own in the shared folder, which stays as long as the folder does."""
+    return Scratch(df.sparkSession).keep(df)
+
+
+#: Rows of one key that one task takes, at least.
+KEY_ROWS = 1000
 
 
-def stored_by_small_methods(df: DataFrame) -> DataFrame:
-    """`stored`, for plans whose row conditions are long.
+def salted_join(rows: DataFrame, small: DataFrame, key: str, by: str, total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """`rows` joined with `small`, which has one row (key, n, ...) for each key; n is how many of `rows` have the key.
 
-    The JVM never compiles methods above 8000 bytes of code; with this limit Spark splits such conditions into small
-    ones instead of fusing them into a whole stage, which would run interpreted.
+    A key with more than a thousandth of the `total` rows is dealt over several tasks by a hash of the column `by`,
+    and its row of `small` is copied for each. Fewer than a thousand keys can be so frequent, so that their
+    numbers are broadcast. With `how` "left", rows without a key or a partner stay. `counts` gives (key, n) where `small` is wide.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
-    before = conf.get(name)
-    conf.set(name, 8000)
-    try:
-        return stored(df)
-    finally:
-        conf.set(name, before)
+    bar = max(KEY_ROWS, total // 1000)
+    salts = F.when(F.col("n") > bar, F.ceil(F.col("n") / bar)).otherwise(1).cast("int")
+    many = (small if counts is None else counts).where(F.col("n") > bar).select(key, salts.alias("salts"))
+    salt = F.pmod(F.xxhash64(by), F.when(F.col(key).isNull(), 1000).otherwise(F.coalesce("salts", F.lit(1)))).cast("int")
+    left = rows.join(F.broadcast(many), key, "left").withColumn("salt", salt).drop("salts")
+    right = small.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right, [key, "salt"], how).drop("salt")

@@ -64,7 +64,24 @@ def test_groups_chains_and_shared_passages(spark):
         i += 1
     rng.shuffle(rows)
     check(spark, rows)
-    check(spark, rows, small=3, depth=4)
+    check(spark, rows, small=3, depth=4, block_rows=8)
+
+
+def test_blocks_give_all_pairs_once():
+    """Every pair of rows of different components that a node holds is tried, whatever the blocks, and from one node alone."""
+    rng = np.random.default_rng(1)
+    rows = [{"node": g, "ob": 0, "ab": 0, "role": 0, "component": int(rng.integers(3)), "largest": 0, "branch": 0, "mask": 1, "tokens": [0], "doc_id": 10 * g + i, "n_shingles": 5, **{c: 0 for c in nd.SKETCH}} for g in range(40) for i in range(int(rng.integers(2, 9)))]
+    import pyarrow as pa
+
+    whole = pa.Table.from_pylist(rows)
+    want = {(min(a["doc_id"], b["doc_id"]), max(a["doc_id"], b["doc_id"])) for a in rows for b in rows if a["node"] == b["node"] and a["component"] != b["component"]}
+    for size in (1, 3, 7, 500):
+        got = []
+        for table, edges in nd.whole_groups(whole.to_batches(max_chunksize=size), nd.BLOCK):
+            for i, j in nd.candidates(table, edges, 85):
+                ids = table["doc_id"].to_numpy()
+                got += [(min(x), max(x)) for x in zip(ids[i].tolist(), ids[j].tolist())]
+        assert sorted(got) == sorted(want)
 
 
 def test_one_large_group_of_near_copies(spark):
