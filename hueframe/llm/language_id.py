@@ -22,26 +22,50 @@ def letters(text: str | None) -> str:
     return out if any(map(str.isalpha, out)) else ""
 
 
-def learn_dictionaries(train: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", dict_bytes: int = 16_384, sample_docs: int = 32, max_languages: int = 200) -> dict[str, bytes]:
+def learn_dictionaries(train: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", dict_bytes: int = 16_384, sample_docs: int = 32, segment: int = 256) -> dict[str, bytes]:
     """Dictionary of each language, from a bounded sample of its documents.
 
-    `sample_docs` documents of each of the `max_languages` most frequent languages, smallest hash of the id first, each with an equal share of
-    `dict_bytes`; all languages get dictionaries of the size that the smallest sample allows, at least 4 kB,
-    so that none wins by size. The driver gets at most sample_docs * max_languages texts' shares.
+    `sample_docs` documents with letters of each language, smallest hash of the id first, are cleaned whole and cut
+    into segments of about `segment` bytes, at blanks; a dictionary is the segments of smallest hash that fill
+    `dict_bytes`, so that every place of every sampled text may be in it. All languages get dictionaries of about the size that
+    the smallest sample allows, 4 kB at least, so that none wins by size. Spark cuts and picks; the driver gets
+    `dict_bytes` for each language, of which there may be any number.
+
+    Rows whose language or text is null, and texts without a letter, teach nothing; rows that share an id and
+    repeated rows may each be picked; an empty table gives no dictionary; other columns may have any name.
     """
-    rows = train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    share = dict_bytes // sample_docs
-    # Only the id, the language and the share's length of text take part; Spark keeps sample_docs rows a language before the shuffle.
-    picked = rows.where(F.col("lang").isin(top) & F.col("t").rlike(r"\p{L}")).select("k", "lang", F.substring("t", 1, 2 * share).alias("t")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs)
-    texts: dict[str, list[str]] = {}
-    for r in picked.orderBy("lang", "r").collect():
-        texts.setdefault(r["lang"], []).append(letters(r["t"]).encode()[:share].decode("utf-8", "ignore"))
-    raw = {lang: " ".join(t for t in ts if t).encode() for lang, ts in texts.items()}
-    raw = {lang: x for lang, x in raw.items() if x}
+    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).cast("string").alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k", F.xxhash64("t"))
+    picked = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs)  # Spark keeps so many rows a language before the shuffle
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 8):
+                found = [(lang, n, i, s) for lang, n, text in zip(*(part.column(i).to_pylist() for i in range(3))) for i, s in enumerate(segments(letters(text), segment))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["lang", "r", "i", "s"])
+
+    parts = picked.select("lang", "r", "t").mapInArrow(cut, "lang string, r int, i int, s string")
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("r", "i"), "r", "i")
+    most = 2 * dict_bytes // segment
+    raw: dict[str, bytes] = {}
+    for r in parts.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= most).orderBy("lang", "at").collect():
+        if len(have := raw.get(r["lang"], b"")) < dict_bytes:
+            raw[r["lang"]] = have + r["s"].encode() + b" "
     size = max(4096, min(map(len, raw.values()), default=0))
-    return {lang: x[:size] for lang, x in sorted(raw.items())}
+    return {lang: x if len(x) <= size else x[: x.rindex(b" ", 0, size) + 1] if b" " in x[:size] else x[:size] for lang, x in sorted(raw.items())}
+
+
+def segments(text: str, size: int) -> Iterator[str]:
+    """A cleaned text in runs of whole words of `size` bytes or a little more; a longer word is a run of its own."""
+    run, n = [], 0
+    for word in text.split(" "):
+        run.append(word)
+        n += len(word.encode("utf-8", "surrogatepass")) + 1
+        if n >= size:
+            yield " ".join(run)
+            run, n = [], 0
+    if run and any(run):
+        yield " ".join(run)
 
 
 class Classifier:
