@@ -5,21 +5,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Scratch, slices
 
-# Common function words of four languages, the bins of the word histogram.
-COMMON_WORDS = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er so dass".split(),
-    "en": "the of and to in a is that for it with as was on are by this be at from or an he not but have".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il avec ou".split(),
-}
 # The character classes of the class histogram; bytes from 0xC0 on start a non-ASCII character.
 CLASSES = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "space": " \t\n\v\f\r", "sentence": ".,;:'\"()-", "stress": "!?", "markup": "#*$%&|<>", "bracket": "@[\\]^_`{}~=+/"}
 N_CLASSES = len(CLASSES) + 1
@@ -27,8 +21,6 @@ _CLASS_OF = np.full(256, N_CLASSES, np.uint8)  # control and continuation bytes
 for _i, _chars in enumerate(CLASSES.values()):
     _CLASS_OF[np.frombuffer(_chars.encode(), np.uint8)] = _i
 _CLASS_OF[0xC0:] = N_CLASSES - 1
-_BINS = {w: i for i, w in enumerate(sorted({w for ws in COMMON_WORDS.values() for w in ws}))}
-N_WORDS = len(_BINS) + 1  # the last bin holds all other words
 _EDGE = ".,;:!?'\"()-#*$%&|<>"
 _SYMBOLS = "#*$%&|<>"
 
@@ -38,12 +30,9 @@ def class_histogram(raw: bytes) -> np.ndarray:
     return np.bincount(_CLASS_OF[np.frombuffer(raw, np.uint8)], minlength=N_CLASSES + 1)[:N_CLASSES]
 
 
-def word_histogram(words: list[str]) -> np.ndarray:
-    """Lower-cased words by common word, the rest in the last bin."""
-    out = np.zeros(N_WORDS, np.int64)
-    for word, n in Counter(words).items():
-        out[_BINS.get(word.lower().strip(_EDGE), N_WORDS - 1)] += n
-    return out
+def term(word: str) -> str:
+    """A word in lower case without punctuation at its ends."""
+    return word.lower().strip(_EDGE)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -58,12 +47,29 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def js_distances(p: np.ndarray, qs: np.ndarray) -> np.ndarray:
-    """`js_distance` of a filled histogram to each row of `qs`, whose rows sum to 1."""
-    p = p / p.sum()
-    m = (p + qs) / 2
+    """`js_distance` of a filled histogram to each row of `qs`, whose rows sum to 1; only the bins that p fills are looked at."""
+    at = np.flatnonzero(p)
+    p, q = p[at] / p.sum(), qs[:, at]
+    m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        d = (np.where(p > 0, p * np.log2(p / m), 0).sum(1) + np.where(qs > 0, qs * np.log2(qs / m), 0).sum(1)) / 2
-    return np.sqrt(np.maximum(d, 0.0))
+        d = (p * np.log2(p / m)).sum(1) + np.where(q > 0, q * np.log2(q / m), 0).sum(1) + np.maximum(1 - q.sum(1), 0)
+    return np.sqrt(np.maximum(d / 2, 0.0))
+
+
+@dataclass
+class References:
+    """Bins of common words, and each language's shares of character classes (all 0: none) and of words, the last bin for all other words."""
+
+    langs: list[str]
+    bins: dict[str, int]
+    classes: np.ndarray
+    words: np.ndarray
+
+    def word_histogram(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(self.bins) + 1, np.int64)
+        for word, n in Counter(words).items():
+            out[self.bins.get(term(word), -1)] += n
+        return out
 
 
 def repeated_words(words: list[str]) -> int:
@@ -107,61 +113,78 @@ STEPS = 400
 POOL = "*"
 
 
-def references(df: DataFrame, lang_col: str | None = "lang", text_col: str = "text", min_docs: int = 20, min_chars: int = 200) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and word reference of each language, from all its documents.
+def references(df: DataFrame, lang_col: str | None = "lang", text_col: str = "text", min_docs: int = 20, min_chars: int = 200, common: int = 40) -> References:
+    """Common words, and class and word reference of each language, from all its documents.
 
-    The word reference sums the common words of all documents. The class reference is each class's median share
+    The bins are the `common` most frequent words of each language (ties: the smaller word). The word reference
+    sums them over all documents. The class reference is each class's median share
     over the documents of `min_chars` bytes or more, read from counts of shares, so that a minority of broken
     documents can't bend it; it is all zero where there is no such document. Every language with `min_docs` such
     documents has a reference, however small its share of the table; all others make one together, named POOL.
-    Documents without a language make a reference only if no other is left. Counts are summed inside tasks, merged
-    and reduced to one row a reference by Spark; the driver gets those rows.
+    Documents without a language make a reference only if no other is left. Words and shares are counted inside
+    tasks and summed by Spark; the driver gets `common` words and a row of shares for each reference. Null and empty
+    texts count nothing, an empty table gives no reference, repeated rows count each, and other columns may have
+    any name.
     """
     few = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(POOL)) if lang_col else F.lit(POOL), F.col(text_col))
-    size = N_WORDS + N_CLASSES * (STEPS + 1)
-    at = N_WORDS + np.arange(N_CLASSES) * (STEPS + 1)
+    size = N_CLASSES * (STEPS + 1)
+    at = np.arange(N_CLASSES) * (STEPS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        cells: dict[str, np.ndarray] = {}
+        words: dict[str, Counter] = {}
         for batch in batches:
             for part in slices(batch):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if text:
-                        h = sums.setdefault(lang, np.zeros(size, np.int64))
                         raw = text.encode("utf-8", "surrogatepass")
-                        h[:N_WORDS] += word_histogram([w.decode("utf-8", "surrogatepass") for w in raw.split()])
+                        words.setdefault(lang, Counter()).update(raw.split())
                         if len(raw) >= min_chars and (c := class_histogram(raw)).any():
-                            h[at + np.rint(STEPS * np.sqrt(c / c.sum())).astype(int)] += 1
-            if len(sums) > 200:
-                yield flat(sums)
-                sums = {}
-        yield flat(sums)
-
-    def flat(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
-        filled = [(k, i, int(h[i])) for k, h in sums.items() for i in np.flatnonzero(h).tolist()]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in filled], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["lang", "bin", "n"])
-
-    summed = few.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    long_docs = F.sum(F.when((F.col("bin") >= int(at[0])) & (F.col("bin") <= int(at[0]) + STEPS), F.col("n"))).over(Window.partitionBy("lang"))
-    kind = F.when(F.col("lang") == POOL, "none").when(long_docs >= min_docs, "own").otherwise("rest")
-    merged = summed.withColumn("kind", kind).groupBy("kind", F.when(F.col("kind") == "own", F.col("lang")).otherwise(POOL).alias("lang"), "bin").agg(F.sum("n").alias("n"))
-
-    def reduce(rows: pa.Table) -> pa.Table:
-        h = np.zeros(size, np.int64)
-        h[rows["bin"].to_numpy()] = rows["n"].to_numpy()
-        shares = np.zeros(N_CLASSES)
-        if (docs := h[at[0] : at[0] + STEPS + 1].sum()) > 0:
-            for c, start in enumerate(at):
-                shares[c] = (int(np.searchsorted(np.cumsum(h[start : start + STEPS + 1]), docs / 2)) / STEPS) ** 2
-        return pa.table({"kind": rows["kind"][:1], "lang": rows["lang"][:1], "shares": pa.array([shares.tolist()]), "words": pa.array([h[:N_WORDS].tolist()])})
-
-    rows = merged.groupBy("kind", "lang").applyInArrow(reduce, "kind string, lang string, shares array<double>, words array<long>").collect()
-    rows = [r for r in rows if any(r["words"])]
-    rows = [r for r in rows if r["kind"] != "none"] or rows
-    return {r["lang"]: (np.array(r["shares"]), np.array(r["words"], float)) for r in sorted(rows, key=lambda r: r["lang"])}
-
-
-def quality_rules(df: DataFrame, lang_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text", max_class_distance: float = 0.2, max_word_distance: float = 0.6, min_chars: int = 200, min_words: int = 50, keep: bool = False) -> DataFrame:
+                            cells.setdefault(lang, np.zeros(size, np.int64))[at + np.rint(STEPS * np.sqrt(c / c.sum())).astype(int)] += 1
+                if sum(map(len, words.values())) > 200_000 or len(cells) > 200:
+                    yield flat(cells, words)
+                    cells, words = {}, {}
+        yield flat(cells, words)
+
+    def flat(cells: dict[str, np.ndarray], words: dict[str, Counter]) -> pa.RecordBatch:
+        terms: Counter = Counter()
+        for lang, counts in words.items():
+            for w, n in counts.items():
+                terms[lang, term(w.decode("utf-8", "surrogatepass"))] += n
+        rows = [(lang, w, None, n) for (lang, w), n in terms.items()] + [(k, None, i, int(h[i])) for k, h in cells.items() for i in np.flatnonzero(h).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "word", "cell", "n"])
+
+    scratch = Scratch(df.sparkSession)
+    summed = scratch.keep(few.mapInArrow(run, "lang string, word string, cell int, n long").groupBy("lang", "word", "cell").agg(F.sum("n").alias("n")))
+    docs = summed.groupBy("lang").agg(F.sum(F.when(F.col("cell") <= STEPS, F.col("n"))).alias("docs"))
+    kind = F.when(F.col("lang") == POOL, "none").when(F.col("docs") >= min_docs, "own").otherwise("rest")
+    merged = summed.join(docs, "lang").withColumn("kind", kind).groupBy("kind", F.when(F.col("kind") == "own", F.col("lang")).otherwise(POOL).alias("lang"), "word", "cell").agg(F.sum("n").alias("n"))
+    merged = scratch.keep(merged)
+    totals = merged.where("word IS NOT NULL").groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
+    if any(r["kind"] != "none" for r in totals):
+        merged, totals = merged.where("kind <> 'none'"), [r for r in totals if r["kind"] != "none"]
+    totals = sorted(totals, key=lambda r: r["lang"])
+    langs = {r["lang"]: i for i, r in enumerate(totals)}
+
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = merged.where("word <> ''").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= common).select("word").distinct()
+    bins = {r["word"]: i for i, r in enumerate(sorted(top.collect()))}
+    words = np.zeros((len(langs), len(bins) + 1))
+    for r in merged.join(F.broadcast(top), "word").select("lang", "word", "n").collect():
+        words[langs[r["lang"]], bins[r["word"]]] = r["n"]
+    words[:, -1] = np.array([r["n"] for r in totals]) - words[:, :-1].sum(axis=1)
+
+    shares = merged.where("cell IS NOT NULL").select("lang", F.expr(f"cell div {STEPS + 1}").alias("c"), (F.col("cell") % (STEPS + 1)).alias("step"), "n")
+    line = Window.partitionBy("lang", "c")
+    shares = shares.withColumns({"upto": F.sum("n").over(line.orderBy("step")), "all": F.sum("n").over(line)}).where("2 * upto >= all").groupBy("lang", "c").agg(F.min("step").alias("step"))
+    classes = np.zeros((len(langs), N_CLASSES))
+    for r in shares.collect():
+        classes[langs[r["lang"]], r["c"]] = (r["step"] / STEPS) ** 2
+    scratch.clear()
+    return References(list(langs), bins, classes, words / np.maximum(words.sum(axis=1, keepdims=True), 1))
+
+
+def quality_rules(df: DataFrame, lang_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text", max_class_distance: float = 0.2, max_word_distance: float = 0.6, min_chars: int = 200, min_words: int = 100, keep: bool = False) -> DataFrame:
     """Base counts and the divergence verdict for each row of `df`.
 
     A document's class and word histograms are compared with every language reference; it is rejected if the
@@ -177,21 +200,20 @@ def quality_rules(df: DataFrame, lang_col: str | None = "lang", id_col: str = "d
     `df` may have any name.
     """
     refs = references(df, lang_col, text_col, min_chars=min_chars)
-    langs = list(refs)
-    by_words = np.array([w / w.sum() for _, w in refs.values()])
-    by_classes = np.array([c / c.sum() for c, _ in refs.values() if c.any()])
+    by_classes = np.array([c / c.sum() for c in refs.classes if c.any()])
+    shared = df.sparkSession.sparkContext.broadcast(refs)
 
     def judge(text: str | None) -> tuple:
         words, chars, symbols, dup, rep = base_counts(text)
         n = len(words)
         failed = n < 50 or 100 * rep > 50 * n
         by_class, by_word, lang = 0.0, 0.0, None
-        if n and refs:
+        if n and shared.value.langs:
             raw = text.encode("utf-8", "surrogatepass")
-            mine, own = class_histogram(raw), word_histogram(words)
+            mine, own = class_histogram(raw), shared.value.word_histogram(words)
             by_class = float(js_distances(mine, by_classes).min()) if len(by_classes) and mine.any() else 0.0
-            distances = js_distances(own, by_words)
-            by_word, lang = float(distances.min()), langs[int(distances.argmin())]
+            distances = js_distances(own, shared.value.words)
+            by_word, lang = float(distances.min()), shared.value.langs[int(distances.argmin())]
             ok = (len(raw) < min_chars or by_class <= max_class_distance) and (n < min_words or by_word <= max_word_distance)
         else:
             ok = True
