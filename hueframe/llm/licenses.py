@@ -22,10 +22,15 @@ SPELLINGS = {
     "whilst": "while",
     "https": "http",
 }
-COPYRIGHT_LINE = r"(^|\n)[^\n]*(copyright [0-9(©]|\(c\)|©|all rights reserved)[^\n]*"
+# A copyright statement is its marks, then a year or both marks, then a holder up to the end of the line or to where a
+# licence begins; a clause "(c)" or the words "copyright notice" are none.
+_STOP = r"(\n|\z|permission (?:is|to)|redistribution and|licensed under|released under|all rights reserved|this (?:software|program|library|work|file))"
+_MARKS = r"(?:copyright[ \t]*(?:\(c\)|©)[ \t,:]*|(?:copyright|\(c\)|©)[ \t,:]*[\[<{]?(?:[0-9]{4}|yyyy|year))"
+COPYRIGHT = _MARKS + r"[^\n]{0,200}?" + _STOP
+RESERVED = r"all rights reserved"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
-# Public licence texts, without their copyright lines, and usual one-line notices.
+# Public licence texts, without their titles and copyright lines, and usual notices.
 LICENSES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -51,25 +56,83 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
-    "notice-Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "notice-GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "notice-MIT": "Released under the MIT License.",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>""",
+    "notice-Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "notice-MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "notice-GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "notice-AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.
+
+You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "short-Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "short-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "short-GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "short-MIT": "Released under the MIT License.",
+}
+# Titles that stand above a licence's text.
+TITLES = {
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "ISC": ["ISC License", "The ISC License"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License", "The zlib License"],
 }
 
 
+def forms(texts: dict[str, str] = LICENSES, titles: dict[str, list[str]] = TITLES) -> list[tuple[str, str]]:
+    """(license_id, text) of each licence without a title and below each of its titles."""
+    return sorted((name, top + text) for name, text in texts.items() for top in ["", *(f"{t}\n\n" for t in titles.get(name, []))])
+
+
 def canonical(text: Column) -> Column:
-    """A text's canonical form: lower case, no copyright lines, no punctuation, one spelling; null for null."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORDS, " "), F.lit(" "))
+    """A text's canonical form: lower case, no copyright statements, no punctuation, one spelling; null for null."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, "\n$1"), RESERVED, " ")
+    # Two blanks between words give each word its own, so that neighbours are both seen.
+    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORDS, "  "), F.lit(" "))
     for spelling, same in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {same} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {same.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
-def license_table(spark: SparkSession, texts: dict[str, str] = LICENSES) -> DataFrame:
-    """Known licences as (license_id, digest); of texts with one digest the smallest id stays."""
-    known = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
+def license_table(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Known licences as (license_id, digest) from (license_id, text), those of `forms` if not given; of texts with one digest the smallest id stays."""
+    known = spark.createDataFrame(forms() if texts is None else texts, "license_id string, text string")
     return known.select("license_id", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,26 +36,28 @@ def _size_class(size: Column) -> Column:
     return F.when(size < 4096, F.expr("size div 32")).otherwise(128 + F.least(F.expr("size div 4096"), F.lit(1000)))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", carry: list[str] | None = None, cell_rows: int = 20_000) -> DataFrame:
     """Each row of `df` with its copies in the mix: (row: struct of df's columns, or of those in `carry`, size, source_size, target, copies, taken).
 
     A document's expected copies are its source's target over its source's size. Within a source the documents
-    stand by size class, hash of their id, size and id; the running sum of expected copies plus one random offset
+    stand by size class, hash of their id and size; the running sum of expected copies plus one random offset
     of the source passes an integer as often as the document is taken. Order by size makes every stretch of sizes
     give its share, so that the words taken come near the target too. The running sum is a rank times a constant:
     ranks come from counts of (source, class, bucket) cells plus a rank inside the cell, so that no task holds a
-    whole source. Offsets come from the source's name and `seed`: reruns agree.
+    whole source. A bucket is as many first digits of the hash as keep about `cell_rows` rows a bucket, even if all
+    rows were of one source and class; ranks don't depend on their number. Offsets come from the source's name and `seed`: reruns agree.
 
     Null text has size 0 (and a full share of copies, which take no words); null source is a source of its own,
     last; repeated rows stand side by side and are taken each for itself; a null id is an id like others; an empty
     table gives an empty one. df's columns may have any name.
     """
+    digits = min(max(math.ceil(math.log(max(df.count() / cell_rows, 1), 16)), 1), 8)
     rows = (
         df.select(F.struct(*(F.col(f"`{c}`") for c in carry or df.columns)).alias("row"), F.col(id_col).cast("string").alias("k"), F.col(source_col).cast("string").alias("s"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         .withColumn("key", F.when(F.col("s").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "s")))
         .withColumn("class", _size_class(F.col("size")).cast("long"))
         .withColumn("hash", F.md5(F.coalesce("k", F.lit("")).cast("binary")))
-        .withColumn("bucket", F.substring("hash", 1, 2))
+        .withColumn("bucket", F.substring("hash", 1, digits))
         .drop("s", "k")
     )
     cell = ["key", "class", "bucket"]
@@ -66,7 +70,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     by_class = classes.select("key", "class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above")).join(targets, "key")
     starts = cells.select(*cell, F.coalesce(F.sum("n").over(within), F.lit(0)).alias("start")).join(by_class, ["key", "class"]).select(*cell, (F.col("above") + F.col("start")).alias("start"), "source_size", "target")
 
-    rank = F.col("start") + F.row_number().over(Window.partitionBy(*cell).orderBy("size", "hash"))
+    rank = F.col("start") + F.row_number().over(Window.partitionBy(*cell).orderBy("hash", "size"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary")), 1, 7), 16, 10).cast("double") / F.lit(268435456.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     passed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))

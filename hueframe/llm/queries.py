@@ -88,7 +88,7 @@ l AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(c
          / sum(weight) OVER (ORDER BY cap / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
 t AS (SELECT key, source_size, least(cap, (max(lev) OVER ()) * weight) AS target, CAST('0x' || substr(md5('mix:' || key), 1, 7) AS BIGINT) / CAST(268435456.0 AS DOUBLE) AS u FROM l),
 r AS (SELECT doc_id, size, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         row_number() OVER (PARTITION BY key ORDER BY CASE WHEN size < 4096 THEN size // 32 ELSE 128 + least(size // 4096, 1000) END, substr(hash, 1, 2), size, hash) AS k
+         row_number() OVER (PARTITION BY key ORDER BY CASE WHEN size < 4096 THEN size // 32 ELSE 128 + least(size // 4096, 1000) END, hash, size) AS k
       FROM d JOIN t USING (key))
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * least(floor(k * rate + u) - floor((k - 1) * rate + u), 2) AS BIGINT) AS taken FROM r"""
@@ -96,12 +96,14 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 
 def _licenses_sql() -> str:
     def form(column: str) -> str:
-        out = f"""' ' || regexp_replace(regexp_replace(lower({column}), '{licenses.COPYRIGHT_LINE.replace(chr(92) + "n", chr(10))}', chr(10), 'g'), '{licenses.NOT_WORDS}', ' ', 'g') || ' '"""
+        regex = lambda r: r.replace("\\n", "\n").replace("\\t", "\t")
+        out = f"""regexp_replace(regexp_replace(lower({column}), '{regex(licenses.COPYRIGHT)}', chr(10) || '\\1', 'g'), '{licenses.RESERVED}', ' ', 'g')"""
+        out = f"""' ' || regexp_replace({out}, '{licenses.NOT_WORDS}', '  ', 'g') || ' '"""
         for spelling, same in licenses.SPELLINGS.items():
-            out = f"replace({out}, ' {spelling} ', ' {same} ')"
-        return f"trim({out})"
+            out = f"replace({out}, ' {spelling.replace(' ', '  ')} ', ' {same.replace(' ', '  ')} ')"
+        return f"trim(replace({out}, '  ', ' '))"
 
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.LICENSES.items())
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.forms())
     return f"""
 WITH k AS (SELECT sha256({form("v.t")}) AS digest, min(v.i) AS license_id FROM (VALUES {values}) v(i, t) GROUP BY 1),
 d AS (SELECT doc_id, {form("text")} AS c FROM documents),
