@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stored
 
 HASHED = 2048  # cells of hashed byte 3-grams
 BURSTS = 8  # words by how often the text repeats them: 1, 2, 3-4, 5-8, ...
@@ -49,6 +49,7 @@ class Model:
     vectors: np.ndarray
     labels: np.ndarray
     prior: float
+    weights: np.ndarray | float = 1.0  #: of each labelled vector's vote
 
     def place(self, x: np.ndarray) -> np.ndarray:
         y = (x - self.mean) @ self.axes
@@ -61,7 +62,7 @@ class Model:
         cosines = self.place(x) @ self.vectors.T
         k = min(neighbours, len(self.labels))
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(float) ** power
+        weights = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(float) ** power * np.broadcast_to(self.weights, len(self.labels))[near]
         total = weights.sum(axis=1)
         votes = (weights * self.labels[near]).sum(axis=1)
         return np.where(total > 1e-12, votes / np.maximum(total, 1e-12), self.prior)
@@ -71,21 +72,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Latent space and labelled vectors from a bounded sample: at most `sample` rows of each label, smallest hash of the id first.
 
     `docs` and `labels` are the rows that may be learnt from. Labels are 0 or 1; others and nulls are left out,
-    and an id with several labels takes the smallest. The driver gets at most 2 * sample vectors of fixed length
+    an id with several labels takes the smallest, and of several texts of one id the smallest counts. The sample is taken from labels whose
+    document is there, by their ids alone; each label's votes weigh as much as its share of all of those, so that the sample's size doesn't
+    change the mix. The driver gets at most 2 * sample vectors of fixed length
     and finds the axes there; the model that tasks get is as bounded.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
-    picked = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
-        picked = part if picked is None else picked.union(part)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    known = stored(known.join(rows.select("id"), "id", "left_semi"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    picked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("id", "y")
+    rows = rows.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t).astype("<f4").tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["id", "y", "x"])
 
-    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.dropDuplicates(["id"]).mapInArrow(run, "id long, y int, x binary").collect())
+    got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.select("id", "y", "text").mapInArrow(run, "id long, y int, x binary").collect())
     got = [r for r in got if any(r[2])]
     y = np.array([r[1] for r in got], float)
     if not len(got):
@@ -94,7 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mean = x.mean(axis=0)
     values, vectors = np.linalg.eigh(((x - mean).T @ (x - mean)).astype(np.float64))
     top = np.argsort(-values)[:axes]
-    model = Model(mean, np.ascontiguousarray(vectors[:, top]).astype(np.float32), np.zeros((0, 1), np.float32), y, float(y.mean()))
+    weight = {v: n / max((y == v).sum(), 1) for v, n in counts.items()}
+    weight = {v: w / max(weight.values()) for v, w in weight.items()}
+    model = Model(mean, np.ascontiguousarray(vectors[:, top]).astype(np.float32), np.zeros((0, 1), np.float32), y, counts.get(1, 0) / sum(counts.values()), np.array([weight[int(v)] for v in y]))
     model.vectors = model.place(x).astype(np.float32)
     return model
 
