@@ -37,8 +37,8 @@ class Packer:
     A piece goes to the open bin where the dot product of its demand and the bin's free room, each dimension as a
     share of its limit, is largest among the bins that hold it whole. If none does, a new bin opens; if as many
     are open as may be, the piece is cut to fill the bin of the largest dot product, which closes, and its rest
-    is placed again. A bin's last segment is kept for a piece that fills it. At the end the open bins' pieces are
-    poured into full bins, and the last, short one is cut into bins whose sizes are powers of two.
+    is placed again. A bin that its segments or loss-bearing tokens keep from filling up gives out a sequence of
+    its first tokens whose number is a power of two, which needs no padding, and keeps the rest. So do all bins at the end.
     """
 
     def __init__(self, max_tokens: int = 2048, max_segments: int = 512, max_loss: int | None = None, open_bins: int = 24):
@@ -53,18 +53,16 @@ class Packer:
             n, bearing = len(piece.ids), piece.bearing()
             if n >= tokens or bearing > loss_limit:
                 at = min(n, tokens)
-                if bearing > loss_limit and piece.loss is not None:
-                    at = min(at, int(np.searchsorted(np.cumsum(piece.loss), loss_limit, side="right")))
-                elif bearing > loss_limit:
-                    at = min(at, loss_limit)
-                head, piece = piece.cut(at)
+                if bearing > loss_limit:
+                    at = min(at, loss_limit if piece.loss is None else int(np.searchsorted(np.cumsum(piece.loss), loss_limit, side="right")))
+                head, piece = piece.cut(_goal(at, tokens))
                 yield [head]
                 if not len(piece.ids):
                     return
                 continue
             demand = np.array([n, 1, bearing], float)
             open_ = np.array([b is not None for b in self.bins])
-            fits = open_ & (self.room >= demand).all(axis=1) & ((self.room[:, 1] > 1) | (self.room[:, 0] == n))
+            fits = open_ & (self.room >= demand).all(axis=1)
             score = (self.room / self.limits) @ (demand / self.limits)
             if fits.any():
                 i = int(np.where(fits, score, -1).argmax())
@@ -72,51 +70,65 @@ class Packer:
                 i = int((~open_).argmax())
                 self.bins[i], self.room[i] = [], self.limits
             else:
-                can = open_ & (self.room[:, 1] >= 1) & (self.room[:, 0] <= n)
+                can = (self.room[:, 1] >= 1) & (self.room[:, 0] <= n)
                 i = int(np.where(can, score, -1).argmax()) if can.any() else int(self.room[:, 0].argmin())
                 at = int(self.room[i, 0])
                 if can.any() and piece.cut(at)[0].bearing() <= self.room[i, 2]:
                     head, piece = piece.cut(at)
-                    self.bins[i].append(head)
-                yield self.bins[i]
-                self.bins[i] = None
-                self.room[i] = 0
-                if not len(piece.ids):
-                    return
+                    yield [*self.bins[i], head]
+                    self.bins[i], self.room[i] = None, 0
+                    if not len(piece.ids):
+                        return
+                else:
+                    yield self._part(i)
                 continue
             self.bins[i].append(piece)
             self.room[i] -= demand
-            if self.room[i, 0] == 0 or self.room[i, 1] == 0:
+            if self.room[i, 0] == 0:
                 yield self.bins[i]
-                self.bins[i] = None
-                self.room[i] = 0
+                self.bins[i], self.room[i] = None, 0
+            elif self.room[i, 1] == 0:
+                yield self._part(i)
             return
 
+    def _part(self, i: int) -> list[Piece]:
+        """The first tokens of bin i, as many as the largest power of two that it holds; the rest stays in it."""
+        out, rest = _first(self.bins[i], _goal(sum(len(p.ids) for p in self.bins[i]), int(self.limits[0])))
+        self.bins[i] = rest or None
+        self.room[i] = self.limits - [sum(len(p.ids) for p in rest), len(rest), sum(p.bearing() for p in rest)] if rest else 0
+        return out
+
     def finish(self) -> Iterator[list[Piece]]:
-        tokens, segments, loss = self.limits
-        rest = [p for b in self.bins if b for p in b]
+        """Pours what is open into one bin after the other."""
+        rest = [p for b in self.bins if b for p in b][::-1]
         self.bins = [None] * len(self.bins)
-        left = sum(len(p.ids) for p in rest)
         now: list[Piece] = []
-        goal, filled, bearing = _goal(left, int(tokens)), 0, 0
-        rest.reverse()
-        while rest:
-            piece = rest.pop()
-            if bearing + piece.bearing() > loss:
-                yield now
-                left -= filled
-                now, goal, filled, bearing = [], _goal(left, int(tokens)), 0, 0
-            if filled + len(piece.ids) > goal:
-                piece, after = piece.cut(goal - filled)
-                rest.append(after)
-            now.append(piece)
-            filled, bearing = filled + len(piece.ids), bearing + piece.bearing()
-            if filled == goal or len(now) == segments:
-                yield now
-                left -= filled
-                now, goal, filled, bearing = [], _goal(left, int(tokens)), 0, 0
-        if now:
-            yield now
+        while rest or now:
+            room = self.limits - [sum(len(p.ids) for p in now), len(now), sum(p.bearing() for p in now)]
+            while rest and (room[:2] >= 1).all():
+                piece = rest.pop()
+                head, after = piece.cut(min(len(piece.ids), int(room[0])))
+                if head.bearing() > room[2]:
+                    rest.append(piece)
+                    break
+                now.append(head)
+                room -= [len(head.ids), 1, head.bearing()]
+                if len(after.ids):
+                    rest.append(after)
+            out, now = _first(now, _goal(sum(len(p.ids) for p in now), int(self.limits[0])))
+            yield out
+
+
+def _first(pieces: list[Piece], goal: int) -> tuple[list[Piece], list[Piece]]:
+    """The first `goal` tokens of some pieces, and the rest."""
+    out: list[Piece] = []
+    for i, p in enumerate(pieces):
+        if goal < len(p.ids):
+            head, after = p.cut(goal)
+            return [*out, *([head] if goal else [])], [after, *pieces[i + 1 :]]
+        out.append(p)
+        goal -= len(p.ids)
+    return out, []
 
 
 def _goal(left: int, most: int) -> int:

@@ -47,6 +47,39 @@ def test_language_edges(spark):
     assert language_id.identify_languages(empty(spark), known).count() == 0
 
 
+def test_any_number_of_languages_and_every_place_of_a_text(spark):
+    """250 languages are all learnt, and what stands at a long text's end can be in a dictionary."""
+    rng = random.Random(7)
+    word = lambda k: "".join(chr(97 + (k * 7 + rng.randrange(9)) % 26) for _ in range(6))
+    rows = [(10 * k + i, " ".join(word(k) for _ in range(60)), f"l{k:03d}") for k in range(250) for i in range(2)]
+    rows += [(9000, "alpha beta " * 3000 + "omega " * 3000, "long")]
+    known = language_id.learn_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(known) == {r[2] for r in rows} and b"omega" in known["long"] and b"alpha" in known["long"]
+
+
+def test_predictions_are_naive_compressions(spark):
+    """The language is the one whose dictionary makes the sum of compressed chunks smallest."""
+    import re
+    import zstandard
+
+    rng = random.Random(3)
+    known = {"x": b"lorem ipsum dolor sit amet " * 40, "y": b"the quick brown fox jumps over " * 40, "z": "dès où été là ça ".encode() * 60}
+    texts = [" ".join(rng.choice("lorem ipsum dolor the quick brown fox dès où été 12 !?".split()) for _ in range(rng.randint(1, 900))) for _ in range(60)] + ["", "12 !", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.identify_languages(df, known).collect():
+        clean = "".join(c if c.isalpha() else " " for c in (texts[r["doc_id"]] or "").lower())
+        clean = re.sub(" +", " ", clean).strip().encode()
+        if not clean:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        sizes = {}
+        for lang, raw in known.items():
+            c = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(clean[i : i + 2048])) for i in range(0, len(clean), 2048))
+        best = sorted(sizes.values())
+        assert sizes[r["lang_pred"]] == best[0] and r["rejected"] == ((best[1] - best[0]) / best[0] < 0.01)
+
+
 # ---- mixing
 
 
@@ -119,12 +152,30 @@ def test_license_forms(spark):
     rows = licenses.scan_licenses(df, licenses.license_table(spark)).collect()
     found = {r["doc_id"]: r for r in rows}
     assert len(rows) == len(texts) + 1
-    assert [found[i]["license_id"] for i in range(len(texts))] == ["MIT", "MIT", "MIT", "BSD-2-Clause", None, "notice-MIT", None, None, None, None, None]
+    assert [found[i]["license_id"] for i in range(len(texts))] == ["MIT", "MIT", "MIT", "BSD-2-Clause", None, "short-MIT", None, None, None, None, None]
     assert found[6]["digest"] is None and found[7]["digest"] is None and found[8]["digest"] is None and found[9]["digest"] == found[10]["digest"]
     assert licenses.scan_licenses(awkward(spark), licenses.license_table(spark)).count() == awkward(spark).count()
     assert licenses.scan_licenses(empty(spark), licenses.license_table(spark)).count() == 0
 
 
+def test_license_files(spark):
+    """Whole licence files with titles and holders in usual forms, clauses marked (c), and spellings that stand side by side."""
+    L = licenses.LICENSES
+    heads = ["MIT License\n\nCopyright (c) 2020 Jane Doe\n\n", "The MIT License (MIT)\n\nCopyright © 2011-2019, Someone <a@b.c>\nCopyright (C) 2020 Another\n\n", "Copyright (c) 2020 X ", "Copyright 2020 Jane Doe. All rights reserved. ", "(c) 2019 A\n", "Copyright [yyyy] [name of copyright owner]\n", "MIT License Copyright (c) Jane Doe "]
+    rows = [(i, h + L["MIT"], "MIT") for i, h in enumerate(heads)]
+    rows += [(20, "BSD 3-Clause License\n\nCopyright (c) 2024, Jane\nAll rights reserved.\n\n" + L["BSD-3-Clause"], "BSD-3-Clause"), (21, "# Copyright 2020 Jane\n#\n" + "\n".join("# " + x for x in L["notice-Apache-2.0"].split("\n")), "notice-Apache-2.0"), (22, L["Unlicense"], "Unlicense"), (23, "ISC License\n\nCopyright (c) 2020 J\n\n" + L["ISC"], "ISC")]
+    rows += [(30, "You may: (a) copy it; (b) lend it;\n(c) You may sell it.", None), (31, "You may: (a) copy it; (b) lend it;\n(c) You may NOT sell it.", None), (32, "licence licence whilst whilst", None), (33, "license license while while", None), (34, "sub licence sub licence", None), (35, "sublicense sublicense", None), (36, "the above copyright notice", None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(df, licenses.license_table(spark)).collect()}
+    assert [found[i]["license_id"] for i, _, _ in rows] == [x for _, _, x in rows]
+    assert found[30]["digest"] != found[31]["digest"] and found[32]["digest"] == found[33]["digest"] and found[34]["digest"] == found[35]["digest"] and found[36]["digest"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {(r[0], r[1], r[3]) for r in con.execute(queries.SQL["op3_licenses"]).fetchall()} == {(i, r["digest"], r["license_id"]) for i, r in found.items()}
+    assert len({r["digest"] for r in licenses.license_table(spark).collect()}) == len(licenses.forms())
+
+
 # ---- quality
 
 
@@ -187,8 +238,8 @@ def test_rare_languages_keep_references(spark):
     rows += [(300, "#$% &*| <> 1!! " * 40, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     refs = quality_rules.references(df)
-    assert set(refs) == {"en", "ru", "*"}
-    assert refs["ru"][1].sum() < 0.005 * sum(w.sum() for _, w in refs.values())
+    assert refs.langs == ["*", "en", "ru"]
+    assert sum(len(t.split()) for _, t, lang in rows if lang == "ru") < 0.005 * sum(len(t.split()) for _, t, _ in rows)
     distance = {r["doc_id"]: r["class_distance"] for r in quality_rules.quality_rules(df).collect()}
     assert all(distance[i] <= 0.2 for i, _, lang in rows if lang != "en") and distance[300] > 0.2
     kept = {r["doc_id"] for r in quality_rules.quality_rules(df, keep=True).collect()}
@@ -201,12 +252,40 @@ def test_references_of_many_even_languages(spark):
     for each, names in ((2, {"*"}), (20, {f"l{k:03d}" for k in range(250)})):
         rows = [(k * 100 + i, prose(rng, 60), f"l{k:03d}") for k in range(250) for i in range(each)] + [(10**6, "#$%&*|<> 1!! " * 60, None), (10**6 + 1, "".join(rng.choice("#$%&*|<>{}~ ") for _ in range(900)), "l001")]
         df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-        assert set(quality_rules.references(df)) == names
+        assert set(quality_rules.references(df).langs) == names
         got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
         assert got[10**6 + 1]["n_words"] >= 50 and not got[10**6 + 1]["kept"] and got[10**6 + 1]["class_distance"] > 0.2
         assert all(got[i]["kept"] for i, _, _ in rows[:-2])
 
 
+def test_verdicts_are_naive(spark):
+    """Common words, references, distances and verdicts, counted in plain Python over all documents."""
+    rng = random.Random(12)
+    rows = [(i, (prose(rng, rng.randint(1, 120)) if i % 3 else script_prose(rng, 0x430, rng.randint(1, 90))) if i % 17 else rng.choice([None, "", "#$% &*| <> 1!! " * 30]), "en" if i % 3 else "ru") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    q = quality_rules
+    counts, shares = {}, {}
+    for _, t, lang in rows:
+        if t:
+            counts.setdefault(lang, Counter()).update(q.term(w) for w in t.split())
+            if len(t.encode()) >= 200:
+                c = q.class_histogram(t.encode())
+                shares.setdefault(lang, []).append(c / c.sum())
+    bins = sorted({w for c in counts.values() for w, _ in sorted(((w, n) for w, n in c.items() if w), key=lambda x: (-x[1], x[0]))[:40]})
+    hist = lambda c: np.array([*(c[w] for w in bins), sum(c.values()) - sum(c[w] for w in bins)])
+    medians = {k: np.array([(np.sort(np.rint(q.STEPS * np.sqrt(col)))[(len(col) + 1) // 2 - 1] / q.STEPS) ** 2 for col in np.array(v).T]) for k, v in shares.items()}
+    for r in q.quality_rules(df).collect():
+        t = rows[r["doc_id"]][1]
+        n, _, _, _, rep = slow_counts(t)
+        by_class = by_word = 0.0
+        if t:
+            by_class = min(q.js_distance(q.class_histogram(t.encode()), m) for m in medians.values())
+            by_word = min(q.js_distance(hist(Counter(q.term(w) for w in t.split())), hist(c)) for c in counts.values())
+        assert r["class_distance"] == pytest.approx(by_class, abs=1e-9) and r["word_distance"] == pytest.approx(by_word, abs=1e-9)
+        sound = (not t or len(t.encode()) < 200 or by_class <= 0.2) and (n < 100 or by_word <= 0.6)
+        assert r["kept"] == (sound and not (n < 50 or 100 * rep > 50 * n))
+
+
 def test_distances_are_those_one_by_one():
     rng = np.random.default_rng(1)
     p, qs = rng.integers(0, 5, 30), rng.integers(0, 5, (7, 30))
@@ -236,6 +315,18 @@ def test_votes_are_brute_force():
         assert s == pytest.approx((w * y[near]).sum() / w.sum(), rel=1e-4)
 
 
+def test_sample_size_keeps_the_mix(spark):
+    """Votes weigh as each label's share of the labelled documents that are there, whatever the sample's bound; the smallest text of an id counts."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(90)] + [(0, "~ zzz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(500)], "doc_id long, quality int")
+    for sample in (5, 1500):
+        model = quality_knn.fit(docs, labels, sample=sample)
+        w = np.broadcast_to(model.weights, len(model.labels))
+        assert model.prior == pytest.approx(0.9) and (w * model.labels).sum() / w.sum() == pytest.approx(0.9)
+        assert len(model.labels) == (10 if sample == 5 else 90)
+
+
 def test_classifier_edges(spark):
     df = awkward(spark)
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(40)] + [(3, 0, 1), (5, None, 1), (6, 7, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")

@@ -95,6 +95,23 @@ def test_many_tiny_documents_meet_the_segment_limit():
     assert sum(len(b) for b in bins) == 5000 and max(map(len, bins)) <= 512
 
 
+@pytest.mark.parametrize("sizes, options", [((1, 1), {}), ((1, 3), {}), ((1, 40), {"max_segments": 7}), ((1, 900), {"max_loss": 1024}), ((1, 900), {"max_loss": 300, "loss": True})])
+def test_little_padding_whatever_limit_binds(sizes, options):
+    """Many tiny pieces, few segments, or few loss-bearing tokens: under 5 % of all tokens are padding."""
+    rng, loss = random.Random(6), options.pop("loss", False) if (options := dict(options)) else False
+    packer = packing.Packer(2048, options.get("max_segments", 512), options.get("max_loss"))
+    bins, sent = [], 0
+    for i in range(20_000 if sizes[1] < 10 else 3000):
+        n = rng.randint(*sizes)
+        sent += n
+        bins += packer.add(packing.Piece(i, n, 0, np.arange(n, dtype=np.uint32), np.arange(n) >= n * 0.7 if loss else None))
+    bins += packer.finish()
+    sizes = [sum(len(p.ids) for p in b) for b in bins]
+    assert sum(sizes) == sent and max(len(b) for b in bins) <= options.get("max_segments", 512)
+    assert max(sum(p.bearing() for p in b) for b in bins) <= options.get("max_loss", 2048)
+    assert sum(2048 - n for n in sizes if n & (n - 1)) < 0.05 * sent
+
+
 HARD = st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool\nx", "a\\n", "", "[INST]"]), st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "/", "s>", "INST]", "a", "\n", " ", "<|endoftext|>", "|", "é", "\U0001f600"]), max_size=8).map("".join)), max_size=5)
 
 
