@@ -332,9 +332,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, k: int = 5, id_col: str =
         return F.xxhash64(*node, at, F.element_at("tokens", (at + 1).cast("int")))
 
     branches = F.array(*(token([F.lit(i // width)], F.lit(i)) for i in range(first_level)))
-    spread = classes.select(F.posexplode(branches).alias("branch", "node"), *light, F.slice("tokens", 1, first_level).alias("tokens"))
-    shared = scratch.keep(spread.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    nodes = scratch.keep(salted_join(spread, shared, "node", "doc_id", total))
+    places = classes.select(F.posexplode(branches).alias("branch", "node"), "doc_id")
+    shared = scratch.keep(places.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # Most places are a node's only one; sketches follow those that aren't.
+    places = scratch.keep(salted_join(places, shared.hint("merge"), "node", "doc_id", total))
+    nodes = scratch.keep(places.join(classes.select(*light, F.slice("tokens", 1, first_level).alias("tokens")).hint("merge"), "doc_id"))
 
     large = nodes.where("n > 8").select("node", "n", *light)
     near = salted_join(large.drop("n"), scratch.keep(central(large, light, total)), "node", "doc_id", total).where((F.col("doc_id") != F.col("f_doc_id")) & _close("", "f_", percent))
