@@ -86,30 +86,34 @@ def kmeans(points: DataFrame, k: int, starts: int = 8, seed: int = 42) -> tuple[
     return best
 
 
-def silhouettes(assigned: DataFrame, blocks: int = 8) -> DataFrame:
+def silhouettes(assigned: DataFrame, block: int = 2000) -> DataFrame:
     """(id, cluster_id, a, b, s) of points (id, x, cluster_id): mean distance within, to the nearest other cluster, and the score.
 
-    Every point meets every other, which the score needs, in blocks: each of `blocks` parts meets each other part
-    in one task, and only a sum for each point and cluster leaves it. A point alone in its cluster has a = 0.
+    Every point meets every other, which the score needs and which costs the square of their number. Points are dealt into
+    parts of about `block`, by their count; each part meets each other part in one task, a point at a time, and only a sum
+    for each point and cluster is kept. A point alone in its cluster has a = 0.
     """
+    blocks = max(math.ceil(assigned.count() / block), 1)
     part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = assigned.select("id", "x", "cluster_id", part.alias("p")).withColumn("q", every)
-    right = assigned.select("id", "x", "cluster_id", part.alias("q")).withColumn("p", every)
+    # Names of its own, since both sides come from one table.
+    right = assigned.select(F.col("id").alias("id_"), F.col("x").alias("x_"), F.col("cluster_id").alias("other_"), part.alias("q_")).withColumn("p_", every)
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "cluster_id": [], "other": [], "total": [], "n": []})
-        x, y = np.stack(a.x), np.stack(b.x)
-        d = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
-        out = []
-        for c in b.cluster_id.unique():
-            at = (b.cluster_id == c).to_numpy()
-            own = (b.id.to_numpy()[None, at] == a.id.to_numpy()[:, None]).sum(1)
-            out.append(pd.DataFrame({"id": a.id, "cluster_id": a.cluster_id, "other": c, "total": d[:, at].sum(1), "n": at.sum() - own}))
-        return pd.concat(out)
-
-    parts = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(sums, "id long, cluster_id int, other int, total double, n long")
+        y, ids = np.stack(b.x_), b.id_.to_numpy()
+        clusters, code = np.unique(b.other_.to_numpy(), return_inverse=True)
+        size = np.bincount(code, minlength=len(clusters))
+        total, n = np.zeros((len(a), len(clusters))), np.zeros((len(a), len(clusters)), np.int64)
+        for i, (key, v) in enumerate(zip(a.id.to_numpy(), a.x)):
+            total[i] = np.bincount(code, np.sqrt(((y - v) ** 2).sum(1)), len(clusters))
+            n[i] = size - np.bincount(code[ids == key], minlength=len(clusters))
+        k = len(clusters)
+        return pd.DataFrame({"id": np.repeat(a.id.to_numpy(), k), "cluster_id": np.repeat(a.cluster_id.to_numpy(), k), "other": np.tile(clusters, len(a)), "total": total.ravel(), "n": n.ravel()})
+
+    parts = left.groupBy("p", "q").cogroup(right.groupBy("p_", "q_")).applyInPandas(sums, "id long, cluster_id int, other int, total double, n long")
     mean = parts.groupBy("id", "cluster_id", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).withColumn("m", F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(0.0))
     own = F.col("cluster_id") == F.col("other")
     both = mean.groupBy("id", "cluster_id").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))

@@ -31,22 +31,40 @@ def clip_lattice(lattice: DataFrame, low: float = -0.5, high: float = 1.5) -> Da
     return lattice.withColumns({k: clamp(F.col(k), low, high) for k in RGB})
 
 
+#: Nodes a side up to which the cells of a single lattice are broadcast: some 300 bytes for each of (n - 1)^3.
+BROADCAST_SIZE = 33
+
+
+def lattice_cells(lattice: DataFrame, n: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """(on..., cell, at): of each of the (n - 1)^3 cells, named by its lowest node, the colours of its eight corners, red fastest."""
+    near = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
+    at = [c.cast("long") for c in grid_coords(F.col("node_id"), n)]
+    low = [c - F.shiftright("k", i).bitwiseAND(F.lit(1)) for i, c in enumerate(at)]
+    rows = lattice.select(*on, "node_id", *RGB, near).where((F.least(*low) >= 0) & (F.greatest(*low) < n - 1))
+    return rows.groupBy(*on, flat_index(*low, n).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("k", *RGB))).alias("at"))
+
+
 def apply_lattice(df: DataFrame, lattice: DataFrame, n: int, kernel: str = "tetrahedral", columns: tuple[str, str, str] = RGB, out: tuple[str, str, str] = ("pr", "pg", "pb"), on: tuple[str, ...] = ()) -> DataFrame:
     """`df` with the lattice's colour for each row's colour, in the columns `out`.
 
-    A row looks up its four or eight corners by as many joins. One lattice has at most n^3 rows, so it is broadcast
-    and rows don't move; with `on`, columns that say which lattice a row uses, there may be any number of lattices,
-    and Spark chooses the join.
+    The lattice is first gathered by cells, so that one join on the cell gives a row all its corners. The cells of one
+    lattice of up to BROADCAST_SIZE nodes a side are broadcast; of a larger one, or with `on`, columns that say which
+    lattice a row uses, Spark chooses the join by their size.
     """
-    kept = df.columns
-    df = df.withColumn("_c", corners(kernel, *map(F.col, columns), n))
+    if not 2 <= n <= MAX_SIZE:
+        raise ValueError(f"a lattice has 2 to {MAX_SIZE} nodes a side, not {n}")
+    cells = lattice_cells(lattice, n, on).withColumnRenamed("cell", "_cell").withColumnRenamed("at", "_at")
+    rows = df.withColumn("_c", corners(kernel, *map(F.col, columns), n)).withColumn("_cell", F.col("_c")[0]["node"])
+    rows = rows.join(F.broadcast(cells) if not on and n <= BROADCAST_SIZE else cells, [*on, "_cell"])
+
+    def corner(i: int) -> Column:
+        step = F.col("_c")[i]["node"] - F.col("_cell")
+        place = step % n + 2 * (F.floor(step / n) % n) + 4 * F.floor(step / (n * n))
+        return F.element_at("_at", (place + 1).cast("int"))
+
     k = {"trilinear": 8, "tetrahedral": 4}[kernel]
-    table = lattice.select(*on, "node_id", *RGB)
-    for i in range(k):
-        part = table.select(*on, F.col("node_id").alias(f"_n{i}"), *(F.col(c).alias(f"_{c}{i}") for c in RGB))
-        df = df.withColumn(f"_n{i}", F.col("_c")[i]["node"]).join(part if on else F.broadcast(part), [*on, f"_n{i}"])
-    value = lambda c: sum((F.col("_c")[i]["w"] * F.col(f"_{c}{i}") for i in range(1, k)), F.col("_c")[0]["w"] * F.col(f"_{c}0"))
-    return df.select(*kept, *(value(c).alias(o) for c, o in zip(RGB, out)))
+    value = lambda c: sum((F.col("_c")[i]["w"] * corner(i)[c] for i in range(1, k)), F.col("_c")[0]["w"] * corner(0)[c])
+    return rows.select(*df.columns, *(value(c).alias(o) for c, o in zip(RGB, out)))
 
 
 def resample(lattice: DataFrame, n: int, size: int) -> DataFrame:

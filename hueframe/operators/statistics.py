@@ -79,9 +79,22 @@ def robust_scale(long: DataFrame) -> DataFrame:
 
 
 def seeded_subsample(df: DataFrame, id_col: str, share: float = 0.1, least: int = 1000, above: int = 10_000) -> DataFrame:
-    """All rows up to `above`; else max(share of rows, least) rows in the order of a hash of the id, so that reruns agree."""
+    """All rows up to `above`; else max(share of rows, least) rows in the order of a hash of the id, so that reruns agree.
+
+    Rows are counted in 4096 ranges of the hash. Whole ranges stay where they are; only the range in which the number
+    is reached is put in order.
+    """
     n = df.count()
     if n <= above:
         return df
     mixed = F.pmod(F.col(id_col) * F.lit(2_654_435_761), F.lit(4_294_967_296))
-    return df.orderBy(mixed, id_col).limit(max(int(n * share), least))
+    part = F.shiftright(mixed, 20)
+    counts = {r["part"]: r["count"] for r in df.groupBy(part.alias("part")).count().collect()}
+    left = max(int(n * share), least)
+    for at in sorted(counts):
+        if counts[at] > left:
+            break
+        left -= counts[at]
+    else:
+        return df
+    return df.where(part < at).union(df.where(part == at).orderBy(mixed, id_col).limit(left))

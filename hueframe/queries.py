@@ -147,13 +147,14 @@ def pixel_join(spark, d):
 _OPP = {"y_": "(ir + ig + ib) / sqrt(3.0)", "c1": "(ir - ig) / sqrt(2.0)", "c2": "(ir + ig - 2.0 * ib) / sqrt(6.0)"}
 
 
-@query(f"{PB} SELECT pair_id, bin_id, {', '.join(S.r(v, k) for k, v in _OPP.items())}, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for c in MEAN_IN)} FROM bins WHERE abs(ir * 1000 - floor(ir * 1000) - 0.5) > 1e-6 AND abs(ig * 1000 - floor(ig * 1000) - 0.5) > 1e-6 AND abs(ib * 1000 - floor(ib * 1000) - 0.5) > 1e-6")
+_BACK = {"r": ("y_ / sqrt(3.0) + c1 / sqrt(2.0) + c2 / sqrt(6.0)", "ir"), "g": ("y_ / sqrt(3.0) - c1 / sqrt(2.0) + c2 / sqrt(6.0)", "ig"), "b": ("y_ / sqrt(3.0) - 2.0 * c2 / sqrt(6.0)", "ib")}
+
+
+@query(f"{PB}, op AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _OPP.items())} FROM bins) SELECT pair_id, bin_id, {rs(*_OPP)}, {', '.join(f'abs({v} - {c}) < 1e-9 AS back_{k}' for k, (v, c) in _BACK.items())} FROM op")
 def opponent(spark, d):
-    rows = bins(spark, d)
-    for c in MEAN_IN:  # means on a rounding tie may fall either way after the round trip
-        rows = rows.where(F.abs(F.col(c) * 1000 - F.floor(F.col(c) * 1000) - 0.5) > 1e-6)
-    out = rows.select("pair_id", "bin_id", *(c.alias(k) for c, k in zip(colour.to_opponent(*map(F.col, MEAN_IN)), ("y_", "c1", "c2"))))
-    return rounded(out.withColumns({k: F.round(c, 3) for c, k in zip(colour.from_opponent(*map(F.col, ("y_", "c1", "c2"))), MEAN_IN)}))
+    out = bins(spark, d).withColumns({k: c for c, k in zip(colour.to_opponent(*map(F.col, MEAN_IN)), _OPP)})
+    same = [(F.abs(v - F.col(c)) < 1e-9).alias(f"back_{k}") for v, c, k in zip(colour.from_opponent(*map(F.col, _OPP)), MEAN_IN, "rgb")]
+    return rounded(out.select("pair_id", "bin_id", *_OPP, *same))
 
 
 @query(f"{PB}, {S.lab('bins', MEAN_IN, 's', 'x1')} SELECT pair_id, bin_id, {S.r('sL_', 'lightness')}, {S.r('sA_', 'a')}, {S.r('sB_', 'b')} FROM x1")
@@ -334,14 +335,20 @@ def cube_round_trip(spark, d):
     return rounded(cube.parse_text(cube.text_of(pair_lattices(spark, d), NODES)).select("lut_id", "node_id", "r", "g", "b"))
 
 
-_QM = f"""{PL}, {S.applied('tetrahedral')}, {S.lab('out', ('pr', 'pg', 'pb'), 's', 'z1')}, {S.lab('z1', MEAN_OUT, 't', 'z2')}, {S.de2000('z2', 's', 't', 'z3')}
-SELECT pair_id AS lut_id, {S.r('avg(de)', 'mean_de2000')}, {S.r('median(de)', 'median_de2000')}, {S.r('quantile_cont(de, 0.95)', 'p95_de2000')}, {S.r('max(de)', 'max_de2000')}, count(DISTINCT {S.node_of(NODES)}) AS occupied_nodes FROM z3 GROUP BY 1"""
+_WORST = [f"worst_{c}" for c in ("pr", "pg", "pb", *MEAN_IN)]
+_QM = f"""{PL}, {S.applied('tetrahedral')}, {S.lab('out', ('pr', 'pg', 'pb'), 's', 'z1')}, {S.lab('z1', MEAN_OUT, 't', 'z2')}, {S.de2000('z2', 's', 't', 'z3')},
+tv AS (SELECT lut_id, sum(s) / {3.0 * NODES**3} AS total_variation FROM (SELECT lut_id, {_STEP} AS s FROM lattice) GROUP BY 1), og_ AS (SELECT lut_id, sum({_OUTSIDE}) / (3.0 * count(*)) * 100.0 AS oog_pct FROM lattice GROUP BY 1),
+gd AS (SELECT lut_id, {', '.join(f'{c} - lag({c}) OVER (PARTITION BY lut_id ORDER BY node_id) AS d{c}' for c in 'rgb')} FROM lattice WHERE i = j AND j = k), mo AS (SELECT lut_id, CAST(sum(CASE WHEN dr < 0 OR dg < 0 OR db < 0 THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM gd GROUP BY 1),
+qm AS (SELECT pair_id AS lut_id, avg(de) AS mean_de2000, median(de) AS median_de2000, quantile_cont(de, 0.95) AS p95_de2000, max(de) AS max_de2000, count(DISTINCT {S.node_of(NODES)}) AS occupied_nodes, {', '.join(f'arg_max({w[6:]}, de) AS {w}' for w in _WORST)} FROM z3 GROUP BY 1)
+SELECT lut_id, {rs('mean_de2000', 'median_de2000', 'p95_de2000', 'max_de2000')}, occupied_nodes, {S.r(f'occupied_nodes / {float(NODES**3)} * 100.0', 'coverage_pct')}, {rs('total_variation', 'oog_pct', *_WORST)}, violations FROM qm JOIN tv USING (lut_id) JOIN og_ USING (lut_id) JOIN mo USING (lut_id)"""
 
 
 @query(_QM)
 def quality_metrics(spark, d):
     rows = bins(spark, d).withColumnRenamed("pair_id", "lut_id")
-    return rounded(N.quality_metrics(rows, pair_lattices(spark, d), NODES).select("lut_id", "mean_de2000", "median_de2000", "p95_de2000", "max_de2000", "occupied_nodes"))
+    found = N.quality_metrics(rows, pair_lattices(spark, d), NODES)
+    worst = [F.col(f"worst_predicted.{c}").alias(f"worst_{c}") for c in ("pr", "pg", "pb")] + [F.col(f"worst_source.{k}").alias(f"worst_{c}") for k, c in zip("rgb", MEAN_IN)]
+    return rounded(found.select("lut_id", "mean_de2000", "median_de2000", "p95_de2000", "max_de2000", "occupied_nodes", "coverage_pct", "total_variation", "oog_pct", "violations", *worst))
 
 
 @query()
@@ -354,12 +361,12 @@ sz AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM img GROUP BY 1),
 g AS (SELECT image_id, h, w, yy.range AS oy, xx.range AS ox, yy.range * (h - 1) / 19.0 AS sy, xx.range * (w - 1) / 11.0 AS sx FROM sz CROSS JOIN range(20) yy CROSS JOIN range(12) xx),
 f AS (SELECT *, greatest(least(floor(sy), h - 2), 0) AS y0, greatest(least(floor(sx), w - 2), 0) AS x0 FROM g),
 c AS (SELECT image_id, oy, ox, y0 + a.range AS y, x0 + b.range AS x, (CASE WHEN a.range = 1 THEN sy - y0 ELSE 1.0 - (sy - y0) END) * (CASE WHEN b.range = 1 THEN sx - x0 ELSE 1.0 - (sx - x0) END) AS wt FROM f CROSS JOIN range(2) a CROSS JOIN range(2) b)
-SELECT c.image_id, CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, {S.r('sum(wt * v)', 'r')} FROM c JOIN img ON img.image_id = c.image_id AND img.y = c.y AND img.x = c.x WHERE wt > 0 GROUP BY 1, 2, 3""")
+SELECT c.image_id, CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, {S.r('sum(wt * v)', 'r')}, {S.r('sum(wt * v * 0.5)', 'g')}, {S.r('sum(wt * (1.0 - v))', 'b')} FROM c JOIN img ON img.image_id = c.image_id AND img.y = c.y AND img.x = c.x WHERE wt > 0 GROUP BY 1, 2, 3""")
 def image_resize(spark, d):
     v = F.avg("value").alias("r")
-    img = table(spark, d, "events").where("value IS NOT NULL").groupBy(F.col("event_type").alias("image_id"), (F.dayofmonth("ts") - 1).alias("y"), F.hour("ts").alias("x")).agg(v).withColumns({"g": F.col("r"), "b": F.col("r")})
+    img = table(spark, d, "events").where("value IS NOT NULL").groupBy(F.col("event_type").alias("image_id"), (F.dayofmonth("ts") - 1).alias("y"), F.hour("ts").alias("x")).agg(v).withColumns({"g": F.col("r") * 0.5, "b": 1.0 - F.col("r")})
     sizes = img.select("image_id").distinct().select("image_id", F.lit(20).alias("height"), F.lit(12).alias("width"))
-    return rounded(N.resize(img, sizes).select("image_id", "y", "x", "r"))
+    return rounded(N.resize(img, sizes).select("image_id", "y", "x", "r", "g", "b"))
 
 
 # ---- percentiles, normalisation, outliers
@@ -600,12 +607,13 @@ def lattice_fit(spark, d):
 
 def _shots(spark, d):
     e = table(spark, d, "events").where("value IS NOT NULL")
-    w = Window.partitionBy("event_type").orderBy(F.to_date("ts"))
-    shots = e.select(F.col("event_type").alias("track"), (F.dense_rank().over(w) - 1).alias("shot_index"), "value")
     stats = [(f("value") / 500.0).alias(n) for n, f in (("m", F.avg), ("lo", F.min), ("hi", F.max))]
+    # One row a day before days are ranked.
+    days = e.groupBy(F.col("event_type").alias("track"), F.to_date("ts").alias("day")).agg(*stats)
+    days = days.withColumn("shot_index", F.row_number().over(Window.partitionBy("track").orderBy("day")) - 1)
     vec = F.array("m", "lo", "hi").alias("vec")
     cents = e.groupBy("event_type").agg(*stats).select((F.row_number().over(Window.orderBy("event_type")) - 1).alias("cluster_id"), vec)
-    return R.shot_distances(shots.groupBy("track", "shot_index").agg(*stats).select("track", "shot_index", vec), cents)
+    return R.shot_distances(days.select("track", "shot_index", vec), cents)
 
 
 @query(f"{S.DISTANCES} SELECT track, shot_index, cluster_id, {rs('distance')} FROM dist")
