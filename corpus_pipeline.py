@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents through quality rules, quality classifier, near-dedup, mixing and packing."""
+"""The corpus pipeline: documents through quality rules, quality classifier, near-dedup, mixing and packing.
+
+Every stage takes null ids, texts, languages and sources, empty and very long texts, repeated rows, empty tables and
+further columns of any name. The first stage drops null, empty and short texts by its base rules. Rows with a null id
+aren't near duplicates of any and stay; rows that share an id count as one document, of which near-dedup keeps one
+row; a null source is one source. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
