@@ -21,20 +21,33 @@ def standardized(features: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def squared_distance(x: Column, centre: list[float]) -> Column:
-    return F.aggregate(F.zip_with(x, F.array(*map(F.lit, map(float, centre))), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    at = F.expr(f"array({', '.join(f'{float(v)!r}D' for v in centre)})")
+    return F.aggregate(F.zip_with(x, at, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+
+
+def _nearest(centres: list[list[float]]) -> Column:
+    """(d, cluster_id) of the nearest centre, ties to the first."""
+    return F.array_min(F.array(*(F.struct(squared_distance(F.col("x"), c).alias("d"), F.lit(i).alias("cluster_id")) for i, c in enumerate(centres))))
 
 
 def assign(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """Points (id, x) with their nearest centre, ties to the first, and the squared distance."""
-    options = F.array(*(F.struct(squared_distance(F.col("x"), c).alias("d"), F.lit(i).alias("cluster_id")) for i, c in enumerate(centres)))
-    return points.withColumn("best", F.array_min(options)).select("id", "x", "best.cluster_id", F.col("best.d").alias("d"))
+    return points.withColumn("best", _nearest(centres)).select("id", "x", "best.cluster_id", F.col("best.d").alias("d"))
 
 
 def means(assigned: DataFrame) -> dict[int, list[float]]:
     """Mean vector of each cluster: k rows come back."""
-    long = assigned.select("cluster_id", F.posexplode("x").alias("dim", "v")).groupBy("cluster_id", "dim").agg(F.avg("v").alias("v"))
-    rows = long.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda p: p["v"]).alias("c")).collect()
-    return {r["cluster_id"]: r["c"] for r in rows}
+    return _means(assigned.withColumn("start", F.lit(0)))[0]
+
+
+def _means(assigned: DataFrame) -> dict[int, dict[int, list[float]]]:
+    """Mean vectors by start and cluster: starts times k rows come back."""
+    long = assigned.select("start", "cluster_id", F.posexplode("x").alias("dim", "v")).groupBy("start", "cluster_id", "dim").agg(F.avg("v").alias("v"))
+    rows = long.groupBy("start", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda p: p["v"]).alias("c")).collect()
+    out: dict[int, dict[int, list[float]]] = {}
+    for r in rows:
+        out.setdefault(r["start"], {})[r["cluster_id"]] = r["c"]
+    return out
 
 
 def _uniform(seed: int) -> Column:
@@ -42,35 +55,50 @@ def _uniform(seed: int) -> Column:
     return (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 1).cast("double") / float(1 << 52)
 
 
-def seeds(points: DataFrame, k: int, seed: int) -> list[list[float]]:
-    """k-means++ centres: each further one is drawn with odds of its squared distance to those before, by exponential keys from hashes.
+def seeds(points: DataFrame, k: int, starts: list[int]) -> list[list[list[float]]]:
+    """k-means++ centres for each seed of `starts`: each further one is drawn with odds of its squared distance to those before, by exponential keys from hashes.
 
-    Equal points give fewer centres than k.
+    One pass over the points draws a centre for every start. Equal points give fewer centres than k.
     """
-    first = points.orderBy(_uniform(seed), "id").first()
-    if first is None:
-        return []
-    centres = [first["x"]]
-    for i in range(1, k):
-        d = F.array_min(F.array(*(squared_distance(F.col("x"), c) for c in centres)))
-        row = points.withColumn("d", d).where("d > 0").orderBy(-F.log(_uniform(seed + i)) / F.col("d"), "id").first()
-        if row is None:
-            break
-        centres.append(row["x"])
-    return centres
+    found: list[list[list[float]]] = [[] for _ in starts]
+    for i in range(k):
+        picks = []
+        for s, (seed, centres) in enumerate(zip(starts, found)):
+            key = _uniform(seed)
+            if centres:
+                d = _nearest(centres)["d"]
+                key = F.when(d > 0, -F.log(_uniform(seed + i)) / d)
+            picks.append(F.min(F.when(key.isNotNull(), F.struct(key.alias("key"), "id", "x")))["x"].alias(f"s{s}"))
+        row = points.agg(*picks).first()
+        for s, centres in enumerate(found):
+            if row[s] is not None and len(centres) == i:
+                centres.append(row[s])
+    return [c for c in found if c]
 
 
 def lloyd(points: DataFrame, centres: list[list[float]], rounds: int = 64) -> tuple[DataFrame, float, list[list[float]]]:
     """(assigned points, inertia, centres) after rounds of assignment and means, until centres stay. An empty cluster keeps its centre."""
+    return lloyd_best(points, [centres], rounds)
+
+
+def lloyd_best(points: DataFrame, starts: list[list[list[float]]], rounds: int = 64) -> tuple[DataFrame, float, list[list[float]]]:
+    """`lloyd` from several starts, the one of least inertia; a round is one pass over the points for all starts that still move."""
+    starts, moving = list(starts), list(range(len(starts)))
     for _ in range(rounds):
-        found = means(assign(points, centres))
-        new = [found.get(i, c) for i, c in enumerate(centres)]
-        done = all(math.isclose(a, b, rel_tol=0, abs_tol=1e-12) for p, q in zip(new, centres) for a, b in zip(p, q))
-        centres = new
-        if done:
+        each = F.explode(F.array(*(F.struct(F.lit(s).alias("start"), _nearest(starts[s])["cluster_id"].alias("cluster_id")) for s in moving)))
+        found = _means(points.select("x", each.alias("a")).select("x", "a.start", "a.cluster_id"))
+        still = []
+        for s in moving:
+            new = [found.get(s, {}).get(i, c) for i, c in enumerate(starts[s])]
+            if not all(math.isclose(a, b, rel_tol=0, abs_tol=1e-12) for p, q in zip(new, starts[s]) for a, b in zip(p, q)):
+                still.append(s)
+            starts[s] = new
+        moving = still
+        if not moving:
             break
-    assigned = assign(points, centres)
-    return assigned, assigned.agg(F.sum("d")).first()[0] or 0.0, centres
+    inertias = points.agg(*(F.sum(_nearest(c)["d"]) for c in starts)).first()
+    best = min(range(len(starts)), key=lambda s: (inertias[s] or 0.0, s))
+    return assign(points, starts[best]), inertias[best] or 0.0, starts[best]
 
 
 def kmeans(points: DataFrame, k: int, starts: int = 8, seed: int = 42) -> tuple[DataFrame, float]:
@@ -78,12 +106,10 @@ def kmeans(points: DataFrame, k: int, starts: int = 8, seed: int = 42) -> tuple[
     if k < 1:
         raise ValueError("k must be 1 or more")
     points = kept(points)
-    best = None
-    for s in range(1 if k == 1 else max(starts, 1)):
-        found = lloyd(points, seeds(points, k, seed + 1000 * s))
-        if best is None or found[1] < best[1]:
-            best = found[:2]
-    return best
+    first = seeds(points, k, [seed + 1000 * s for s in range(1 if k == 1 else max(starts, 1))])
+    if not first:
+        return points.select("id", "x", F.lit(0).alias("cluster_id"), F.lit(0.0).alias("d")), 0.0
+    return lloyd_best(points, first)[:2]
 
 
 def silhouettes(assigned: DataFrame, block: int = 2000) -> DataFrame:

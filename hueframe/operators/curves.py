@@ -47,12 +47,12 @@ def isotonic(points: DataFrame, by: str = "channel", order: str = "knot", y: str
     """(by, order, y) with y non-decreasing and nearest in weighted squares.
 
     The fitted value at i is the largest, over starts j <= i, of the smallest weighted mean of j..k over ends
-    k >= i. Means come from running sums; there are n^2 / 2 for a curve of n knots.
+    k >= i. Each start has running sums of its own, n^2 / 2 rows for a curve of n knots: differences of sums over the
+    whole curve would lose knots of tiny weight.
     """
-    run = Window.partitionBy(by).orderBy(order)
-    sums = points.select(by, F.col(order).alias("i"), F.sum(F.col(y) * F.col(w)).over(run).alias("sy"), F.sum(w).over(run).alias("sw"), (F.col(y) * F.col(w)).alias("own_y"), F.col(w).alias("own_w"))
-    starts = sums.select(by, F.col("i").alias("j"), (F.col("sy") - F.col("own_y")).alias("py"), (F.col("sw") - F.col("own_w")).alias("pw"))
-    spans = sums.join(starts, by).where("j <= i").select(by, "j", "i", ((F.col("sy") - F.col("py")) / (F.col("sw") - F.col("pw"))).alias("m"))
+    knots = points.select(by, F.col(order).alias("i"), (F.col(y) * F.col(w)).alias("yw"), F.col(w).alias("w"))
+    run = Window.partitionBy(by, "j").orderBy("i")
+    spans = knots.join(knots.select(by, F.col("i").alias("j")), by).where("j <= i").select(by, "j", "i", (F.sum("yw").over(run) / F.sum("w").over(run)).alias("m"))
     least = spans.withColumn("m", F.min("m").over(Window.partitionBy(by, "j").orderBy(F.desc("i"))))
     return least.groupBy(by, F.col("i").alias(order)).agg(F.max("m").alias(y))
 
@@ -85,33 +85,35 @@ class Baseline:
         return tuple(interpolated(z, xs, ys) for z, (xs, ys) in zip(self.affine(r, g, b), lists))
 
 
+def _sums(xs: tuple[Column, ...], y: Column, w: Column, prefix: str = "") -> list[Column]:
+    ones = (*xs, F.lit(1.0))
+    return [F.sum(w * ones[i] * ones[j]).alias(f"{prefix}a{i}{j}") for i in range(4) for j in range(i, 4)] + [F.sum(w * ones[i] * y).alias(f"{prefix}b{i}") for i in range(4)]
+
+
 def affine_sums(df: DataFrame, xs: tuple[Column, ...], y: Column, w: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Sums of the 4-parameter weighted normal equations: a_ij over inputs and a constant, and b_i."""
-    ones = (*xs, F.lit(1.0))
-    aggs = [F.sum(w * ones[i] * ones[j]).alias(f"a{i}{j}") for i in range(4) for j in range(i, 4)] + [F.sum(w * ones[i] * y).alias(f"b{i}") for i in range(4)]
-    return df.groupBy(*by).agg(*aggs)
+    return df.groupBy(*by).agg(*_sums(xs, y, w))
 
 
-def _solved(row) -> np.ndarray:
-    a = np.array([[row[f"a{min(i, j)}{max(i, j)}"] or 0.0 for j in range(4)] for i in range(4)])
-    return np.linalg.lstsq(a, np.array([row[f"b{i}"] or 0.0 for i in range(4)]), rcond=None)[0]
+def _solved(row, prefix: str) -> np.ndarray:
+    a = np.array([[row[f"{prefix}a{min(i, j)}{max(i, j)}"] or 0.0 for j in range(4)] for i in range(4)])
+    return np.linalg.lstsq(a, np.array([row[f"{prefix}b{i}"] or 0.0 for i in range(4)]), rcond=None)[0]
 
 
 def fit_affine(samples: DataFrame, targets: tuple[Column, ...], delta: float = 1.0, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Matrix and bias of a weighted, Huber-robust affine fit; each round is one pass of sums, 14 numbers a channel."""
     xs, thetas = tuple(map(F.col, MEAN_IN)), [None] * 3
     for _ in range(rounds + 1):
-        parts = None
+        aggs = []
         for c in range(3):
             w = F.greatest(F.col("alpha"), F.lit(0.0))
             if thetas[c] is not None:
                 t = thetas[c]
                 off = F.abs(sum((float(t[i]) * xs[i] for i in range(3)), F.lit(float(t[3]))) - targets[c])
                 w = w * F.when(off < delta, 1.0).otherwise(delta / (off + TINY))
-            one = affine_sums(samples, xs, targets[c], w).select(F.lit(c).alias("c"), "*")
-            parts = one if parts is None else parts.union(one)
-        for row in parts.collect():
-            thetas[row["c"]] = _solved(row)
+            aggs += _sums(xs, targets[c], w, f"c{c}_")
+        row = samples.agg(*aggs).first()
+        thetas = [_solved(row, f"c{c}_") for c in range(3)]
     m = np.array(thetas)
     return m[:, :3], m[:, 3]
 

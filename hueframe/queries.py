@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -351,7 +352,33 @@ def quality_metrics(spark, d):
     return rounded(found.select("lut_id", "mean_de2000", "median_de2000", "p95_de2000", "max_de2000", "occupied_nodes", "coverage_pct", "total_variation", "oog_pct", "violations", *worst))
 
 
-@query()
+def _blur_sql(sigma: float, times: int) -> list[list[float]]:
+    """Weights of each place of a line for each other after `times` Gaussian passes, edges mirrored."""
+    reach = int(4.0 * sigma + 0.5)
+    raw = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    m = np.zeros((NODES, NODES))
+    for i in range(NODES):
+        at = (i + np.arange(-reach, reach + 1)) % (2 * NODES)
+        np.add.at(m[i], np.minimum(at, 2 * NODES - 1 - at), raw / raw.sum())
+    return np.linalg.matrix_power(m, times).tolist()
+
+
+def _blurred_sql(name: str, sigma: float, times: int) -> str:
+    rows = ", ".join(f"({i}, {j}, CAST({w!r} AS DOUBLE))" for i, line in enumerate(_blur_sql(sigma, times)) for j, w in enumerate(line))
+    out, last = f"{name}w(o, s, w) AS (VALUES {rows})", "lattice"
+    for axis in "ijk":
+        at = ", ".join(f"{name}w.o AS {a}" if a == axis else a for a in "ijk")
+        out += f", {name}{axis} AS (SELECT lut_id, {at}, {', '.join(f'sum(w * {c}) AS {c}' for c in 'rgb')} FROM {last} JOIN {name}w ON {axis} = {name}w.s GROUP BY 1, 2, 3, 4)"
+        last = f"{name}{axis}"
+    return out
+
+
+_step = lambda x: f"({S.clamp(x)} * {S.clamp(x)} * (3.0 - 2.0 * {S.clamp(x)}))"
+_NODE_LUM = "(0.2126 * l.i + 0.7152 * l.j + 0.0722 * l.k) / 8.0"
+
+
+@query(f"""{PL}, {_blurred_sql('far', 3.0, 2)}, {_blurred_sql('mid', 1.5, 1)}, st AS (SELECT l.*, {_step(f'{_NODE_LUM} / 0.08')} AS t, {_step(f'({_NODE_LUM} - 0.08) / 0.17')} AS s FROM lattice l)
+SELECT l.lut_id, l.node_id, {', '.join(S.r(f'(f.{c} * (1.0 - t) + m.{c} * t) * (1.0 - s) + l.{c} * s', c) for c in 'rgb')} FROM st l JOIN fark f USING (lut_id, i, j, k) JOIN midk m USING (lut_id, i, j, k)""")
 def lattice_shadow_smoothing(spark, d):
     return rounded(N.smooth_shadows(pair_lattices(spark, d), NODES))
 
@@ -585,9 +612,83 @@ def quality_gate(spark, d):
     return rounded(C.quality_gate(samples(spark, d), tuple(F.col(c) * 1.08 + 0.02 for c in MEAN_IN), ("pair_id",)))
 
 
-@query()
+@query(f"""{PS}, long AS ({' UNION ALL '.join(f'SELECT {c} AS channel, alpha, round({i}, 9) AS z, {o} AS y FROM samples' for c, (i, o) in enumerate(zip(MEAN_IN, MEAN_OUT)))}),
+ends AS (SELECT channel, min(z) AS low, greatest(max(z) - min(z), 1e-8) / 64 AS step FROM long GROUP BY 1),
+mk AS (SELECT channel, CAST(least(floor((z - low) / step), 63) AS INT) AS knot, sum(alpha * y) / sum(alpha) AS y, sum(alpha) AS w FROM long JOIN ends USING (channel) GROUP BY 1, 2 HAVING sum(alpha) > 0),
+gr AS (SELECT e.channel, CAST(range AS INT) AS knot, low + (range + 0.5) * step AS x, mk.y, mk.w FROM ends e CROSS JOIN range(64) LEFT JOIN mk ON mk.channel = e.channel AND mk.knot = range),
+nb AS (SELECT *, max(CASE WHEN y IS NOT NULL THEN knot END) OVER (PARTITION BY channel ORDER BY knot) AS p, min(CASE WHEN y IS NOT NULL THEN knot END) OVER (PARTITION BY channel ORDER BY knot DESC) AS q FROM gr),
+fl AS (SELECT n.channel, n.knot, n.x, coalesce(n.w, 1e-8) AS w, CASE WHEN n.y IS NOT NULL THEN n.y WHEN p IS NULL THEN b.y WHEN q IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (n.x - a.x) / (b.x - a.x) END AS y
+  FROM nb n LEFT JOIN gr a ON a.channel = n.channel AND a.knot = n.p LEFT JOIN gr b ON b.channel = n.channel AND b.knot = n.q),
+sp AS (SELECT a.channel, a.knot AS j, b.knot AS k, sum(c.y * c.w) / sum(c.w) AS m FROM fl a JOIN fl b ON a.channel = b.channel AND a.knot <= b.knot JOIN fl c ON c.channel = a.channel AND c.knot BETWEEN a.knot AND b.knot GROUP BY 1, 2, 3),
+lo AS (SELECT i.channel, i.knot, sp.j, min(sp.m) AS m FROM fl i JOIN sp ON sp.channel = i.channel AND sp.j <= i.knot AND sp.k >= i.knot GROUP BY 1, 2, 3), iso AS (SELECT channel, knot, max(m) AS y FROM lo GROUP BY 1, 2)
+SELECT channel, knot, {S.r('fl.x', 'x')}, {S.r('iso.y', 'y')} FROM iso JOIN fl USING (channel, knot)""")
 def baseline_curves(spark, d):
-    return rounded(C.monotone_knots(samples(spark, d), tuple(map(F.col, MEAN_IN)), 64))
+    """Inputs rounded to nine digits, so that no mean at the very edge of a knot goes by the order of sums."""
+    return rounded(C.monotone_knots(samples(spark, d), tuple(F.round(c, 9) for c in MEAN_IN), 64))
+
+def _eliminated(m: list[list[str]]) -> str:
+    """CTEs e0 to e4: Gauss-Jordan steps over the columns m00 to m34 of `ne`."""
+    out, size = [f"e0 AS (SELECT channel, {', '.join(f'{v} AS m{i}{j}' for i, row in enumerate(m) for j, v in enumerate(row))} FROM ne)"], len(m)
+    for k in range(size):
+        cells = (f"m{k}{j} / m{k}{k} AS m{k}{j}" if i == k else f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k} AS m{i}{j}" for i in range(size) for j in range(size + 1))
+        out.append(f"e{k + 1} AS (SELECT channel, {', '.join(cells)} FROM e{k})")
+    return ", ".join(out)
+
+
+_NE = ", ".join(f"sum(alpha * {_ONES[i]} * {_ONES[j]}) AS a{i}{j}" for i in range(4) for j in range(i, 4)) + ", " + ", ".join(f"sum(alpha * {_ONES[i]} * y) AS b{i}" for i in range(4))
+
+
+@query(f"""{PS}, ne AS (SELECT channel, {_NE} FROM ({' UNION ALL '.join(f'SELECT {c} AS channel, alpha, ir, ig, ib, {o} AS y FROM samples' for c, o in enumerate(MEAN_OUT))}) GROUP BY 1),
+{_eliminated([[*(f'a{min(i, j)}{max(i, j)}' for j in range(4)), f'b{i}'] for i in range(4)])} SELECT CAST(channel AS BIGINT) AS channel, {S.r('m04', 'from_r')}, {S.r('m14', 'from_g')}, {S.r('m24', 'from_b')}, {S.r('m34', 'bias')} FROM e4""")
+def affine_fit(spark, d):
+    matrix, bias = C.fit_affine(samples(spark, d), tuple(map(F.col, MEAN_OUT)))
+    return rounded(spark.createDataFrame([(c, *map(float, m), float(b)) for c, (m, b) in enumerate(zip(matrix, bias))], "channel long, from_r double, from_g double, from_b double, bias double"))
+
+
+def _curve(spark, d):
+    return C.curve_arrays(C.isotonic(_knots(spark, d)).select("channel", (F.col("knot") / 11.0).alias("x"), "y"))
+
+
+@query(f"{_ISO}, s AS (SELECT knot / 11.0 AS v, y, y - lag(y) OVER (ORDER BY knot) AS rise FROM iso) SELECT 'all' AS channel, {S.r('y', 'x')}, {S.r('v', 'y')} FROM s WHERE rise IS NULL OR rise > 1e-12")
+def inverse_curve(spark, d):
+    out = C.inverted(_curve(spark, d)).select("channel", F.explode(F.arrays_zip("xs", "ys")).alias("k"))
+    return rounded(out.select("channel", F.col("k.xs").alias("x"), F.col("k.ys").alias("y")))
+
+
+_MATRIX, _BIAS = np.array([[0.8, 0.1, 0.1], [0.05, 0.9, 0.05], [0.0, 0.1, 0.9]]), np.array([0.01, 0.0, -0.02])
+_AFFINE = [" + ".join(f"{float(v)} * {c}" for v, c in zip(row, ("i / 8.0", "j / 8.0", "k / 8.0"))) + f" + {float(b)}" for row, b in zip(_MATRIX, _BIAS)]
+
+
+@query(f"""{_SEG}, nd AS (SELECT range AS node_id, range % 9 AS i, (range // 9) % 9 AS j, range // 81 AS k FROM range(729)),
+z AS ({' UNION ALL '.join(f"SELECT node_id, '{c}' AS c, {e} AS z FROM nd" for c, e in zip('rgb', _AFFINE))}),
+v AS (SELECT node_id, c, CASE WHEN z <= 0 THEN (SELECT y FROM iso WHERE knot = 0) WHEN z >= 1 THEN (SELECT y FROM iso WHERE knot = 11) ELSE y0 + (y1 - y0) * (z - x0) / (x1 - x0) END AS y FROM z JOIN seg ON z >= x0 AND z < x1 OR z >= 1 AND x0 = 0 OR z < 0 AND x0 = 0)
+SELECT 'baseline' AS lut_id, node_id, {', '.join(S.r(f"max(CASE WHEN c = '{c}' THEN y END)", c) for c in 'rgb')} FROM v GROUP BY 2""")
+def baseline_lattice(spark, d):
+    """A 3 x 3 matrix, then one curve of 12 knots that is learnt from orders, at the nodes of a lattice."""
+    row = _curve(spark, d).first()
+    base = C.Baseline(_MATRIX, _BIAS, [row["xs"]] * 3, [row["ys"]] * 3)
+    return rounded(C.baseline_lattice(N.identity_lattice(spark, NODES), base, NODES))
+
+
+@query(f"{PS} SELECT pair_id, bin_id, {', '.join(S.r(f'sqrt(alpha) * {o}', f'rhs_{c}') for c, o in zip('rgb', MEAN_OUT))} FROM samples")
+def data_rhs(spark, d):
+    return rounded(X.data_rhs(samples(spark, d)))
+
+
+@query(_laplacian_sql(18).split(" SELECT a.lut_id")[0] + f""", lp AS (SELECT a.lut_id, a.node_id, {', '.join(f'sum(o.w * (a.{c} - n.{c})) AS l{c}' for c in 'rgb')} FROM lattice a CROSS JOIN o JOIN lattice n ON n.lut_id = a.lut_id AND n.i = a.i + o.di AND n.j = a.j + o.dj AND n.k = a.k + o.dk GROUP BY 1, 2)
+SELECT l.lut_id, l.node_id, {', '.join(S.r(f"sqrt(0.1 * (25.0 - 24.0 * {_step(f'({_NODE_LUM} - 0.08) / 0.17')})) * l{c}", f'l{c}') for c in 'rgb')} FROM lattice l JOIN lp USING (lut_id, node_id)""")
+def smoothness_terms(spark, d):
+    """The smoothness rows of a fit, times each pair's lattice."""
+    lattice = pair_lattices(spark, d)
+    rows = X.smoothness_rows(N.identity_lattice(spark, NODES), NODES, 0.1, 0.25, 0.08, 18)
+    out = lattice.withColumnRenamed("node_id", "col").join(rows, "col").groupBy("lut_id", F.col("row").alias("node_id"))
+    return rounded(out.agg(*(F.sum(F.col("val") * F.col(c)).alias(f"l{c}") for c in "rgb")))
+
+
+@query(SQL["distance_to_data"].removeprefix("WITH ").split("\nSELECT lut_id, node_id,")[0] + f" SELECT lut_id, node_id, {S.r('sqrt(0.01 * (1.0 - exp(-distance / 3.0)))', 'val')}, {', '.join(S.r(f'sqrt(0.01 * (1.0 - exp(-distance / 3.0))) * ({at}) / 8.0', f'rhs_{c}') for c, at in zip('rgb', ('node_id % 9', '(node_id // 9) % 9', 'node_id // 81')))} FROM dd")
+def prior_terms(spark, d):
+    occ = B.occupied_nodes(bins(spark, d), NODES).withColumnRenamed("pair_id", "lut_id")
+    return rounded(X.prior_rows(N.distance_to_data(occ, NODES), NODES, 0.01))
 
 
 @query(f"{PS}, {S.applied('tetrahedral', 'samples').split(', pred AS')[0].replace(chr(10) + 'pred AS', '')}, m AS (SELECT pair_id, bin_id, sqrt(alpha) AS root FROM samples) SELECT c.pair_id, c.bin_id, node_id AS node, round(sum(root * w), 6) + 0.0 AS val FROM corner c JOIN m USING (pair_id, bin_id) WHERE w > 1e-6 AND root > 1e-6 GROUP BY 1, 2, 3")
@@ -596,10 +697,31 @@ def data_matrix(spark, d):
     return rounded(rows.where(F.col("val") > 1e-6 * F.sqrt("alpha")).groupBy("pair_id", "bin_id", F.col("node").cast("long").alias("node")).agg(F.sum("val").alias("val")))
 
 
+def _letters(spark, d):
+    """Samples of three lattices: pairs by the first letter of their names."""
+    return samples(spark, d).withColumn("lut_id", F.substring("pair_id", 1, 1))
+
+
 @query()
 def lattice_fit(spark, d):
-    rows = samples(spark, d).withColumn("lut_id", F.substring("pair_id", 1, 1))
-    return rounded(X.fit_lattice(rows, X.FitOptions(size=5, rounds=1)))
+    """A fit with the engine's defaults: 33 nodes a side, tetrahedral, robust rounds."""
+    return rounded(X.fit_lattice(_letters(spark, d)))
+
+
+@query(f"RECURSIVE {PS}, {S.fit_parts()}, {S.fit_round(0)} {S.fit_result(0)}")
+def lattice_fit_l2(spark, d):
+    return rounded(X.fit_lattice(_letters(spark, d), X.FitOptions(size=3, loss="l2")))
+
+
+@query(f"RECURSIVE {PS}, {S.fit_parts()}, {S.fit_round(0)}, {S.fit_round(1, delta=0.01)} {S.fit_result(1)}")
+def lattice_fit_robust(spark, d):
+    return rounded(X.fit_lattice(_letters(spark, d), X.FitOptions(size=3, delta=0.01, rounds=1)))
+
+
+@query(f"RECURSIVE {PS}, {S.fit_parts()}, {S.fit_round(0)}, {S.fit_refined()}, {S.fit_round(1, smoothness=0.8, source='refined')}, {S.fit_chosen()} {S.fit_result(2)}")
+def lattice_refine(spark, d):
+    rows, options = _letters(spark, d), X.FitOptions(size=3, loss="l2")
+    return rounded(X.refine(X.fit_lattice(rows, options), rows, options, rounds=1))
 
 
 # ---- routing
@@ -656,7 +778,17 @@ def cheapest_path_cost(spark, d):
     return rounded(R.cheapest_path(_shots(spark, d), 0.25).groupBy("track").agg(F.max("cost").alias("cost")))
 
 
-@query()
+_from = lambda c: f"list_sort([{', '.join(f"{{'cost': v.c{b}{'' if b == c else ' + 0.25'}, 'from': {b}}}" for b in _K)}])[1]"
+_pick = lambda c: f"CASE f{c}['from'] {' '.join(f'WHEN {b} THEN p{b}' for b in _K)} END"
+
+
+@query(f"""RECURSIVE {_average_sql(3)}, wide AS (SELECT track, shot_index, {', '.join(f'max(CASE WHEN cluster_id = {c} THEN distance END) AS d{c}' for c in _K)} FROM ma GROUP BY 1, 2),
+vit AS (SELECT track, shot_index AS t, {', '.join(f'd{c} AS c{c}, [{c}] AS p{c}' for c in _K)} FROM wide WHERE shot_index = 0
+  UNION ALL SELECT track, t, {', '.join(f"f{c}['cost'] + d{c} AS c{c}, list_append({_pick(c)}, {c}) AS p{c}" for c in _K)} FROM (SELECT v.track, v.t + 1 AS t, {', '.join(f'd.d{c}, v.p{c}, {_from(c)} AS f{c}' for c in _K)} FROM vit v JOIN wide d ON d.track = v.track AND d.shot_index = v.t + 1)),
+fin AS (SELECT track, list_sort([{', '.join(f"{{'cost': c{c}, 'path': p{c}}}" for c in _K)}])[1]['path'] AS path FROM vit QUALIFY row_number() OVER (PARTITION BY track ORDER BY t DESC) = 1),
+ch AS (SELECT track, CAST(generate_subscripts(path, 1) - 1 AS INT) AS shot_index, unnest(path) AS cluster_id FROM fin),
+mg AS (SELECT track, shot_index, (list(distance ORDER BY distance))[2] - min(distance) AS margin FROM dist GROUP BY 1, 2)
+SELECT track, shot_index, cluster_id, {S.r('distance', 'distance')}, {S.r('margin', 'margin')} FROM ch JOIN dist USING (track, shot_index, cluster_id) JOIN mg USING (track, shot_index)""")
 def cheapest_path(spark, d):
     return rounded(R.route(_shots(spark, d), window=3, penalty=0.25))
 
@@ -671,10 +803,30 @@ def silhouettes(spark, d):
     return rounded(K.silhouettes(points))
 
 
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
+
+
+def _lloyd_sql(rounds: int) -> str:
+    mean = lambda src, key: f"SELECT {key} AS c, list(v ORDER BY dim) AS m FROM (SELECT {key}, dim, avg(v) AS v FROM (SELECT {key}, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM {src}) GROUP BY 1, 2) GROUP BY 1"
+    out = "pt AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label % 3 AS g FROM embeddings), m0 AS (" + mean("pt", "g") + ")"
+    for k in range(rounds + 1):
+        out += f", as{k} AS (SELECT id, any_value(x) AS x, min({{'d': pow(list_distance(x, m), 2), 'c': CAST(c AS INT)}}) AS b FROM pt CROSS JOIN m{k} GROUP BY 1), g{k} AS (SELECT id, x, b['c'] AS g, b['d'] AS d FROM as{k}), m{k + 1} AS ({mean(f'g{k}', 'g')})"
+    return f"{out} SELECT id, g AS cluster_id, {S.r('d', 'd')} FROM g{rounds}"
+
+
+@query(_lloyd_sql(4))
+def lloyd(spark, d):
+    """Four rounds from the means of three given groups."""
+    points = _vectors(spark, d)
+    start = K.means(points.withColumn("cluster_id", F.col("label") % 3))
+    return rounded(K.lloyd(points.select("id", "x"), [start[i] for i in sorted(start)], 4)[0].select("id", "cluster_id", "d"))
+
+
 @query()
 def kmeans(spark, d):
     points = K.standardized(table(spark, d, "embeddings"), "vec_id", "embedding")
-    found, _ = K.kmeans(points, 3, starts=1)
+    found, _ = K.kmeans(points, 3)
     return rounded(found.select("id", "cluster_id", "d"))
 
 

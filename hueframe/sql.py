@@ -117,3 +117,56 @@ def scaled(col: str) -> str:
 
 
 DISTANCES = f"""{TRACKS}, dist AS (SELECT s.track, s.shot_index, c.cluster_id, sqrt({" + ".join(f"pow((s.{k} - c.{k}) / {scaled(k)}, 2)" for k in ("m", "lo", "hi"))}) AS distance FROM shots s CROSS JOIN cents c)"""
+
+
+# The fit of small lattices, one for each first letter of a pair's name: three nodes a side, 27 unknowns for each
+# lattice and channel, solved by Gauss-Jordan elimination in a recursive query.
+
+
+def fit_parts() -> str:
+    """CTEs of a fit: corners of samples `c3`, channels `ch3`, the Laplacian `lap`, and nodes `fx` with their terms."""
+    lum = f"least(greatest((({luma('i / 2.0', 'j / 2.0', 'k / 2.0')}) - 0.08) / 0.17, 0.0), 1.0)"
+    boost = f"(25.0 - 24.0 * {lum} * {lum} * (3.0 - 2.0 * {lum}))"
+    corner = applied("tetrahedral", "samples", 3).split(", pred AS")[0]
+    return f"""{corner}, c3 AS (SELECT * FROM corner WHERE w <> 0),
+ch3 AS ({" UNION ALL ".join(f"SELECT substr(pair_id, 1, 1) AS lut, pair_id, bin_id, {c} AS ch, alpha, {o} AS y FROM samples" for c, o in enumerate(("or_", "og", "ob")))}),
+nd3 AS (SELECT range AS node, range % 3 AS i, (range // 3) % 3 AS j, range // 9 AS k FROM range(27)),
+lap0 AS (SELECT a.node AS r, b.node AS c FROM nd3 a JOIN nd3 b ON abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+lap AS (SELECT r, c, -1.0 AS v FROM lap0 UNION ALL SELECT r, r, CAST(count(*) AS DOUBLE) FROM lap0 GROUP BY 1),
+oc3 AS (SELECT DISTINCT substr(pair_id, 1, 1) AS lut, {node_of(3)} AS node FROM samples),
+ds3 AS (SELECT lut, n.node, min(sqrt(pow(n.i - m.i, 2) + pow(n.j - m.j, 2) + pow(n.k - m.k, 2))) AS dist FROM oc3 JOIN nd3 m ON m.node = oc3.node CROSS JOIN nd3 n GROUP BY 1, 2),
+fx AS (SELECT lut, node, ch, 0.1 * {boost} AS sm, 0.01 * (1.0 - exp(-dist / 3.0)) AS pr, (CASE ch WHEN 0 THEN i WHEN 1 THEN j ELSE k END) / 2.0 AS goal FROM ds3 JOIN nd3 USING (node) CROSS JOIN (SELECT range AS ch FROM range(3)))"""
+
+
+def fit_round(t: int, delta: float | None = None, smoothness: float = 1.0, source: str = "ch3") -> str:
+    """CTEs that end in `x{t}`, the solution; with `delta`, all terms are weighted by residuals of the round before."""
+    huber = lambda r: f"(CASE WHEN abs({r}) < {delta} THEN 1.0 ELSE {delta} / (abs({r}) + 1e-8) END)"
+    if delta is None:
+        terms = f"d{t} AS (SELECT * FROM {source}), s{t} AS (SELECT lut, node, ch, sm * {smoothness} AS sm, pr, goal FROM fx)"
+    else:
+        terms = f"""d{t} AS (SELECT lut, pair_id, bin_id, ch, alpha * {huber("sqrt(alpha) * (p - y)")} AS alpha, y FROM {source} JOIN (SELECT c.pair_id, c.bin_id, x.ch, sum(c.w * x.x) AS p FROM c3 c JOIN x{t - 1} x ON x.lut = substr(c.pair_id, 1, 1) AND x.node = c.node_id GROUP BY 1, 2, 3) USING (pair_id, bin_id, ch)),
+s{t} AS (SELECT f.lut, f.node, f.ch, sm * {huber("sqrt(sm) * e")} AS sm, pr * {huber("sqrt(pr) * (x.x - goal)")} AS pr, goal FROM fx f JOIN x{t - 1} x USING (lut, node, ch) JOIN (SELECT x.lut, x.ch, l.r AS node, sum(l.v * x.x) AS e FROM x{t - 1} x JOIN lap l ON l.c = x.node GROUP BY 1, 2, 3) USING (lut, node, ch))"""
+    return f"""{terms},
+a{t} AS (SELECT lut, ch, i, j, sum(v) AS v FROM (SELECT lut, ch, p.node_id AS i, q.node_id AS j, d.alpha * p.w * q.w AS v FROM d{t} d JOIN c3 p USING (pair_id, bin_id) JOIN c3 q USING (pair_id, bin_id)
+  UNION ALL SELECT lut, ch, node_id, 27, d.alpha * p.w * y FROM d{t} d JOIN c3 p USING (pair_id, bin_id)
+  UNION ALL SELECT lut, ch, p.c, q.c, sm * p.v * q.v FROM s{t} s JOIN lap p ON p.r = s.node JOIN lap q ON q.r = s.node
+  UNION ALL SELECT lut, ch, node, node, pr FROM s{t} UNION ALL SELECT lut, ch, node, 27, pr * goal FROM s{t}) GROUP BY 1, 2, 3, 4),
+m{t} AS (SELECT f.lut, f.ch, f.node AS i, list(coalesce(a.v, 0.0) ORDER BY c.range) AS line FROM fx f CROSS JOIN range(28) c LEFT JOIN a{t} a ON a.lut = f.lut AND a.ch = f.ch AND a.i = f.node AND a.j = c.range GROUP BY 1, 2, 3),
+e{t} AS (SELECT 0 AS step, lut, ch, i, line FROM m{t} UNION ALL SELECT a.step + 1, a.lut, a.ch, a.i, CASE WHEN a.i = a.step THEN [v / a.line[a.step + 1] for v in a.line] ELSE [a.line[z] - a.line[a.step + 1] / p.line[a.step + 1] * p.line[z] for z in range(1, 29)] END
+  FROM e{t} a JOIN e{t} p ON p.lut = a.lut AND p.ch = a.ch AND p.i = a.step WHERE a.step < 27),
+x{t} AS (SELECT lut, ch, i AS node, line[28] AS x FROM e{t} WHERE step = 27)"""
+
+
+def fit_refined() -> str:
+    """CTE `refined`: samples whose error is above twice the 95th percentile lose weight in proportion."""
+    return """er AS (SELECT pair_id, bin_id, sqrt(sum(pow(p - y, 2))) AS e FROM ch3 JOIN (SELECT c.pair_id, c.bin_id, x.ch, sum(c.w * x.x) AS p FROM c3 c JOIN x0 x ON x.lut = substr(c.pair_id, 1, 1) AND x.node = c.node_id GROUP BY 1, 2, 3) USING (pair_id, bin_id, ch) GROUP BY 1, 2),
+lim AS (SELECT 2.0 * quantile_cont(e, 0.95) AS lim FROM er), refined AS (SELECT lut, pair_id, bin_id, ch, CASE WHEN e > lim THEN alpha * lim / (e + 1e-8) ELSE alpha END AS alpha, y FROM ch3 JOIN er USING (pair_id, bin_id), lim)"""
+
+
+def fit_chosen() -> str:
+    """CTE `x2`: the second solution where any sample lost weight, else the first."""
+    return "x2 AS (SELECT a.lut, a.ch, a.node, CASE WHEN (SELECT count(*) FROM er, lim WHERE e > lim) > 0 THEN b.x ELSE a.x END AS x FROM x0 a JOIN x1 b USING (lut, ch, node))"
+
+
+def fit_result(t: int) -> str:
+    return f"SELECT lut AS lut_id, node AS node_id, {', '.join(r(clamp(f'max(CASE WHEN ch = {c} THEN x END)', '-0.5', '1.5'), k) for c, k in enumerate('rgb'))} FROM x{t} GROUP BY 1, 2"
