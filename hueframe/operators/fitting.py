@@ -13,6 +13,7 @@ from ..functions import colour
 from ..functions.lattice import clamp, corners, grid_coords, luma, neutral_boost, prior_strength, shadow_boost
 from . import curves, lattices
 from .binning import MEAN_IN, MEAN_OUT
+from .quantiles import quantiles
 from .storage import kept
 
 
@@ -231,7 +232,7 @@ def refine(lattice: DataFrame, samples: DataFrame, options: FitOptions = FitOpti
         out = lattices.apply_lattice(samples.select(keep), lattice, options.size, options.kernel, MEAN_IN, on=("lut_id",))
         error = F.sqrt(sum(((F.col(p) - F.col(t)) * (F.col(p) - F.col(t)) for p, t in zip(("pg", "pb"), MEAN_OUT[1:])), (F.col("pr") - F.col("or_")) * (F.col("pr") - F.col("or_"))))
         out = kept(out.withColumn("error", error))
-        limit = 2.0 * (out.agg(F.percentile("error", F.lit(0.95))).first()[0] or 0.0)
+        limit = 2.0 * (quantiles(out, (), {"q": (F.col("error"), (0.95,))}).first()["q"][0] or 0.0)
         if out.where(F.col("error") > limit).isEmpty():
             break
         samples = out.withColumn("alpha", F.when(F.col("error") > limit, F.col("alpha") * limit / (F.col("error") + 1e-8)).otherwise(F.col("alpha"))).select(keep)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import colour
 from ..functions.lattice import clamp, corners, flat_index, grid_coords, luma, smoothstep
+from .quantiles import quantiles
+from .storage import kept
 
 RGB = ("r", "g", "b")
 MAX_SIZE = 129
@@ -173,16 +175,17 @@ def quality_metrics(samples: DataFrame, lattice: DataFrame, n: int, kernel: str
         out = out.withColumns({f"{prefix}_{k}": v for k, v in zip(("L", "A", "B"), colour.to_lab(*map(F.col, cols)))})
     out = colour.with_delta_e_2000(out, ("p_L", "p_A", "p_B"), ("t_L", "t_A", "t_B"), "de")
     occupied = flat_index(*(F.floor(clamp(F.col(c)) * (n - 1)).cast("long") for c in source), n)
-    found = out.withColumn("node", occupied).groupBy("lut_id").agg(
+    out = kept(out.select("lut_id", *source, "pr", "pg", "pb", "de", occupied.alias("node")))
+    ranks = quantiles(out, ("lut_id",), {"q": (F.col("de"), (0.5, 0.95))}).select("lut_id", F.col("q")[0].alias("median_de2000"), F.col("q")[1].alias("p95_de2000"))
+    found = out.groupBy("lut_id").agg(
         F.avg("de").alias("mean_de2000"),
-        F.median("de").alias("median_de2000"),
-        F.percentile("de", F.lit(0.95)).alias("p95_de2000"),
         F.max("de").alias("max_de2000"),
         F.max_by(F.struct(*(F.col(c) for c in ("pr", "pg", "pb"))), F.struct("de", "pr", "pg", "pb")).alias("worst_predicted"),
         F.max_by(F.struct(*(F.col(c).alias(k) for c, k in zip(source, RGB))), F.struct("de", "pr", "pg", "pb")).alias("worst_source"),
         F.countDistinct("node").alias("occupied_nodes"),
     )
     found = found.withColumn("coverage_pct", F.col("occupied_nodes") / float(n**3) * 100.0)
+    found = found.join(ranks, "lut_id")
     return found.join(total_variation(lattice, n), "lut_id").join(out_of_gamut(lattice), "lut_id").join(neutral_monotonicity(lattice, n), "lut_id")
 
 

@@ -7,7 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .statistics import robust_scale
+from .statistics import MAD_SCALE
+
+
+def _centroid_scale(long: DataFrame) -> DataFrame:
+    """(dim, median, scale) of centroids' values (dim, value), which are a row a cluster."""
+    middle = long.groupBy("dim").agg(F.median("value").alias("median"))
+    mad = long.join(middle, "dim").groupBy("dim").agg(F.first("median").alias("median"), (MAD_SCALE * F.median(F.abs(F.col("value") - F.col("median")))).alias("scale"))
+    return mad.withColumn("scale", F.when(F.col("scale") < 1e-8, 1.0).otherwise(F.col("scale")))
 
 
 def shot_distances(shots: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -17,7 +24,7 @@ def shot_distances(shots: DataFrame, centroids: DataFrame) -> DataFrame:
     robust deviation. Centroids are one row a cluster; shots stay where they are.
     """
     long = centroids.select("cluster_id", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
-    scaled = long.join(robust_scale(long), "dim").select("cluster_id", "dim", "median", "scale", ((F.col("value") - F.col("median")) / F.col("scale")).alias("z"))
+    scaled = long.join(_centroid_scale(long), "dim").select("cluster_id", "dim", "median", "scale", ((F.col("value") - F.col("median")) / F.col("scale")).alias("z"))
     rows = scaled.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("dim", "median", "scale", "z"))).alias("c")).orderBy("cluster_id").collect()
     options = F.array(*(F.struct(F.lit(r["cluster_id"]).alias("cluster_id"), F.array(*(F.struct(*(F.lit(float(v[k])).alias(k) for k in ("median", "scale", "z"))) for v in r["c"])).alias("c")) for r in rows))
     off = F.zip_with(F.col("vec"), F.col("o.c"), lambda v, c: ((v.cast("double") - c["median"]) / c["scale"] - c["z"]))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.lattice import luma
 from .binning import SOURCE, TARGET
+from .quantiles import quantiles
+from .storage import kept
 
 MAD_SCALE = 1.4826
 
 
 def _affine(source: str, target: str) -> tuple[Column, Column]:
-    """Gain and bias that map the source's 5th and 95th percentile onto the target's."""
-    s, t = (F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))) for c in (source, target))
+    """Gain and bias that map the source's 5th and 95th percentile, the arrays `source`, onto the target's."""
+    s, t = F.col(source), F.col(target)
     gain = (t[1] - t[0]) / F.greatest(s[1] - s[0], F.lit(1e-8))
     return gain, t[0] - gain * s[0]
 
@@ -22,12 +24,13 @@ def pair_normalization(pixels: DataFrame, mode: str) -> DataFrame:
     """(pair_id, gain_r, bias_r, ... ) of each pair, by mode "none", "luma_affine" or "rgb_affine"."""
     if mode == "none":
         return pixels.select("pair_id").distinct().select("pair_id", *(F.lit(v).alias(f"{n}_{c}") for c in "rgb" for n, v in (("gain", 1.0), ("bias", 0.0))))
+    ends = (0.05, 0.95)
     if mode == "luma_affine":
-        lums = pixels.select("pair_id", luma(*map(F.col, SOURCE)).alias("s"), luma(*map(F.col, TARGET)).alias("t"))
-        gain, bias = _affine("s", "t")
-        return lums.groupBy("pair_id").agg(*(x.alias(f"{n}_{c}") for c in "rgb" for n, x in (("gain", gain), ("bias", bias))))
+        found = quantiles(pixels, ("pair_id",), {k: (luma(*map(F.col, c)), ends) for k, c in (("s", SOURCE), ("t", TARGET))})
+        return found.select("pair_id", *(x.alias(f"{n}_{c}") for c in "rgb" for n, x in zip(("gain", "bias"), _affine("s", "t"))))
     if mode == "rgb_affine":
-        return pixels.groupBy("pair_id").agg(*(x.alias(f"{n}_{c}") for c, s, t in zip("rgb", SOURCE, TARGET) for n, x in zip(("gain", "bias"), _affine(s, t))))
+        found = quantiles(pixels, ("pair_id",), {c: (F.col(c), ends) for c in (*SOURCE, *TARGET)})
+        return found.select("pair_id", *(x.alias(f"{n}_{c}") for c, s, t in zip("rgb", SOURCE, TARGET) for n, x in zip(("gain", "bias"), _affine(s, t))))
     raise ValueError(f"mode is none, luma_affine or rgb_affine, not {mode!r}")
 
 
@@ -42,7 +45,10 @@ def shadow_thresholds(samples: DataFrame, by: tuple[str, ...] = ("pair_id",), co
 
     That is where the 99th percentile is below 0.9 and the mean between 0.05 and 0.6; else the given ones stay.
     """
-    found = samples.select(*by, luma(*map(F.col, columns)).alias("l")).groupBy(*by).agg(F.percentile("l", F.array(*map(F.lit, (0.1, 0.3, 0.99)))).alias("p"), F.avg("l").alias("mean"))
+    rows = samples.select(*by, luma(*map(F.col, columns)).alias("l"))
+    means = rows.groupBy(*by).agg(F.avg("l").alias("mean"))
+    shares = quantiles(rows, by, {"p": (F.col("l"), (0.1, 0.3, 0.99))})
+    found = means.join(shares, [*by]) if by else means.crossJoin(shares)
     low = F.greatest(F.lit(deep), F.col("p")[0])
     high = F.least(F.greatest(F.lit(shadow), F.col("p")[1]), F.lit(most))
     high = F.when(high <= low + gap, F.least(F.lit(most), low + gap)).otherwise(high)
@@ -56,8 +62,11 @@ def outlier_pairs(errors: DataFrame, sigma: float = 3.0, min_pairs: int = 3) ->
 
     Nothing is an outlier among fewer than max(min_pairs, 3) pairs, or if fewer than min_pairs would be left.
     """
-    middle = errors.agg(F.median("mse").alias("median"), F.count(F.lit(1)).alias("pairs"))
-    spread = errors.crossJoin(middle).agg(F.first("median").alias("median"), F.first("pairs").alias("pairs"), F.median(F.abs(F.col("mse") - F.col("median"))).alias("mad"))
+    errors = kept(errors)
+    middle = quantiles(errors, (), {"m": (F.col("mse"), (0.5,))}).select(F.col("m")[0].alias("median"))
+    off = errors.crossJoin(middle).select(F.abs(F.col("mse") - F.col("median")).alias("off"))
+    mad = quantiles(off, (), {"m": (F.col("off"), (0.5,))}).select(F.col("m")[0].alias("mad"))
+    spread = middle.crossJoin(mad).crossJoin(errors.agg(F.count(F.lit(1)).alias("pairs")))
     marked = errors.crossJoin(spread).withColumn("beyond", F.col("mse") > F.col("median") + sigma * MAD_SCALE * F.col("mad"))
     left = marked.agg(F.sum(F.when(F.col("beyond"), 0).otherwise(1)).alias("left"))
     out = F.col("beyond") & (F.col("pairs") >= max(min_pairs, 3)) & (F.col("left") >= min_pairs)
@@ -73,9 +82,10 @@ def robust_standardize(features: DataFrame, id_col: str = "vec_id", vec_col: str
 
 def robust_scale(long: DataFrame) -> DataFrame:
     """(dim, median, scale) of rows (dim, value)."""
-    middle = long.groupBy("dim").agg(F.median("value").alias("median"))
-    mad = long.join(middle, "dim").groupBy("dim").agg(F.first("median").alias("median"), (MAD_SCALE * F.median(F.abs(F.col("value") - F.col("median")))).alias("scale"))
-    return mad.withColumn("scale", F.when(F.col("scale") < 1e-8, 1.0).otherwise(F.col("scale")))
+    middle = quantiles(long, ("dim",), {"m": (F.col("value"), (0.5,))}).select("dim", F.col("m")[0].alias("median"))
+    off = long.join(middle, "dim").select("dim", F.abs(F.col("value") - F.col("median")).alias("off"))
+    mad = quantiles(off, ("dim",), {"m": (F.col("off"), (0.5,))}).select("dim", (MAD_SCALE * F.col("m")[0]).alias("scale"))
+    return middle.join(mad, "dim").withColumn("scale", F.when(F.col("scale") < 1e-8, 1.0).otherwise(F.col("scale")))
 
 
 def seeded_subsample(df: DataFrame, id_col: str, share: float = 0.1, least: int = 1000, above: int = 10_000) -> DataFrame:
