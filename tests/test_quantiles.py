@@ -25,11 +25,11 @@ def rows_of(kind):
 
 
 @pytest.mark.parametrize("kind", ["smooth", "ties", "skewed", "extreme", "nulls"])
-@pytest.mark.parametrize("most", [3, 1_000_000])
-def test_equals_percentile(spark, kind, most):
+@pytest.mark.parametrize("held, most", [(0, 3), (0, 1_000_000), (4_000_000, 3)])
+def test_equals_percentile(spark, kind, held, most):
     df = spark.createDataFrame(rows_of(kind), "g string, v double")
     wanted = {"x": (F.col("v"), SHARES), "y": (-F.col("v"), (0.5,))}
-    got = {r["g"]: (r["x"], r["y"]) for r in quantiles(df, ("g",), wanted, most).collect()}
+    got = {r["g"]: (r["x"], r["y"]) for r in quantiles(df, ("g",), wanted, held, most).collect()}
     ps = F.array(*map(F.lit, SHARES))
     want = {r["g"]: (r["x"], [r["y"]]) for r in df.groupBy("g").agg(F.percentile("v", ps).alias("x"), F.median(-F.col("v")).alias("y")).collect()}
     assert got.keys() == want.keys()
@@ -38,17 +38,18 @@ def test_equals_percentile(spark, kind, most):
             assert a == b or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-21), (g, got[g], want[g])
 
 
-def test_without_groups_and_without_rows(spark):
+@pytest.mark.parametrize("held", [0, 4_000_000])
+def test_without_groups_and_without_rows(spark, held):
     df = spark.createDataFrame([(float(i),) for i in (5, 1, 4, 2)], "v double")
     wanted = {"m": (F.col("v"), (0.5,))}
-    assert quantiles(df, (), wanted).first()["m"] == [3.0]
-    assert quantiles(df.where("v > 9"), (), wanted).first()["m"] == [None]
-    assert quantiles(df.withColumn("g", F.lit(1)).where("v > 9"), ("g",), wanted).count() == 0
+    assert quantiles(df, (), wanted, held).first()["m"] == [3.0]
+    assert quantiles(df.where("v > 9"), (), wanted, held).first()["m"] == [None]
+    assert quantiles(df.withColumn("g", F.lit(1)).where("v > 9"), ("g",), wanted, held).count() == 0
 
 
 def test_values_that_are_not_finite(spark):
     inf, nan = float("inf"), float("nan")
     df = spark.createDataFrame([(v,) for v in [-inf, -inf, *map(float, range(20)), inf, inf, nan, nan, nan]], "v double")
     at = (0.0, 2 / 26, 11 / 26, 22 / 26, 1.0)
-    x = quantiles(df, (), {"x": (F.col("v"), at)}, most=2).first()["x"]
+    x = quantiles(df, (), {"x": (F.col("v"), at)}, held=0, most=2).first()["x"]
     assert x[0] == -inf and x[1] == pytest.approx(0.0) and x[2] == pytest.approx(9.0) and x[3] == inf and math.isnan(x[4])
