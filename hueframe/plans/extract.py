@@ -169,7 +169,7 @@ def extract(spark: SparkSession, pixels: DataFrame, options: Options = Options()
 
 def extract_pair(spark: SparkSession, source: str, target: str, output: str | Path | None = None, options: Options = Options(), progress: Progress | None = None, cancel: Cancel | None = None) -> Result:
     """A lattice from two image files."""
-    rows = spark.createDataFrame([("pair", str(Path(source).resolve()), str(Path(target).resolve()))], "pair_id string, source string, target string")
+    rows = spark.createDataFrame([("pair", images.located(source), images.located(target))], "pair_id string, source string, target string")
     return extract(spark, image_pairs(spark, rows), options, output, progress=progress, cancel=cancel)
 
 
@@ -266,7 +266,7 @@ def hald_reconstruct(spark: SparkSession, processed: str, output: str | Path, le
 
 def validate(spark: SparkSession, source: str, target: str, lut: str, kernel: str = "tetrahedral") -> DataFrame:
     """Metrics of an existing .cube file on an image pair's pixels, of which large pairs are sampled."""
-    rows = spark.createDataFrame([("pair", str(Path(source).resolve()), str(Path(target).resolve()))], "pair_id string, source string, target string")
+    rows = spark.createDataFrame([("pair", images.located(source), images.located(target))], "pair_id string, source string, target string")
     pixels = image_pairs(spark, rows)
     pixels = statistics.seeded_subsample(pixels.withColumn("place", F.col("y").cast("long") * images.MAX_SIDE + F.col("x")), "place")
     files = cube.read_files(spark, lut)

@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .images import check_output
+
 MAX_SIZE = 129
 
 
@@ -37,9 +39,7 @@ def text_of(lattice: DataFrame, n: int, **options) -> DataFrame:
 
 def write_cube(lattice: DataFrame, path: str | Path, n: int, **options) -> Path:
     """One lattice as a file on the driver's disk; its text comes as a single row."""
-    path = Path(path)
-    if not path.parent.is_dir():
-        raise FileNotFoundError(f"no folder {path.parent}")
+    path = check_output(path)
     rows = text_of(lattice, n, **options).take(2)
     if len(rows) != 1:
         raise ValueError("a .cube file holds one lattice")

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .images import check_output, located
+
 _FIELDS = "a string, b string, c string, d string, e string, f string, g string"
 # The names that a header row may give its columns.
 PAIR_HEADER = (("source", "src"), ("target", "tgt"), ("weight", "w"), ("cluster", "scene", "group"), ("transfer_fn", "transfer", "tf"), ("normalization", "normalize", "norm"))
@@ -36,7 +38,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     rows = _rows(spark.read.text(path, wholetext=True), PAIR_HEADER, 2)
     weight = F.coalesce(F.col("c").cast("double"), F.lit(1.0))
     checked = F.when(weight >= 0, weight).otherwise(F.raise_error(F.format_string("manifest line %d: a weight below 0", "line_no")).cast("double"))
-    folder = str(Path(path).resolve().parent)
+    folder = located(path).rsplit("/", 1)[0]
     return rows.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("pair_index"), _resolved(F.col("a"), folder).alias("source"), _resolved(F.col("b"), folder).alias("target"), checked.alias("weight"), F.col("d").alias("cluster"), F.lower("e").alias("transfer_fn"), F.lower("f").alias("normalization"))
 
 
@@ -47,7 +49,7 @@ def read_shots(spark: SparkSession, path: str) -> DataFrame:
     alone = F.col("n") == 1
     counted = rows.withColumn("k", F.sum(alone.cast("int")).over(w))
     shot = F.when(alone, F.format_string("shot_%04d", "k")).otherwise(F.coalesce("a", F.format_string("shot_%04d", "line_no")))
-    folder = str(Path(path).resolve().parent)
+    folder = located(path).rsplit("/", 1)[0]
     return counted.select((F.row_number().over(w) - 1).alias("frame_index"), shot.alias("shot_id"), _resolved(F.when(alone, F.col("a")).otherwise(F.col("b")), folder).alias("frame_path"), F.lower("c").alias("transfer_fn"))
 
 
@@ -66,6 +68,7 @@ def write_csv(rows: DataFrame, path: str | Path, order: str | None = None) -> Pa
     """A report as one CSV file with a header, on the driver's disk; reports have a row a pair, cluster or shot."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
+    check_output(path)
     with path.open("w", encoding="utf-8", newline="") as f:
         import csv
 

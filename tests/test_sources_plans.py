@@ -71,6 +71,58 @@ def test_tiff():
         images.decode(b"GIF89a" + b"\0" * 40)
 
 
+def bmp(p):
+    """A BMP of 24 bits: lines from the bottom up, blue first, padded to four bytes."""
+    h, w, _ = p.shape
+    pad = -3 * w % 4
+    body = b"".join(p[y, :, ::-1].tobytes() + bytes(pad) for y in reversed(range(h)))
+    return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def test_bmp_and_jpeg(spark, tmp_path):
+    p = np.floor(picture(n=6) * 255).astype(np.uint8)[:, :5]
+    folder = tmp_path / "some images"
+    folder.mkdir()
+    (folder / "a b.BMP").write_bytes(bmp(p))
+    save(folder / "c.png", p / 255.0, 8)
+    (folder / "notes.txt").write_text("no image")
+    jvm = spark.sparkContext._jvm
+    decoded = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(folder / "a b.BMP")))
+    assert jvm.javax.imageio.ImageIO.write(decoded, "jpg", jvm.java.io.File(str(folder / "d.jpg")))
+    again = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(folder / "d.jpg")))  # noise loses much in a JPEG: its own pixels are the truth
+    rgb = np.array([[again.getRGB(x, y) for x in range(5)] for y in range(6)])
+    truth = np.stack([rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255], axis=2)
+    got = images.read_images(spark, str(folder)).toPandas()
+    by_name = {k.rsplit("/", 1)[1]: v for k, v in got.groupby("image_id")}
+    assert sorted(by_name) == ["a b.BMP", "c.png", "d.jpg"]
+    for name, want, off in (("a b.BMP", p, 1e-12), ("c.png", p, 1.01 / 255), ("d.jpg", truth, 1e-12)):
+        rows = by_name[name]
+        out = np.full(p.shape, np.nan)
+        out[rows.y, rows.x] = rows[["r", "g", "b"]].to_numpy()
+        assert np.abs(out - want / 255.0).max() <= off, name
+    sizes = images.read_dimensions(spark, [str(folder / n) for n in ("a b.BMP", "c.png", "d.jpg")]).collect()
+    assert {(r["width"], r["height"]) for r in sizes} == {(5, 6)} and len(sizes) == 3
+    assert images.read_images(spark, str(folder / "d.jpg")).count() == 30
+
+
+def test_bands_of_an_image(spark, tmp_path):
+    """Lines of several bands, one of them without any pixel, and pixels that are missing."""
+    width = 400_000 // 40  # a band is 100 lines
+    rows = spark.createDataFrame([(0, 0, 1.0, 0.0, 0.0), (250, 3, 0.0, 1.0, 0.0), (250, width - 1, 0.0, 0.0, 1.0)], "y int, x int, r double, g double, b double")
+    out = images.decode(images.write_image(rows, tmp_path / "a.png", 8).read_bytes())
+    assert out.shape == (251, width, 3) and out.sum() == 3.0
+    assert out[0, 0, 0] == out[250, 3, 1] == out[250, width - 1, 2] == 1.0
+
+
+def test_output_paths(tmp_path):
+    assert images.check_output(tmp_path / "a.png") == tmp_path / "a.png"
+    with pytest.raises(FileNotFoundError):
+        images.check_output(tmp_path / "none" / "a.png")
+    with pytest.raises(IsADirectoryError):
+        images.check_output(tmp_path)
+    assert images.check_input("s3a://bucket/a.JPG") == images.located("s3a://bucket/a.JPG") == "s3a://bucket/a.JPG"
+
+
 def test_limits(tmp_path):
     for size in ((0, 4), (20_000, 1), (16_000, 16_000)):
         with pytest.raises(ValueError):
