@@ -89,6 +89,7 @@ def main(argv: list[str] | None = None) -> int:
         for label, r in plans.extract_batch(spark, a.manifest, a.output, _options(a, **more), a.cluster, a.clusters, a.max_clusters, a.reports, say).items():
             print(label, r.output)
             _show(r.metrics)
+            print(plans.summary(r))
     elif a.command == "route-shots":
         plans.route_shots(spark, a.shots, a.centroids, a.output, a.temporal_window, a.switch_penalty).show(truncate=False)
     elif a.command == "hald-gen":

@@ -63,7 +63,7 @@ def outlier_pairs(errors: DataFrame, sigma: float = 3.0, min_pairs: int = 3) ->
     Nothing is an outlier among fewer than max(min_pairs, 3) pairs, or if fewer than min_pairs would be left.
     """
     errors = kept(errors)
-    middle = quantiles(errors, (), {"m": (F.col("mse"), (0.5,))}).select(F.col("m")[0].alias("median"))
+    middle = kept(quantiles(errors, (), {"m": (F.col("mse"), (0.5,))}).select(F.col("m")[0].alias("median")))
     off = errors.crossJoin(middle).select(F.abs(F.col("mse") - F.col("median")).alias("off"))
     mad = quantiles(off, (), {"m": (F.col("off"), (0.5,))}).select(F.col("m")[0].alias("mad"))
     spread = middle.crossJoin(mad).crossJoin(errors.agg(F.count(F.lit(1)).alias("pairs")))
@@ -82,7 +82,7 @@ def robust_standardize(features: DataFrame, id_col: str = "vec_id", vec_col: str
 
 def robust_scale(long: DataFrame) -> DataFrame:
     """(dim, median, scale) of rows (dim, value)."""
-    middle = quantiles(long, ("dim",), {"m": (F.col("value"), (0.5,))}).select("dim", F.col("m")[0].alias("median"))
+    middle = kept(quantiles(long, ("dim",), {"m": (F.col("value"), (0.5,))}).select("dim", F.col("m")[0].alias("median")))
     off = long.join(middle, "dim").select("dim", F.abs(F.col("value") - F.col("median")).alias("off"))
     mad = quantiles(off, ("dim",), {"m": (F.col("off"), (0.5,))}).select("dim", (MAD_SCALE * F.col("m")[0]).alias("scale"))
     return middle.join(mad, "dim").withColumn("scale", F.when(F.col("scale") < 1e-8, 1.0).otherwise(F.col("scale")))

@@ -211,6 +211,14 @@ def extract_batch(spark: SparkSession, manifest: str, output: str | Path, option
     return results
 
 
+def summary(result: Result) -> str:
+    """One line on a result of a batch: pairs given and used, bins, the pairs that were dropped as outliers, and seconds."""
+    d = result.diagnostics
+    given, used = result.pairs.count(), result.samples.select("pair_id").distinct().count()
+    dropped = f", outliers dropped: {', '.join(map(str, d['dropped_pairs']))}" if d["dropped_pairs"] else ""
+    return f"pairs: {given}, used: {used}, bins: {d['occupied_bins']}{dropped}, {d['total_time_s']:.2f} s"
+
+
 def metrics_rows(spark: SparkSession, results: dict[str, Result]) -> DataFrame:
     """The metrics report's rows, the master's first."""
     parts = []

@@ -220,6 +220,8 @@ def test_extract_batch(batch):
     assigned = list(csv.DictReader((folder / "cluster_assignments.csv").open()))
     assert len(assigned) == 4 and {r["cluster_label"] for r in assigned} == {"day", "night"} and assigned[0].keys() >= {"pair_index", "detected_transfer_function"}
     metrics = list(csv.DictReader((folder / "batch_metrics.csv").open()))
+    line = plans.summary(results["master"])
+    assert line.startswith(f"pairs: {metrics[0]['num_pairs']}, used: {metrics[0]['num_pairs_used']}, bins: {metrics[0]['occupied_bins']}") and line.endswith(" s")
     assert [r["label"] for r in metrics][0] == "master" and len(metrics) == 3 and metrics[0]["num_pairs"] == "4"
     assert len(list(csv.DictReader((folder / "cluster_centroids.csv").open()))) == 2
 
