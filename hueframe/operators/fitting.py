@@ -76,8 +76,20 @@ def _stencil(x: np.ndarray, n: int, around: list[tuple[int, int, int, float]]) -
     return out.ravel()
 
 
+def _stencil_diagonal(scale: np.ndarray, n: int, around: list[tuple[int, int, int, float]]) -> np.ndarray:
+    """The diagonal of the Laplacian, `scale` a node, and the Laplacian again."""
+    cube = scale.reshape(n, n, n)
+    own, others = np.zeros((n, n, n)), np.zeros((n, n, n))
+    cut = lambda d: (slice(max(-d, 0), n - max(d, 0)), slice(max(d, 0), n - max(-d, 0)))
+    for dr, dg, db, w in around:
+        here, there = zip(*(cut(d) for d in (db, dg, dr)))
+        own[here] += w
+        others[here] += w * w * cube[there]
+    return (cube * own * own + others).ravel()
+
+
 def _solve(n: int, around, delta: float, robust: bool, first: bool):
-    """Conjugate gradients on one channel's normal equations: Spark's sums for the data, the lattice for the rest."""
+    """Conjugate gradients on one channel's normal equations, scaled by their diagonal: Spark's sums for the data, the lattice for the rest."""
 
     def run(frames: pd.DataFrame) -> pd.DataFrame:
         size = n**3
@@ -99,17 +111,21 @@ def _solve(n: int, around, delta: float, robust: bool, first: bool):
             return out + _stencil(smooth * _stencil(x, n, around), n, around) + prior * x
 
         x, stop = now.copy(), 1e-10 * max(float(np.linalg.norm(b)), 1e-30)
+        diagonal = np.bincount(i[~off], v[~off], size) + _stencil_diagonal(smooth, n, around) + prior
+        scale = 1.0 / np.where(diagonal > 0, diagonal, 1.0)
         r = b - times(x)
-        p, rr = r.copy(), r @ r
+        p = scale * r
+        rz = r @ p
         for _ in range(5000):
-            if np.sqrt(rr) <= stop:
+            if np.linalg.norm(r) <= stop:
                 break
             ap = times(p)
-            step = rr / (p @ ap)
+            step = rz / (p @ ap)
             x += step * p
             r -= step * ap
-            rr, before = r @ r, rr
-            p = r + rr / before * p
+            z = scale * r
+            rz, before = r @ z, rz
+            p = z + rz / before * p
         return pd.DataFrame({"lut_id": frames.lut_id.iloc[0], "channel": frames.channel.iloc[0], "node_id": np.arange(size), "x": x})
 
     return run
