@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, licenses, mixing, near_duplicates, nearest, packing, quality_knn, quality_rules, token_counts
-from .common import table
+from . import chat, language_id, licenses, mixing, near_duplicates, nearest, packing, periodic_runs, quality_knn, quality_rules, token_counts
+from .common import WORD, table
+from .sql import PERIODIC_RUNS
 
 
 def bpe_path() -> str:
@@ -71,9 +72,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where the crc32 h of the decimal doc_id ends in 0 for a tenth of the documents: in those the words from
+    a = g % n on repeat the first 1 + (n - a) // (3 + g % 8) of them, g = h // 10. Other texts, and those without an id or words, stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})")))
+    cut = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words").cast("long"))
+    cut = cut.withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    loop = F.expr("slice(flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a) DIV p + 1))), 1, int(n - a))")
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.expr("slice(words, 1, int(a))"), loop), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    best = F.expr("array_sort(runs, (x, y) -> CASE WHEN x.length * y.period <> y.length * x.period THEN IF(x.length * y.period > y.length * x.period, -1, 1) WHEN x.start <> y.start THEN IF(x.start < y.start, -1, 1) ELSE int(sign(x.period - y.period)) END)")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.try_element_at(best, F.lit(1)).alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_licenses, op4_near_duplicates, op5_quality, op6_packing, op7_chat_format, op8_token_counts, op9_nearest, op10_quality_rules)
+    for f in (op1_language_id, op2_mixing, op3_licenses, op4_near_duplicates, op5_quality, op6_packing, op7_chat_format, op8_token_counts, op9_nearest, op10_quality_rules, op13_periodic_runs)
 }
 
 
@@ -111,4 +132,4 @@ e AS (SELECT doc_id, CASE WHEN length(c) > 0 THEN sha256(c) END AS digest, CAST(
 SELECT doc_id, digest, n_chars, license_id FROM e LEFT JOIN k USING (digest)"""
 
 
-SQL = {"op2_mixing": _mixing_sql(), "op3_licenses": _licenses_sql()}
+SQL = {"op2_mixing": _mixing_sql(), "op3_licenses": _licenses_sql(), "op13_periodic_runs": PERIODIC_RUNS}
