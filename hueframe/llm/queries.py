@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, licenses, mixing, near_duplicates, nearest, packing, periodic_runs, quality_knn, quality_rules, token_counts
+from . import bpe, chat, language_id, licenses, mixing, near_duplicates, nearest, packing, periodic_runs, quality_knn, quality_rules, spelling, token_counts
 from .common import WORD, table
-from .sql import PERIODIC_RUNS
+from .sql import PERIODIC_RUNS, SPELLING_VARIANTS
 
 
 def bpe_path() -> str:
@@ -72,6 +72,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), bpe_path())
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def mistyped(docs: DataFrame) -> DataFrame:
+    """The words of the texts: maximal runs of Latin letters, of which only A-Z are lower-cased, without one letter where the crc32 of
+    `<doc_id>:<run>` (no id: empty) is divisible by 31. Runs below seven letters can't give words of seven."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z\u00C0-\u00FF]{7,})"))).alias("run"))
+    runs = runs.select("doc_id", F.translate("run", upper, upper.lower()).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    runs = runs.select("run", h.alias("h"))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    return runs.select(F.when(F.col("h") % 31 == 0, less).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(mistyped(table(spark, sf_dir, "documents")))
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """(doc_id, text) where the crc32 h of the decimal doc_id ends in 0 for a tenth of the documents: in those the words from
     a = g % n on repeat the first 1 + (n - a) // (3 + g % 8) of them, g = h // 10. Other texts, and those without an id or words, stay."""
@@ -94,7 +117,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_mixing, op3_licenses, op4_near_duplicates, op5_quality, op6_packing, op7_chat_format, op8_token_counts, op9_nearest, op10_quality_rules, op13_periodic_runs)
+    for f in (op1_language_id, op2_mixing, op3_licenses, op4_near_duplicates, op5_quality, op6_packing, op7_chat_format, op8_token_counts, op9_nearest, op10_quality_rules, op11_bpe, op12_spelling_variants, op13_periodic_runs)
 }
 
 
@@ -132,4 +155,4 @@ e AS (SELECT doc_id, CASE WHEN length(c) > 0 THEN sha256(c) END AS digest, CAST(
 SELECT doc_id, digest, n_chars, license_id FROM e LEFT JOIN k USING (digest)"""
 
 
-SQL = {"op2_mixing": _mixing_sql(), "op3_licenses": _licenses_sql(), "op13_periodic_runs": PERIODIC_RUNS}
+SQL = {"op2_mixing": _mixing_sql(), "op3_licenses": _licenses_sql(), "op12_spelling_variants": SPELLING_VARIANTS, "op13_periodic_runs": PERIODIC_RUNS}

@@ -33,3 +33,20 @@ c AS (SELECT o.doc_id, string_agg(word, ' ' ORDER BY o.i) AS kept FROM o LEFT JO
 SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
        CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM w LEFT JOIN b ON w.doc_id = b.doc_id LEFT JOIN c ON w.doc_id = c.doc_id"""
+
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+l AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM r WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (SELECT run, times, {crc32("id || ':' || run")} AS h FROM l, k),
+t AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times FROM h),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM t WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+g AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+m AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT) - 1) || '_' || substr(word, CAST(i AS INT) + 1) AS hole, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS less FROM g),
+p AS (SELECT x.word, y.word AS near, y.n AS near_n FROM m x JOIN m y ON x.hole = y.hole AND x.i = y.i AND x.word <> y.word
+      UNION SELECT x.word, y.word, y.n FROM m x JOIN v y ON x.less = y.word UNION SELECT y.word, x.word, x.n FROM m x JOIN v y ON x.less = y.word),
+b AS (SELECT word, count(*) AS n_near, first(struct_pack(near := near, n := near_n) ORDER BY near_n DESC, encode(near)) AS best FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * v.n THEN best.near END AS form, CASE WHEN best.n >= 10 * v.n THEN best.n END AS form_n FROM v LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON c.next = f.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM c WHERE next IS NULL) USING (word)"""
