@@ -21,6 +21,12 @@ _CLASS_OF = np.full(256, N_CLASSES, np.uint8)  # control and continuation bytes
 for _i, _chars in enumerate(CLASSES.values()):
     _CLASS_OF[np.frombuffer(_chars.encode(), np.uint8)] = _i
 _CLASS_OF[0xC0:] = N_CLASSES - 1
+# Scripts by the lead bytes of their letters in UTF-8; lead bytes of symbols and of many scripts alike have none.
+SCRIPTS = {"latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": [*range(0xD0, 0xD4)], "armenian-hebrew": [*range(0xD4, 0xD8)], "arabic": [*range(0xD8, 0xDC)], "indic": [0xE0], "georgian-ethiopic": [0xE1], "east-asian": [*range(0xE3, 0xEA)], "hangul": [*range(0xEB, 0xEE)]}
+_SCRIPT_NAMES = ["", *SCRIPTS]
+_SCRIPT_OF = np.zeros(256, np.uint8)
+for _i, _leads in enumerate(SCRIPTS.values()):
+    _SCRIPT_OF[_leads] = _i + 1
 _EDGE = ".,;:!?'\"()-#*$%&|<>"
 _SYMBOLS = "#*$%&|<>"
 
@@ -30,6 +36,12 @@ def class_histogram(raw: bytes) -> np.ndarray:
     return np.bincount(_CLASS_OF[np.frombuffer(raw, np.uint8)], minlength=N_CLASSES + 1)[:N_CLASSES]
 
 
+def script(raw: bytes) -> str:
+    """The script that most letters of UTF-8 text are of (ties: the first of SCRIPTS), empty if it has none."""
+    counts = np.bincount(_SCRIPT_OF[np.frombuffer(raw, np.uint8)], minlength=len(_SCRIPT_NAMES))[1:]
+    return _SCRIPT_NAMES[1 + int(counts.argmax())] if counts.any() else ""
+
+
 def term(word: str) -> str:
     """A word in lower case without punctuation at its ends."""
     return word.lower().strip(_EDGE)
@@ -109,7 +121,7 @@ def base_counts(text: str | None) -> tuple[list[str], int, int, int, int]:
 STEPS = 400
 
 
-#: The reference of documents without a language, and of all languages with too few documents together.
+#: What a reference is called that is one script's, of languages with too few documents together or of documents without a language.
 POOL = "*"
 
 
@@ -120,51 +132,58 @@ def references(df: DataFrame, lang_col: str | None = "lang", text_col: str = "te
     sums them over all documents. The class reference is each class's median share
     over the documents of `min_chars` bytes or more, read from counts of shares, so that a minority of broken
     documents can't bend it; it is all zero where there is no such document. Every language with `min_docs` such
-    documents has a reference, however small its share of the table; all others make one together, named POOL.
-    Documents without a language make a reference only if no other is left. Words and shares are counted inside
+    documents in a script has a reference for that script, however small its share of the table; all others make one together for each
+    script, named POOL: scripts aren't blended, so that text in a rare one isn't far from all references. Documents without a language make
+    a reference, named POOL as well, for scripts in which no language has one. A document without letters counts for its
+    language's main script, by words, and without one makes no reference. Words and shares are counted inside
     tasks and summed by Spark; the driver gets `common` words and a row of shares for each reference. Null and empty
     texts count nothing, an empty table gives no reference, repeated rows count each, and other columns may have
     any name.
     """
-    few = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(POOL)) if lang_col else F.lit(POOL), F.col(text_col))
+    few = df.select((F.col(lang_col) if lang_col else F.lit(None)).cast("string"), F.col(text_col))
     size = N_CLASSES * (STEPS + 1)
     at = np.arange(N_CLASSES) * (STEPS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict[str, np.ndarray] = {}
-        words: dict[str, Counter] = {}
+        cells: dict[tuple, np.ndarray] = {}
+        words: dict[tuple, Counter] = {}
         for batch in batches:
             for part in slices(batch):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if text:
                         raw = text.encode("utf-8", "surrogatepass")
-                        words.setdefault(lang, Counter()).update(raw.split())
+                        key = lang, script(raw)
+                        words.setdefault(key, Counter()).update(raw.split())
                         if len(raw) >= min_chars and (c := class_histogram(raw)).any():
-                            cells.setdefault(lang, np.zeros(size, np.int64))[at + np.rint(STEPS * np.sqrt(c / c.sum())).astype(int)] += 1
+                            cells.setdefault(key, np.zeros(size, np.int64))[at + np.rint(STEPS * np.sqrt(c / c.sum())).astype(int)] += 1
                 if sum(map(len, words.values())) > 200_000 or len(cells) > 200:
                     yield flat(cells, words)
                     cells, words = {}, {}
         yield flat(cells, words)
 
-    def flat(cells: dict[str, np.ndarray], words: dict[str, Counter]) -> pa.RecordBatch:
+    def flat(cells: dict[tuple, np.ndarray], words: dict[tuple, Counter]) -> pa.RecordBatch:
         terms: Counter = Counter()
-        for lang, counts in words.items():
+        for key, counts in words.items():
             for w, n in counts.items():
-                terms[lang, term(w.decode("utf-8", "surrogatepass"))] += n
-        rows = [(lang, w, None, n) for (lang, w), n in terms.items()] + [(k, None, i, int(h[i])) for k, h in cells.items() for i in np.flatnonzero(h).tolist()]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "word", "cell", "n"])
+                terms[*key, term(w.decode("utf-8", "surrogatepass"))] += n
+        rows = [(*key, None, n) for key, n in terms.items()] + [(*key, None, i, int(h[i])) for key, h in cells.items() for i in np.flatnonzero(h).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "script", "word", "cell", "n"])
 
     scratch = Scratch(df.sparkSession)
-    summed = scratch.keep(few.mapInArrow(run, "lang string, word string, cell int, n long").groupBy("lang", "word", "cell").agg(F.sum("n").alias("n")))
-    docs = summed.groupBy("lang").agg(F.sum(F.when(F.col("cell") <= STEPS, F.col("n"))).alias("docs"))
-    kind = F.when(F.col("lang") == POOL, "none").when(F.col("docs") >= min_docs, "own").otherwise("rest")
-    merged = summed.join(docs, "lang").withColumn("kind", kind).groupBy("kind", F.when(F.col("kind") == "own", F.col("lang")).otherwise(POOL).alias("lang"), "word", "cell").agg(F.sum("n").alias("n"))
-    merged = scratch.keep(merged)
-    totals = merged.where("word IS NOT NULL").groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
-    if any(r["kind"] != "none" for r in totals):
-        merged, totals = merged.where("kind <> 'none'"), [r for r in totals if r["kind"] != "none"]
-    totals = sorted(totals, key=lambda r: r["lang"])
-    langs = {r["lang"]: i for i, r in enumerate(totals)}
+    summed = scratch.keep(few.mapInArrow(run, "lang string, script string, word string, cell int, n long").groupBy("lang", "script", "word", "cell").agg(F.sum("n").alias("n")))
+    sizes = summed.where("word IS NOT NULL AND script <> ''").groupBy("lang", "script").agg(F.sum("n").alias("words"))
+    main = sizes.groupBy(F.col("lang").alias("lang_")).agg(F.max_by("script", F.struct("words", "script")).alias("main"))
+    placed = summed.join(main, F.col("lang").eqNullSafe(F.col("lang_")), "left").withColumn("script", F.when(F.col("script") == "", F.col("main")).otherwise(F.col("script"))).drop("lang_", "main").where("script IS NOT NULL")
+    docs = placed.groupBy(F.col("lang").alias("lang_"), F.col("script").alias("script_")).agg(F.coalesce(F.sum(F.when(F.col("cell") <= STEPS, F.col("n"))), F.lit(0)).alias("docs"))
+    kind = F.when(F.col("lang").isNull(), "none").when(F.col("docs") >= min_docs, "own").otherwise("rest")
+    merged = placed.join(docs, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("script") == F.col("script_"))).withColumn("kind", kind)
+    merged = scratch.keep(merged.groupBy("kind", F.when(F.col("kind") == "own", F.col("lang")).otherwise(POOL).alias("lang"), "script", "word", "cell").agg(F.sum("n").alias("n")))
+    totals = merged.where("word IS NOT NULL").groupBy("kind", "lang", "script").agg(F.sum("n").alias("n")).collect()
+    known = {r["script"] for r in totals if r["kind"] != "none"}
+    totals = sorted((r for r in totals if r["kind"] != "none" or r["script"] not in known), key=lambda r: (r["lang"], r["script"], r["kind"]))
+    names = [r["lang"] for r in totals]
+    langs = {f"{r['kind']} {r['script']} {r['lang']}": i for i, r in enumerate(totals)}
+    merged = merged.where((F.col("kind") != "none") | ~F.col("script").isin(sorted(known))).withColumn("lang", F.concat_ws(" ", "kind", "script", "lang"))
 
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = merged.where("word <> ''").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= common).select("word").distinct()
@@ -181,7 +200,7 @@ def references(df: DataFrame, lang_col: str | None = "lang", text_col: str = "te
     for r in shares.collect():
         classes[langs[r["lang"]], r["c"]] = (r["step"] / STEPS) ** 2
     scratch.clear()
-    return References(list(langs), bins, classes, words / np.maximum(words.sum(axis=1, keepdims=True), 1))
+    return References(names, bins, classes, words / np.maximum(words.sum(axis=1, keepdims=True), 1))
 
 
 def quality_rules(df: DataFrame, lang_col: str | None = "lang", id_col: str = "doc_id", text_col: str = "text", max_class_distance: float = 0.2, max_word_distance: float = 0.6, min_chars: int = 200, min_words: int = 100, keep: bool = False) -> DataFrame:

@@ -246,6 +246,20 @@ def test_rare_languages_keep_references(spark):
     assert {i for i, _, lang in rows if lang in ("ru", "el")} <= kept and 300 not in kept
 
 
+def test_rare_scripts_arent_blended(spark):
+    """Three Cyrillic documents beside twelve of rare Latin languages, and sixty without any language, are kept; junk isn't, in whatever language."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 400), "en") for i in range(40)] + [(100 + i, prose(rng, 130), f"x{i}") for i in range(12)]
+    junk = [(900, "#$% &*| <> 1!! " * 40, "en"), (901, "#$% &*| <> 1!! " * 40, None), (902, "a#$% &*| <> 1!! " * 40, "ru")]
+    for lang, n in (("ru", 3), (None, 60), ("*", 3)):
+        script = [(200 + i, script_prose(rng, 0x430, 130), lang) for i in range(n)]
+        given = [r for r in rows + script + junk if r[2] != "ru" or lang == "ru"] + [(300, prose(rng, 130), None)]
+        got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(given, "doc_id long, text string, lang string")).collect()}
+        assert all(got[i]["kept"] for i, _, _ in given if i < 900)
+        assert not any(got[i]["kept"] for i, _, _ in given if i >= 900)
+    assert [quality_rules.script(t.encode()) for t in ("", "12 #", "abc дом", "дом a", "ελα", "中文字", "été")] == ["", "", "latin", "cyrillic", "greek", "east-asian", "latin"]
+
+
 def test_references_of_many_even_languages(spark):
     """Of 250 languages with 0.4 % of the words each, and with 2 or 20 documents each, none is left untested."""
     rng = random.Random(6)
