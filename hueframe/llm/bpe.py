@@ -46,10 +46,11 @@ def _tokenizer(path: str):
 
 
 def split_documents(df: DataFrame, path: str, block_words: int = BLOCK) -> DataFrame:
-    """Blocks of documents as rows (block, ids, counts, refs, words).
+    """Blocks of documents as rows (block, ids, counts, refs, words, ats).
 
-    `words` are the block's distinct words (pre-tokens of the file's pattern, special strings as words of their own), `refs` the
-    place there of each word of each document (compressed 32-bit numbers), `counts` how many words each of the documents `ids` has.
+    `words` are the block's distinct words in order (pre-tokens of the file's pattern, special strings as words of their own), `ats` their
+    numbers, the most frequent word's first, `refs` the number of each word of each document, `counts` how many words each of the documents `ids` has.
+    Words in order and numbers by frequency, packed byte plane by byte plane, take the least room.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,9 +60,14 @@ def split_documents(df: DataFrame, path: str, block_words: int = BLOCK) -> DataF
         numbers, refs, ids, counts = _Numbers(), array("I"), [], []
 
         def close() -> pa.RecordBatch:
-            row = [[block], [ids], [counts], [pack(refs.tobytes())], [list(numbers)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["block", "ids", "counts", "refs", "words"])
+            words, given = sorted(numbers), np.frombuffer(refs, np.uint32)
+            rank = np.empty(len(words), np.uint32)
+            rank[np.argsort(-np.bincount(given, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            ats = rank[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))]
+            planes = np.ascontiguousarray(rank[given].view(np.uint8).reshape(len(given), 4).T)
+            row = [[block], [ids], [counts], [pack(planes.tobytes())], [words], [ats]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["block", "ids", "counts", "refs", "words", "ats"])
 
         for batch in batches:
             for part in slices(batch):
@@ -81,7 +87,7 @@ def split_documents(df: DataFrame, path: str, block_words: int = BLOCK) -> DataF
         if ids:
             yield close()
 
-    return df.mapInArrow(run, "block long, ids array<long>, counts array<long>, refs binary, words array<string>")
+    return df.mapInArrow(run, "block long, ids array<long>, counts array<long>, refs binary, words array<string>, ats array<int>")
 
 
 def encode_words(places: DataFrame, path: str) -> DataFrame:
@@ -183,7 +189,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept.append(batch)
         rows += batch.num_rows
-        if rows >= 1 << 20:
+        if rows >= 1 << 19:
             yield flush()
             kept, rows = [], 0
     if rows:
@@ -219,7 +225,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             ids, counts = (batch.column(i)[row].values for i in (0, 1))
-            refs = np.frombuffer(unpack(batch.column(2)[row].as_py()), np.uint32)
+            planes = np.frombuffer(unpack(batch.column(2)[row].as_py()), np.uint8)
+            refs = np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view(np.uint32).ravel()
             coded = _Coded(batch.column(3)[row].as_py(), int(refs.max()) + 1) if len(refs) else None
             ends = np.cumsum(counts.to_numpy())
             # A few documents at a time: what they give stays small beside the block.
@@ -259,6 +266,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split_documents(few, path, block_words).write.bucketBy(parts, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
-    coded = encode_words(blocks.select("block", F.posexplode("words").alias("at", "word")), path)
+    each = blocks.select("block", F.explode(F.arrays_zip("words", "ats")).alias("w"))
+    coded = encode_words(each.select("block", F.col("w.ats").alias("at"), F.col("w.words").alias("word")), path)
     packs = with_pieces(coded, path).mapInArrow(_pack, "block long, pack binary").groupBy("block").agg(F.collect_list("pack").alias("packs"))
     return blocks.select("block", "ids", "counts", "refs").join(packs.hint("shuffle_hash"), "block", "left").select("ids", "counts", "refs", "packs").mapInArrow(_gather, "doc_id long, ids array<int>, decoded string")

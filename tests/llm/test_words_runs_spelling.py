@@ -57,6 +57,8 @@ def test_bpe_awkward_rows(spark):
     want = sorted(((r["doc_id"], encoded(r["text"]), r["text"] or "") for r in df.collect()), key=key)
     assert got == want
     assert bpe.encode_documents(empty(spark), PATH).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, ""), (None, "")], "doc_id long, text string")
+    assert sorted(map(tuple, bpe.encode_documents(blank, PATH).collect()), key=key) == [(1, [], ""), (2, [], ""), (None, [], "")]
 
 
 def test_bpe_random_unicode(spark):
