@@ -92,9 +92,9 @@ def smoothstep(c: Column) -> Column:
     return t * t * (3.0 - 2.0 * t)
 
 
-def shadow_boost(lum: Column, shadow: float, deep: float, most: float = 25.0) -> Column:
+def shadow_boost(lum: Column, shadow: float | Column, deep: float | Column, most: float = 25.0) -> Column:
     """`most` below the deep threshold, 1 above the shadow threshold, a smooth step between."""
-    t = smoothstep((lum - deep) / max(shadow - deep, 1e-8))
+    t = smoothstep((lum - F.lit(deep)) / F.greatest(F.lit(shadow) - F.lit(deep), F.lit(1e-8)))
     return most * (1.0 - t) + t
 
 

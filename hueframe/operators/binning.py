@@ -72,13 +72,13 @@ def clip_penalty(r: Column, g: Column, b: Column, low: float = 0.05, high: float
     return F.greatest(down * up, F.lit(0.0))
 
 
-def sample_weights(bins: DataFrame, by_frequency: bool = False, min_samples: int = 3, shadow: float = 0.25, over: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+def sample_weights(bins: DataFrame, by_frequency: bool = False, min_samples: int = 3, shadow: float | Column = 0.25, over: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """Bins as samples with weight `alpha`, whose mean over the rows that share the columns `over` is 1.
 
     Confidence falls with variance, the more so in shadows: its factor goes from 10 above the shadow threshold to
     0.5 at black... of luminance, linearly. Clipped colours count less; `by_frequency` multiplies by pixels.
     """
-    t = lattice.clamp(lattice.luma(*map(F.col, MEAN_IN)) / max(shadow, 1e-8))
+    t = lattice.clamp(lattice.luma(*map(F.col, MEAN_IN)) / F.greatest(F.lit(shadow), F.lit(1e-8)))
     trust = 1.0 / (1.0 + (0.5 * t + 10.0 * (1.0 - t)) * mean_variance()) * F.least(F.lit(1.0), F.col("n") / float(max(min_samples, 1)))
     raw = trust * clip_penalty(*map(F.col, MEAN_IN))
     raw = raw * F.col("n") if by_frequency else raw
@@ -101,16 +101,18 @@ def detect_transfer(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("pair_id").agg(F.max(F.greatest(*SOURCE)).alias("highest"), F.avg((F.col("sr") + F.col("sg") + F.col("sb")) / 3.0).alias("mean")).withColumn("transfer", F.when(F.col("highest") > 2.0, "linear").otherwise("unknown"))
 
 
-def balanced(samples: DataFrame, pairs: DataFrame, mode: str = "by_bins") -> DataFrame:
+def balanced(samples: DataFrame, pairs: DataFrame, mode: str = "by_bins", by: tuple[str, ...] = ()) -> DataFrame:
     """Samples whose weights give each pair its share.
 
     `pairs` has (pair_id, weight, pixels). A pair's weights sum to its weight ("equal"), times its bins
-    ("by_bins") or its pixels ("by_pixels"), and then all are scaled to a mean of 1. Adds `pair_share`.
+    ("by_bins") or its pixels ("by_pixels"), and then all are scaled to a mean of 1. Adds `pair_share`. With `by`, keys that both tables
+    have, shares are of the pairs with the same keys.
     """
-    sums = samples.groupBy("pair_id").agg(F.sum("alpha").alias("total"), F.count(F.lit(1)).alias("bins")).join(pairs, "pair_id")
-    target = {"equal": F.col("weight"), "by_bins": F.col("weight") * F.col("bins"), "by_pixels": F.col("weight") * F.col("pixels")}[mode]
+    key = [*by, "pair_id"]
+    sums = samples.groupBy(*key).agg(F.sum("alpha").alias("total"), F.count(F.lit(1)).alias("n_bins")).join(pairs.select(*key, "weight", "pixels"), key)
+    target = {"equal": F.col("weight"), "by_bins": F.col("weight") * F.col("n_bins"), "by_pixels": F.col("weight") * F.col("pixels")}[mode]
     sums = sums.withColumn("goal", F.when(F.col("total") > 1e-12, target).otherwise(0.0))
-    scale = sums.agg(F.sum("goal").alias("all_goal"), F.sum("bins").alias("all_bins"))
+    scale = sums.groupBy(*by).agg(F.sum("goal").alias("all_goal"), F.sum("n_bins").alias("all_bins"))
     factor = F.when(F.col("total") > 1e-12, F.col("goal") / F.col("total") * F.col("all_bins") / F.col("all_goal")).otherwise(0.0)
-    factors = sums.crossJoin(scale).select("pair_id", factor.alias("factor"), (F.col("goal") / F.col("all_goal")).alias("pair_share"))
-    return samples.join(factors, "pair_id").withColumn("alpha", F.col("alpha") * F.col("factor")).drop("factor")
+    factors = (sums.join(scale, list(by)) if by else sums.crossJoin(scale)).select(*key, factor.alias("factor"), (F.col("goal") / F.col("all_goal")).alias("pair_share"))
+    return samples.join(factors, key).withColumn("alpha", F.col("alpha") * F.col("factor")).drop("factor")

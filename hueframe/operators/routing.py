@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
 from .statistics import MAD_SCALE
+from .storage import kept
 
 
 def _centroid_scale(long: DataFrame) -> DataFrame:
@@ -32,18 +37,30 @@ def shot_distances(shots: DataFrame, centroids: DataFrame) -> DataFrame:
     return shots.withColumn("o", F.explode(options)).select("track", "shot_index", F.col("o.cluster_id").alias("cluster_id"), distance.alias("distance"))
 
 
-def moving_average(distances: DataFrame, window: int) -> DataFrame:
-    """Distances averaged over `window` shots around each; beyond a track's ends its first and last values count on."""
+#: Shots that one task takes at a time.
+SEGMENT = 4096
+
+
+def moving_average(distances: DataFrame, window: int, segment: int = SEGMENT) -> DataFrame:
+    """Distances averaged over `window` shots around each; beyond a track's ends its first and last values count on.
+
+    A series of shots is cut into segments, of which each has copies of the `window // 2` shots beside it, so that no task
+    holds a series however long it is; its first and last value come from an aggregate.
+    """
     if window % 2 == 0:
         raise ValueError(f"a window has an odd number of shots, not {window}")
-    pad = window // 2
-    track = Window.partitionBy("track", "cluster_id")
-    order = track.orderBy("shot_index")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place, n = F.row_number().over(order) - 1, F.count(F.lit(1)).over(track)
+    pad, size = window // 2, max(segment, window // 2, 1)
+    series = ["track", "cluster_id"]
+    placed = kept(numbered(distances, ["shot_index"], "_p", series))
+    ends = placed.groupBy(*series).agg((F.max("_p") + 1).alias("_n"), F.min_by("distance", "_p").alias("_first"), F.max_by("distance", "_p").alias("_last"))
+    part, at = F.floor(F.col("_p") / size), F.col("_p") % size
+    copies = F.array_compact(F.array(part, F.when(at < pad, part - 1), F.when(at >= size - pad, part + 1)))
+    rows = placed.withColumn("_home", part).withColumn("_part", F.explode(copies))
+    near = Window.partitionBy(*series, "_part").orderBy("_p").rowsBetween(-pad, pad)
+    inside = rows.withColumn("_sum", F.sum("distance").over(near)).where(F.col("_part") == F.col("_home")).join(ends, series)
     missing = lambda m: F.greatest(m, F.lit(0))
-    total = F.sum("distance").over(order.rowsBetween(-pad, pad)) + missing(pad - place) * F.first("distance").over(whole) + missing(place + pad - n + 1) * F.last("distance").over(whole)
-    return distances.withColumn("distance", total / float(window))
+    total = F.col("_sum") + missing(pad - F.col("_p")) * F.col("_first") + missing(F.col("_p") + pad - F.col("_n") + 1) * F.col("_last")
+    return inside.withColumn("distance", total / float(window)).select(distances.columns)
 
 
 def nearest(distances: DataFrame) -> DataFrame:
@@ -51,32 +68,96 @@ def nearest(distances: DataFrame) -> DataFrame:
     return distances.groupBy("track", "shot_index").agg(F.min(F.struct("distance", "cluster_id")).alias("m")).select("track", "shot_index", "m.cluster_id")
 
 
-def cheapest_path(distances: DataFrame, penalty: float) -> DataFrame:
+def _step(cost: np.ndarray, d: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Costs after one more shot, and the cluster before it for each cluster, along the last axis. On equal costs the smallest cluster comes first, be it staying or moving."""
+    j = cost.argmin(-1)[..., None]
+    moved, here = np.take_along_axis(cost, j, -1) + penalty, np.arange(cost.shape[-1])
+    stay = (cost < moved) | ((cost == moved) & (here <= j))
+    return d + np.where(stay, cost, moved), np.where(stay, here, j)
+
+
+def _segment_costs(d: np.ndarray, first: bool, penalty: float) -> np.ndarray:
+    """(k, k): least costs of a segment's shots that end in a cluster, for each cluster in which the shot before it was (none before the first)."""
+    k = d.shape[1]
+    cost = np.broadcast_to(d[0], (k, k)) if first else _step(np.where(np.eye(k, dtype=bool), 0.0, np.inf), d[0], penalty)[0]
+    for row in d[1:]:
+        cost = _step(cost, row, penalty)[0]
+    return cost
+
+
+def _traced(d: np.ndarray, entry: np.ndarray | None, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Costs after a segment, and for each of its shots the cluster before; `entry` are the costs before it."""
+    back = np.zeros(d.shape, np.int64)
+    cost = d[0]
+    if entry is not None:
+        cost, back[0] = _step(entry, d[0], penalty)
+    for t in range(1, len(d)):
+        cost, back[t] = _step(cost, d[t], penalty)
+    return cost, back
+
+
+def cheapest_path(distances: DataFrame, penalty: float, segment: int = SEGMENT) -> DataFrame:
     """(track, shot_index, cluster_id, cost): the path of least distance plus `penalty` for each change of cluster.
 
-    Shots of a track depend on each other in order, so that a task holds one track's numbers, eight bytes a shot
-    and cluster, and no frames.
+    A track is cut into segments of shots. Each gives the least costs between any clusters before and at its end, k x k numbers; those,
+    folded in order, give the costs at which each segment starts; from them each segment tells which cluster before it leads to which at its
+    end; followed from the last, that gives each segment's ends, and then its shots. All shots are worked on segment by segment;
+    the two folds hold k x k and k numbers a segment of one track, not its shots. All shots of a track have the same clusters.
     """
     wide = distances.groupBy("track", "shot_index").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "distance"))).alias("d"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shot_index")
-        d = np.array([[c["distance"] for c in row] for row in group.d])
-        ids = np.array([c["cluster_id"] for c in group.d.iloc[0]])
-        cost, back = d[0].copy(), np.zeros(d.shape, np.int32)
-        for t in range(1, len(d)):
-            j = int(cost.argmin())
-            # On equal costs the smallest cluster comes first, be it staying or moving.
-            stay = (cost < cost[j] + penalty) | ((cost == cost[j] + penalty) & (np.arange(len(cost)) <= j))
-            back[t] = np.where(stay, np.arange(len(cost)), j)
-            cost = d[t] + np.where(stay, cost, cost[j] + penalty)
-        path = np.empty(len(d), np.int64)
-        path[-1] = cost.argmin()
-        for t in range(len(d) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return pd.DataFrame({"track": group.track, "shot_index": group.shot_index, "cluster_id": ids[path], "cost": float(cost.min())})
-
-    return wide.groupBy("track").applyInPandas(run, "track string, shot_index int, cluster_id int, cost double")
+    placed = numbered(wide, ["shot_index"], "p", ["track"])
+    shots = F.array_sort(F.collect_list(F.struct("p", "shot_index", "d")))
+    rows = placed.groupBy("track", F.floor(F.col("p") / segment).cast("long").alias("seg")).agg(shots.alias("s"))
+    segments = kept(rows.select("track", "seg", F.col("s.shot_index").alias("shots"), F.col("s")[0]["d"]["cluster_id"].alias("ids"), F.flatten(F.transform("s", lambda v: v["d"]["distance"])).alias("d")))
+
+    def costs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            m = [_segment_costs(np.reshape(d, (-1, len(ids))), seg == 0, penalty).ravel() for d, ids, seg in zip(f.d, f.ids, f.seg)]
+            yield pd.DataFrame({"track": f.track, "seg": f.seg, "m": m})
+
+    def entries(group: pd.DataFrame) -> pd.DataFrame:
+        out, now = [], None
+        for m in group.sort_values("seg").m:
+            out.append(now)
+            m = np.reshape(m, (math.isqrt(len(m)), -1))
+            now = m[0] if now is None else (now[:, None] + m).min(0)
+        return pd.DataFrame({"track": group.track, "seg": np.sort(group.seg), "entry": out})
+
+    starts = kept(segments.mapInPandas(costs, "track string, seg long, m array<double>").groupBy("track").applyInPandas(entries, "track string, seg long, entry array<double>"))
+    with_costs = segments.join(starts, ["track", "seg"])
+
+    def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for d, ids, entry in zip(f.d, f.ids, f.entry):
+                cost, back = _traced(np.reshape(d, (-1, len(ids))), entry, penalty)
+                at = np.arange(len(ids))
+                for row in back[::-1]:
+                    at = row[at]
+                out.append((at, cost))
+            yield pd.DataFrame({"track": f.track, "seg": f.seg, "back": [a for a, _ in out], "costs": [c for _, c in out]})
+
+    def exits(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seg")
+        back, last = list(group.back), np.asarray(group.costs.iloc[-1])
+        at, out = int(last.argmin()), []
+        for b in back[::-1]:
+            out.append(at)
+            at = int(b[at])
+        return pd.DataFrame({"track": group.track, "seg": group.seg, "exit": out[::-1], "cost": float(last.min())})
+
+    ends = kept(with_costs.mapInPandas(maps, "track string, seg long, back array<long>, costs array<double>").groupBy("track").applyInPandas(exits, "track string, seg long, exit long, cost double"))
+
+    def paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for track, shots, d, ids, entry, at, cost in zip(f.track, f.shots, f.d, f.ids, f.entry, f.exit, f.cost):
+                back = _traced(np.reshape(d, (-1, len(ids))), entry, penalty)[1]
+                path = np.empty(len(back), np.int64)
+                for t in range(len(back) - 1, -1, -1):
+                    path[t], at = at, back[t, at]
+                yield pd.DataFrame({"track": track, "shot_index": shots, "cluster_id": np.asarray(ids)[path], "cost": cost})
+
+    return with_costs.join(ends, ["track", "seg"]).mapInPandas(paths, "track string, shot_index int, cluster_id int, cost double")
 
 
 def confidence_margin(distances: DataFrame) -> DataFrame:
@@ -87,9 +168,10 @@ def confidence_margin(distances: DataFrame) -> DataFrame:
 
 def switches(assigned: DataFrame) -> DataFrame:
     """(track, switches): changes of cluster from one shot to the next."""
-    w = Window.partitionBy("track").orderBy("shot_index")
-    moved = F.when(F.col("cluster_id") != F.lag("cluster_id").over(w), 1).otherwise(0)
-    return assigned.select("track", moved.alias("m")).groupBy("track").agg(F.sum("m").alias("switches"))
+    placed = numbered(assigned.select("track", "shot_index", "cluster_id"), ["shot_index"], "p", ["track"])
+    # Each shot meets the one before it: a segment of two rows, not a track.
+    both = placed.withColumn("at", F.explode(F.array(F.col("p"), F.col("p") + 1))).groupBy("track", "at").agg(F.min_by("cluster_id", "p").alias("a"), F.max_by("cluster_id", "p").alias("b"), F.count(F.lit(1)).alias("n"))
+    return both.groupBy("track").agg(F.sum(F.when((F.col("n") == 2) & (F.col("a") != F.col("b")), 1).otherwise(0)).alias("switches"))
 
 
 def route(distances: DataFrame, window: int = 1, penalty: float = 0.0) -> DataFrame:

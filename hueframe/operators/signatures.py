@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lattice import luma
 from .binning import MEAN_IN, MEAN_OUT, SOURCE
+from .numbering import numbered
 
 TRANSFORM, APPEARANCE = 18, 8
 
@@ -104,8 +105,6 @@ def metrics_report(master: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def dense_ids(rows: DataFrame, label_col: str, order_col: str) -> DataFrame:
     """Rows with cluster_id 0, 1, ... by the first appearance of their label."""
-    from pyspark.sql import Window
-
     firsts = rows.groupBy(label_col).agg(F.min(order_col).alias("first"))
-    ids = firsts.select(label_col, (F.row_number().over(Window.orderBy("first")) - 1).alias("cluster_id"))
+    ids = numbered(firsts, ["first", label_col], "cluster_id").select(label_col, F.col("cluster_id").cast("int").alias("cluster_id"))
     return rows.join(ids, label_col)

@@ -57,20 +57,22 @@ def shadow_thresholds(samples: DataFrame, by: tuple[str, ...] = ("pair_id",), co
     return found.select(*by, F.when(adapted, high).otherwise(shadow).alias("shadow"), F.when(adapted, low).otherwise(deep).alias("deep"), adapted.alias("adapted"))
 
 
-def outlier_pairs(errors: DataFrame, sigma: float = 3.0, min_pairs: int = 3) -> DataFrame:
-    """`errors` (pair_id, mse, ...) with `outlier`: mse beyond the median by more than sigma robust deviations.
+def outlier_pairs(errors: DataFrame, sigma: float = 3.0, min_pairs: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """`errors` (by..., pair_id, mse, ...) with `median`, `mad` and `outlier`: mse beyond the median by more than sigma robust deviations.
 
-    Nothing is an outlier among fewer than max(min_pairs, 3) pairs, or if fewer than min_pairs would be left.
+    Median and deviation are of the finite errors of the pairs with the same keys `by`; infinite, NaN and null errors count as pairs but
+    are never outliers. Nothing is an outlier among fewer than max(min_pairs, 3) pairs, or if fewer than min_pairs would be left.
     """
     errors = kept(errors)
-    middle = kept(quantiles(errors, (), {"m": (F.col("mse"), (0.5,))}).select(F.col("m")[0].alias("median")))
-    off = errors.crossJoin(middle).select(F.abs(F.col("mse") - F.col("median")).alias("off"))
-    mad = quantiles(off, (), {"m": (F.col("off"), (0.5,))}).select(F.col("m")[0].alias("mad"))
-    spread = middle.crossJoin(mad).crossJoin(errors.agg(F.count(F.lit(1)).alias("pairs")))
-    marked = errors.crossJoin(spread).withColumn("beyond", F.col("mse") > F.col("median") + sigma * MAD_SCALE * F.col("mad"))
-    left = marked.agg(F.sum(F.when(F.col("beyond"), 0).otherwise(1)).alias("left"))
-    out = F.col("beyond") & (F.col("pairs") >= max(min_pairs, 3)) & (F.col("left") >= min_pairs)
-    return marked.crossJoin(left).withColumn("outlier", out).drop("beyond", "left", "pairs")
+    keys, finite = list(by), F.abs(F.col("mse")) < float("inf")
+    joined = lambda a, b: a.join(b, keys) if keys else a.crossJoin(b)  # noqa: E731  without keys b is one row
+    middle = kept(quantiles(errors, by, {"m": (F.when(finite, F.col("mse")), (0.5,))}).select(*keys, F.col("m")[0].alias("median")))
+    off = joined(errors, middle).select(*keys, F.when(finite, F.abs(F.col("mse") - F.col("median"))).alias("off"))
+    mad = quantiles(off, by, {"m": (F.col("off"), (0.5,))}).select(*keys, F.col("m")[0].alias("mad"))
+    marked = joined(errors, joined(middle, mad)).withColumn("beyond", F.coalesce(finite & (F.col("mse") > F.col("median") + sigma * MAD_SCALE * F.col("mad")), F.lit(False)))
+    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs"), F.sum(F.when(F.col("beyond"), 0).otherwise(1)).alias("_left"))
+    out = F.col("beyond") & (F.col("_pairs") >= max(min_pairs, 3)) & (F.col("_left") >= min_pairs)
+    return joined(marked, counts).withColumn("outlier", out).drop("beyond", "_left", "_pairs")
 
 
 def robust_standardize(features: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transfer
 from ..functions.lattice import clamp
-from ..operators import binning, clustering, fitting, lattices, routing, signatures, statistics
+from ..operators import binning, clustering, fitting, lattices, numbering, routing, signatures, statistics
 from ..operators.binning import MEAN_IN, SOURCE, TARGET
 from ..operators.storage import kept
 from ..sources import cube, images, tables
@@ -101,70 +101,110 @@ def shaped(pixels: DataFrame, options: Options, overrides: DataFrame | None = No
     return both.withColumns({s: F.when(F.col("transfer") == "linear", transfer.log_shaper(F.col(s))).otherwise(F.col(s)) for s in SOURCE}).drop("transfer"), chosen
 
 
-def _fit(rows: DataFrame, pairs: DataFrame, options: Options, several: bool) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """(lattice, metrics, samples, info) of bins (pair_id, ...) and pairs (pair_id, weight, pixels), as one lattice "master"."""
-    info: dict = {"occupied_bins": rows.count()}
-    low = rows.groupBy("pair_id").count().where("count < 10").select("pair_id").take(1)
-    if info["occupied_bins"] < 10 or low:
-        raise ValueError("fewer than 10 occupied bins" + (f" in pair {low[0][0]}" if low else ""))
-    info["contradictory_bins"] = binning.contradictory_bins(rows).count()
-    fit = options.fit
+def _fit(rows: DataFrame, pairs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, dict]]:
+    """(lattices, metrics, samples, info) of bins (lut_id, pair_id, ...) and pairs (lut_id, pair_id, weight, pixels), for all lattices in one job.
+
+    A lattice has thresholds, weights, balance and rounds of its own; `info` has a row of counts for each.
+    """
+    counts = rows.groupBy("lut_id", "pair_id").agg(F.count(F.lit(1)).alias("bins"))
+    if low := counts.where("bins < 10").orderBy("lut_id", "pair_id").take(1):
+        raise ValueError(f"fewer than 10 occupied bins in pair {low[0]['pair_id']}")
+    odd = F.sum(F.when(binning.contradiction() > 0.3, 1).otherwise(0))
+    info = {r["lut_id"]: {"occupied_bins": r["bins"], "contradictory_bins": r["odd"]} for r in rows.groupBy("lut_id").agg(F.count(F.lit(1)).alias("bins"), odd.alias("odd")).collect()}
+    if not info:
+        raise ValueError("fewer than 10 occupied bins")
+    fit, shadows = options.fit, None
     if options.auto_shadows:
-        t = statistics.shadow_thresholds(rows, ()).first()
-        fit = replace(fit, shadow=t["shadow"], deep=t["deep"])
-        info["shadows_adapted"] = t["adapted"]
-    weighted = binning.sample_weights(rows, options.by_frequency, options.min_samples, fit.shadow, over=("pair_id",) if several else ())
-    samples = binning.balanced(weighted, pairs, options.balance) if several else weighted
-    samples = kept(samples.withColumn("lut_id", F.lit("master")))
-    lattice = fitting.fit_lattice(samples, fit)
+        shadows = kept(statistics.shadow_thresholds(rows, ("lut_id",)))
+        rows = rows.join(shadows.select("lut_id", "shadow"), "lut_id")
+        for r in shadows.select("lut_id", "adapted").collect():
+            info[r["lut_id"]]["shadows_adapted"] = r["adapted"]
+    over = ("lut_id", "pair_id")
+    weighted = binning.sample_weights(rows, options.by_frequency, options.min_samples, F.col("shadow") if options.auto_shadows else fit.shadow, over=over)
+    samples = kept(binning.balanced(weighted, pairs, options.balance, ("lut_id",)).drop("shadow"))
+    lattice = fitting.fit_lattice(samples, fit, shadows)
     if options.refine_rounds:
-        lattice = fitting.refine(lattice, samples, fit, options.refine_rounds)
+        lattice = fitting.refine(lattice, samples, fit, options.refine_rounds, shadows)
     lattice = kept(lattice)
-    return lattice, lattices.quality_metrics(samples, lattice, fit.size, fit.kernel), samples, info
+    return lattice, kept(lattices.quality_metrics(samples, lattice, fit.size, fit.kernel)), samples, info
 
 
-def extract(spark: SparkSession, pixels: DataFrame, options: Options = Options(), output: str | Path | None = None, pairs: DataFrame | None = None, progress: Progress | None = None, cancel: Cancel | None = None) -> Result:
-    """A lattice from pixel pairs (pair_id, y, x, sr..tb), of one pair or several; `pairs` (pair_id, weight, transfer_fn, normalization) says how each counts.
+@dataclass
+class Prepared:
+    """Bins of pairs, what is known of each pair (pair_id, weight, pixels, bins, transfer), and the shaped pixels that the bins are of."""
 
-    With several pairs their weights are balanced, pairs with mixed transfer functions are refused unless allowed, and
-    with `outlier_sigma` pairs of outlying error are left out and the rest is fitted once more.
-    """
-    began, step = time.time(), _Steps(progress, cancel)
-    step("preprocess", 0.0, "normalising and shaping")
-    pixels, transfers = shaped(pixels, options, pairs)
-    pixels = statistics.normalize_pairs(pixels, options.normalization) if options.normalization != "none" else pixels
-    kinds = sorted(r[0] for r in transfers.select("transfer").distinct().collect())
-    if len(kinds) > 1 and not options.allow_mixed_transfers:
-        raise ValueError(f"pairs have several transfer functions: {', '.join(kinds)}")
-    step("sampling", 0.0, "gathering bins")
-    rows = kept(binning.bin_pixels(pixels, options.bins, options.min_samples))
-    counts = pixels.groupBy("pair_id").agg(F.count(F.lit(1)).alias("pixels"))
+    bins: DataFrame
+    pairs: DataFrame
+    pixels: DataFrame
+
+
+def prepare(pixels: DataFrame, options: Options = Options(), pairs: DataFrame | None = None) -> Prepared:
+    """Pixels shaped, normalised and binned; they are read for detection and, once more, for bins."""
+    ready, transfers = shaped(pixels, options, pairs)
+    given = statistics.normalize_pairs(ready, options.normalization) if options.normalization != "none" else ready
+    every = kept(binning.bin_pixels(given, options.bins, 1))
+    rows = every.where(F.col("n") >= max(options.min_samples, 1))
+    counts = every.groupBy("pair_id").agg(F.sum("n").alias("pixels"), F.sum(F.when(F.col("n") >= max(options.min_samples, 1), 1).otherwise(0)).alias("bins"))
     weights = pairs.select("pair_id", F.coalesce("weight", F.lit(1.0)).alias("weight")) if pairs is not None else counts.select("pair_id", F.lit(1.0).alias("weight"))
-    counts = kept(counts.join(weights, "pair_id"))
-    several = counts.count() > 1
+    return Prepared(rows, kept(counts.join(weights, "pair_id").join(transfers, "pair_id", "left")), ready)
+
+
+def fit_groups(spark: SparkSession, ready: Prepared, members: DataFrame, options: Options, outputs: dict[str, str | Path | None], progress: Progress | None = None, cancel: Cancel | None = None) -> dict[str, Result]:
+    """A lattice for each lut_id of `members` (lut_id, pair_id), all fitted by the same Spark jobs from the same bins.
+
+    Each lattice is what its pairs alone give: weights are balanced over its own pairs, pairs with mixed transfer functions are refused
+    unless allowed, and with `outlier_sigma` pairs of outlying error within it are left out and it is fitted once more, the
+    other lattices staying as they are. `outputs` names the files to write. Lattices and files are a few; bins and samples stay in Spark.
+    """
+    began, step, n, kernel = time.time(), _Steps(progress, cancel), options.fit.size, options.fit.kernel
+    key = ["lut_id", "pair_id"]
+    members = kept(members.select(*key).distinct())
+    pairs = kept(members.join(ready.pairs, "pair_id"))
+    kinds = {r["lut_id"]: sorted(r["kinds"]) for r in pairs.groupBy("lut_id").agg(F.collect_set("transfer").alias("kinds")).collect()}
+    for lut, found in sorted(kinds.items()):
+        if len(found) > 1 and not options.allow_mixed_transfers:
+            raise ValueError(f"pairs have several transfer functions: {', '.join(found)}")
     step("solving", 0.0, "fitting")
-    lattice, metrics, samples, info = _fit(rows, counts, options, several)
-    dropped: list[str] = []
-    if several and options.outlier_sigma > 0:
-        errors = fitting.pair_errors(samples, lattice, options.fit.size, options.fit.kernel)
-        out = kept(statistics.outlier_pairs(errors, options.outlier_sigma, options.min_pairs).where("outlier").select("pair_id"))
-        dropped = sorted(r[0] for r in out.toLocalIterator())
+    rows = kept(ready.bins.join(members, "pair_id"))
+    lattice, metrics, samples, info = _fit(rows, pairs, options)
+    dropped: dict[str, list[str]] = {}
+    if options.outlier_sigma > 0:
+        errors = fitting.pair_errors(samples, lattice, n, kernel, key)
+        out = kept(statistics.outlier_pairs(errors, options.outlier_sigma, options.min_pairs, ("lut_id",)).where("outlier").select(*key))
+        dropped = {r["lut_id"]: sorted(r["pairs"]) for r in out.groupBy("lut_id").agg(F.collect_list("pair_id").alias("pairs")).collect()}
         if dropped:
-            lattice, metrics, samples, info = _fit(rows.join(out, "pair_id", "left_anti"), counts.join(out, "pair_id", "left_anti"), options, several)
+            again = kept(out.select("lut_id").distinct())
+            left = lambda df: df.join(again, "lut_id", "left_semi").join(out, key, "left_anti")
+            new = _fit(left(rows), left(pairs), options)
+            lattice, metrics, samples = (kept(a.join(again, "lut_id", "left_anti").unionByName(b)) for a, b in zip((lattice, metrics, samples), new))
+            info |= new[3]
     step("validation", 0.0, "measuring")
-    errors = fitting.pair_errors(samples, lattice, options.fit.size, options.fit.kernel)
-    stats = counts.join(rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("bins")), "pair_id", "left").join(errors, "pair_id", "left").join(transfers, "pair_id", "left")
-    path = None
-    if output is not None:
-        step("export", 0.0, "writing")
-        table = None
-        if kinds == ["linear"] and options.shaper is not False:
-            grid = spark.range(4096).select((F.col("id") / 4095.0).alias("x"), "id").select("id", transfer.log_shaper(F.col("x")).alias("y")).withColumn("y", F.max("y").over(Window.orderBy("id"))).orderBy("id")
-            table = [(r["y"],) * 3 for r in grid.collect()]
-        path = cube.write_cube(lattice, output, options.fit.size, title=options.title, kernel=options.fit.kernel, shaper=table)
-    info |= {"transfers": kinds, "dropped_pairs": dropped, "total_time_s": time.time() - began}
+    stats = kept(pairs.join(fitting.pair_errors(samples, lattice, n, kernel, key), key, "left"))
+    results: dict[str, Result] = {}
+    for lut in sorted(info):
+        mine = lambda df, lut=lut: df.where(F.col("lut_id") == lut)
+        path = None
+        if outputs.get(lut) is not None:
+            step("export", 0.0, f"writing {lut}")
+            table = None
+            if kinds[lut] == ["linear"] and options.shaper is not False:
+                grid = spark.range(4096).select((F.col("id") / 4095.0).alias("x"), "id").select("id", transfer.log_shaper(F.col("x")).alias("y")).withColumn("y", F.max("y").over(Window.orderBy("id"))).orderBy("id")
+                table = [(r["y"],) * 3 for r in grid.collect()]
+            path = cube.write_cube(mine(lattice), outputs[lut], n, title=options.title, kernel=kernel, shaper=table)
+        more = {"transfers": kinds[lut], "dropped_pairs": dropped.get(lut, []), "total_time_s": time.time() - began}
+        results[lut] = Result(mine(lattice), mine(metrics), mine(samples), mine(stats).drop("lut_id"), path, info[lut] | more)
     step("export", 1.0, "done")
-    return Result(lattice, metrics, samples, stats, path, info)
+    return results
+
+
+def extract(spark: SparkSession, pixels: DataFrame, options: Options = Options(), output: str | Path | None = None, pairs: DataFrame | None = None, progress: Progress | None = None, cancel: Cancel | None = None) -> Result:
+    """A lattice "master" from pixel pairs (pair_id, y, x, sr..tb), of one pair or several; `pairs` (pair_id, weight, transfer_fn, normalization) says how each counts. See `fit_groups`."""
+    step = _Steps(progress, cancel)
+    step("preprocess", 0.0, "normalising, shaping and gathering bins")
+    ready = prepare(pixels, options, pairs)
+    step("sampling", 1.0, "bins gathered")
+    members = ready.pairs.select(F.lit("master").alias("lut_id"), "pair_id")
+    return fit_groups(spark, ready, members, options, {"master": output}, progress, cancel)["master"]
 
 
 def extract_pair(spark: SparkSession, source: str, target: str, output: str | Path | None = None, options: Options = Options(), progress: Progress | None = None, cancel: Cancel | None = None) -> Result:
@@ -177,16 +217,20 @@ def extract_batch(spark: SparkSession, manifest: str, output: str | Path, option
     """Lattices from a manifest of pairs: "master" over all, and one for each cluster.
 
     `cluster` is "none", "manual" (the manifest's labels), "fixed" (k-means of `clusters`) or "auto" (best silhouette
-    up to `most_clusters`). Pixels are read and binned once for signatures. With `reports`, a folder, the assignment,
+    up to `most_clusters`). Pixels are binned once, for signatures and for all lattices, which the same jobs fit. A cluster must not be
+    called "master". With `reports`, a folder, the assignment,
     centroid and metrics reports are written there.
     """
     rows = kept(tables.read_pairs(spark, manifest).withColumn("pair_id", F.format_string("pair_%05d", "pair_index")))
     pixels = kept(image_pairs(spark, rows))
-    results = {"master": extract(spark, pixels, options, output, rows, progress, cancel)}
+    step = _Steps(progress, cancel)
+    step("preprocess", 0.0, "normalising, shaping and gathering bins")
+    ready = prepare(pixels, options, rows)
+    step("sampling", 1.0, "bins gathered")
+    master = ready.pairs.select(F.lit("master").alias("lut_id"), "pair_id")
     if cluster == "none" and reports is None:
-        return results
-    prepared, _ = shaped(pixels, options, rows)
-    bins = kept(binning.bin_pixels(prepared, options.bins, options.min_samples))
+        return fit_groups(spark, ready, master, options, {"master": output}, progress, cancel)
+    bins = ready.bins if options.normalization == "none" else kept(binning.bin_pixels(ready.pixels, options.bins, options.min_samples))
     marks = kept(signatures.pair_signature(bins).join(signatures.appearance_from_bins(bins), "pair_id").join(rows.select("pair_id", F.col("pair_index").cast("long").alias("id"), "cluster"), "pair_id"))
     points = clustering.standardized(marks.select("id", F.col("transform").alias("v")), "id", "v")
     if cluster == "manual":
@@ -197,10 +241,14 @@ def extract_batch(spark: SparkSession, manifest: str, output: str | Path, option
         named = (clustering.auto_clusters(points, most_clusters)[0] if cluster == "auto" else points.withColumn("cluster_id", F.lit(0))).select("id", "cluster_id").withColumn("label", F.format_string("cluster_%02d", F.col("cluster_id") + 1))
     assigned = kept(marks.join(named.select("id", "cluster_id", "label"), "id"))
     labels = {r["cluster_id"]: r["label"] for r in assigned.select("cluster_id", "label").distinct().collect()}
+    if cluster != "none" and "master" in labels.values():
+        raise ValueError('a cluster must not be called "master"')
+    members, outputs = master, {"master": output}
     if cluster != "none":
-        for label in labels.values():
-            ids = assigned.where(F.col("label") == label).select("pair_id")
-            results[label] = extract(spark, pixels.join(ids, "pair_id", "left_semi"), options, tables.cluster_path(output, label), rows.join(ids, "pair_id", "left_semi"), progress, cancel)
+        members = master.unionByName(assigned.select(F.col("label").alias("lut_id"), "pair_id"))
+        outputs |= {label: tables.cluster_path(output, label) for label in labels.values()}
+    results = fit_groups(spark, ready, members, options, outputs, progress, cancel)
+    results = {"master": results["master"]} | {label: results[label] for label in labels.values() if label in results}
     if reports is not None:
         folder = Path(reports)
         given = rows.join(assigned.select("pair_id", "cluster_id", F.col("label").alias("cluster_label")), "pair_id", "left").join(results["master"].pairs.select("pair_id", F.col("transfer").alias("detected"), F.col("bins").alias("occupied_bins")), "pair_id", "left")
@@ -243,7 +291,8 @@ def route_shots(spark: SparkSession, shots: str, centroids: str, output: str | P
     ready, _ = shaped(binning.sanitize_pixels(rows), options, frames.select(F.col("frame_index").cast("string").alias("pair_id"), "transfer_fn"))
     looks = signatures.appearance_from_pixels(ready).select(F.col("pair_id").cast("int").alias("frame_index"), "appearance").join(frames, "frame_index")
     found = signatures.shot_signatures(looks)
-    order = kept(found.withColumn("first", F.col("shot_index")).withColumn("shot_index", F.row_number().over(Window.orderBy("first")) - 1))
+    ranked = numbering.numbered(found.withColumnRenamed("shot_index", "first"), ["first"], "place")
+    order = kept(ranked.withColumn("shot_index", F.col("place").cast("int")).drop("place"))
     cents = kept(tables.read_centroids(spark, centroids))
     distances = kept(routing.shot_distances(order.select(F.lit("shots").alias("track"), "shot_index", F.col("appearance").alias("vec")), cents))
     chosen = routing.route(distances, window, penalty).join(order.select("shot_index", "shot_id", "frame_count"), "shot_index").join(cents.drop("vec"), "cluster_id")

@@ -641,8 +641,8 @@ _NE = ", ".join(f"sum(alpha * {_ONES[i]} * {_ONES[j]}) AS a{i}{j}" for i in rang
 @query(f"""{PS}, ne AS (SELECT channel, {_NE} FROM ({' UNION ALL '.join(f'SELECT {c} AS channel, alpha, ir, ig, ib, {o} AS y FROM samples' for c, o in enumerate(MEAN_OUT))}) GROUP BY 1),
 {_eliminated([[*(f'a{min(i, j)}{max(i, j)}' for j in range(4)), f'b{i}'] for i in range(4)])} SELECT CAST(channel AS BIGINT) AS channel, {S.r('m04', 'from_r')}, {S.r('m14', 'from_g')}, {S.r('m24', 'from_b')}, {S.r('m34', 'bias')} FROM e4""")
 def affine_fit(spark, d):
-    matrix, bias = C.fit_affine(samples(spark, d), tuple(map(F.col, MEAN_OUT)))
-    return rounded(spark.createDataFrame([(c, *map(float, m), float(b)) for c, (m, b) in enumerate(zip(matrix, bias))], "channel long, from_r double, from_g double, from_b double, bias double"))
+    fit = C.fit_affine(samples(spark, d), tuple(map(F.col, MEAN_OUT))).select(F.posexplode(F.sequence(F.lit(0), F.lit(8), F.lit(4))).alias("channel", "k"), "theta")
+    return rounded(fit.select(F.col("channel").cast("long").alias("channel"), *(F.col("theta")[F.col("k") + i].alias(c) for i, c in enumerate(("from_r", "from_g", "from_b", "bias")))))
 
 
 def _curve(spark, d):
@@ -665,9 +665,9 @@ v AS (SELECT node_id, c, CASE WHEN z <= 0 THEN (SELECT y FROM iso WHERE knot = 0
 SELECT 'baseline' AS lut_id, node_id, {', '.join(S.r(f"max(CASE WHEN c = '{c}' THEN y END)", c) for c in 'rgb')} FROM v GROUP BY 2""")
 def baseline_lattice(spark, d):
     """A 3 x 3 matrix, then one curve of 12 knots that is learnt from orders, at the nodes of a lattice."""
-    row = _curve(spark, d).first()
-    base = C.Baseline(_MATRIX, _BIAS, [row["xs"]] * 3, [row["ys"]] * 3)
-    return rounded(C.baseline_lattice(N.identity_lattice(spark, NODES), base, NODES))
+    theta = F.array(*(F.lit(float(v)) for row, b in zip(_MATRIX, _BIAS) for v in (*row, b)))
+    base = _curve(spark, d).select(F.lit("baseline").alias("lut_id"), theta.alias("theta"), F.array("xs", "xs", "xs").alias("xs"), F.array("ys", "ys", "ys").alias("ys"))
+    return rounded(C.baseline_lattice(base, NODES))
 
 
 @query(f"{PS} SELECT pair_id, bin_id, {', '.join(S.r(f'sqrt(alpha) * {o}', f'rhs_{c}') for c, o in zip('rgb', MEAN_OUT))} FROM samples")
@@ -691,10 +691,11 @@ def prior_terms(spark, d):
     return rounded(X.prior_rows(N.distance_to_data(occ, NODES), NODES, 0.01))
 
 
-@query(f"{PS}, {S.applied('tetrahedral', 'samples').split(', pred AS')[0].replace(chr(10) + 'pred AS', '')}, m AS (SELECT pair_id, bin_id, sqrt(alpha) AS root FROM samples) SELECT c.pair_id, c.bin_id, node_id AS node, round(sum(root * w), 6) + 0.0 AS val FROM corner c JOIN m USING (pair_id, bin_id) WHERE w > 1e-6 AND root > 1e-6 GROUP BY 1, 2, 3")
+@query(f"{PS}, {S.applied('tetrahedral', 'samples').split(', pred AS')[0].replace(chr(10) + 'pred AS', '')}, m AS (SELECT pair_id, bin_id, sqrt(alpha) AS root FROM samples) SELECT c.pair_id, c.bin_id, round(sum(root * w), 6) + 0.0 AS val, round(sum(root * w * node_id), 6) + 0.0 AS at FROM corner c JOIN m USING (pair_id, bin_id) GROUP BY 1, 2")
 def data_matrix(spark, d):
-    rows = X.data_rows(samples(spark, d).where("alpha > 1e-12"), NODES, "tetrahedral", ("pair_id", "bin_id", "alpha"))
-    return rounded(rows.where(F.col("val") > 1e-6 * F.sqrt("alpha")).groupBy("pair_id", "bin_id", F.col("node").cast("long").alias("node")).agg(F.sum("val").alias("val")))
+    """The rows of the data matrix times a vector of ones and one of node numbers: nothing is left out, and no corner of weight nearly zero decides a row's presence."""
+    rows = X.data_rows(samples(spark, d), NODES, "tetrahedral")
+    return rounded(rows.groupBy("pair_id", "bin_id").agg(F.sum("val").alias("val"), F.sum(F.col("val") * F.col("node")).alias("at")))
 
 
 def _letters(spark, d):
@@ -724,6 +725,28 @@ def lattice_refine(spark, d):
     return rounded(X.refine(X.fit_lattice(rows, options), rows, options, rounds=1))
 
 
+_MIXED = "mixed AS (SELECT * REPLACE (0.8 * or_ + 0.2 * og * ob AS or_, 0.8 * og + 0.2 * or_ * ob AS og, 0.8 * ob + 0.2 * or_ * og AS ob) FROM samples)"
+
+
+def _mixed(spark, d):
+    """Samples of three lattices whose channels depend on each other: without that, discounts lie on the edges of knots."""
+    r, g, b = (F.col(c) for c in MEAN_OUT)
+    return _letters(spark, d).withColumns({"or_": 0.8 * r + 0.2 * g * b, "og": 0.8 * g + 0.2 * r * b, "ob": 0.8 * b + 0.2 * r * g})
+
+
+@query(f"{PS}, {_MIXED}, {S.baselines('mixed')} SELECT lut AS lut_id, CAST(ch AS INT) AS channel, knot, {rs('x', 'y')} FROM knots")
+def baseline_fit(spark, d):
+    """Baselines of three lattices fitted together: their curves' knots, whose places follow from the affine maps."""
+    found = C.fit_baseline(_mixed(spark, d)).select("lut_id", F.posexplode(F.arrays_zip("xs", "ys")).alias("channel", "k"))
+    return rounded(found.select("lut_id", "channel", F.posexplode(F.arrays_zip(F.col("k.xs").alias("x"), F.col("k.ys").alias("y"))).alias("knot", "p")).select("lut_id", "channel", "knot", "p.x", "p.y"))
+
+
+@query(f"RECURSIVE {PS}, {_MIXED}, {S.baselines('mixed')}, {S.fit_parts()}, {S.on_baseline()}, {S.fit_round(0, source='chb', nodes='fxb')} {S.fit_on_baseline(0)}")
+def baseline_residual_fit(spark, d):
+    """Three lattices over baselines of their own."""
+    return rounded(X.fit_lattice(_mixed(spark, d), X.FitOptions(size=3, loss="l2", prior_model="baseline_residual")))
+
+
 # ---- routing
 
 

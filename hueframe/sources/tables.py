@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .images import check_output, located
 
 _FIELDS = "a string, b string, c string, d string, e string, f string, g string"
@@ -39,18 +40,18 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     weight = F.coalesce(F.col("c").cast("double"), F.lit(1.0))
     checked = F.when(weight >= 0, weight).otherwise(F.raise_error(F.format_string("manifest line %d: a weight below 0", "line_no")).cast("double"))
     folder = located(path).rsplit("/", 1)[0]
-    return rows.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("pair_index"), _resolved(F.col("a"), folder).alias("source"), _resolved(F.col("b"), folder).alias("target"), checked.alias("weight"), F.col("d").alias("cluster"), F.lower("e").alias("transfer_fn"), F.lower("f").alias("normalization"))
+    rows = numbered(rows, ["line_no"], "place")
+    return rows.select(F.col("place").cast("int").alias("pair_index"), _resolved(F.col("a"), folder).alias("source"), _resolved(F.col("b"), folder).alias("target"), checked.alias("weight"), F.col("d").alias("cluster"), F.lower("e").alias("transfer_fn"), F.lower("f").alias("normalization"))
 
 
 def read_shots(spark: SparkSession, path: str) -> DataFrame:
     """(frame_index, shot_id, frame_path, transfer_fn) of a shot manifest; a line of one field is a shot of its own."""
     rows = _rows(spark.read.text(path, wholetext=True), SHOT_HEADER, 1)
-    w = Window.orderBy("line_no")
     alone = F.col("n") == 1
-    counted = rows.withColumn("k", F.sum(alone.cast("int")).over(w))
+    counted = numbered(numbered(rows.withColumn("alone", alone.cast("int")), ["line_no"], "place"), ["line_no"], "k", sums="alone")
     shot = F.when(alone, F.format_string("shot_%04d", "k")).otherwise(F.coalesce("a", F.format_string("shot_%04d", "line_no")))
     folder = located(path).rsplit("/", 1)[0]
-    return counted.select((F.row_number().over(w) - 1).alias("frame_index"), shot.alias("shot_id"), _resolved(F.when(alone, F.col("a")).otherwise(F.col("b")), folder).alias("frame_path"), F.lower("c").alias("transfer_fn"))
+    return counted.select(F.col("place").cast("int").alias("frame_index"), shot.alias("shot_id"), _resolved(F.when(alone, F.col("a")).otherwise(F.col("b")), folder).alias("frame_path"), F.lower("c").alias("transfer_fn"))
 
 
 def read_centroids(spark: SparkSession, path: str) -> DataFrame:

@@ -138,35 +138,105 @@ ds3 AS (SELECT lut, n.node, min(sqrt(pow(n.i - m.i, 2) + pow(n.j - m.j, 2) + pow
 fx AS (SELECT lut, node, ch, 0.1 * {boost} AS sm, 0.01 * (1.0 - exp(-dist / 3.0)) AS pr, (CASE ch WHEN 0 THEN i WHEN 1 THEN j ELSE k END) / 2.0 AS goal FROM ds3 JOIN nd3 USING (node) CROSS JOIN (SELECT range AS ch FROM range(3)))"""
 
 
-def fit_round(t: int, delta: float | None = None, smoothness: float = 1.0, source: str = "ch3") -> str:
-    """CTEs that end in `x{t}`, the solution; with `delta`, all terms are weighted by residuals of the round before."""
+def fit_round(t: int, delta: float | None = None, smoothness: float = 1.0, source: str = "ch3", nodes: str = "fx") -> str:
+    """CTEs that end in `x{t}`, the solution for samples `source` and nodes' terms `nodes`; with `delta`, all terms are weighted by residuals of the round before."""
     huber = lambda r: f"(CASE WHEN abs({r}) < {delta} THEN 1.0 ELSE {delta} / (abs({r}) + 1e-8) END)"
     if delta is None:
-        terms = f"d{t} AS (SELECT * FROM {source}), s{t} AS (SELECT lut, node, ch, sm * {smoothness} AS sm, pr, goal FROM fx)"
+        terms = f"d{t} AS (SELECT * FROM {source}), s{t} AS (SELECT lut, node, ch, sm * {smoothness} AS sm, pr, goal FROM {nodes})"
     else:
         terms = f"""d{t} AS (SELECT lut, pair_id, bin_id, ch, alpha * {huber("sqrt(alpha) * (p - y)")} AS alpha, y FROM {source} JOIN (SELECT c.pair_id, c.bin_id, x.ch, sum(c.w * x.x) AS p FROM c3 c JOIN x{t - 1} x ON x.lut = substr(c.pair_id, 1, 1) AND x.node = c.node_id GROUP BY 1, 2, 3) USING (pair_id, bin_id, ch)),
-s{t} AS (SELECT f.lut, f.node, f.ch, sm * {huber("sqrt(sm) * e")} AS sm, pr * {huber("sqrt(pr) * (x.x - goal)")} AS pr, goal FROM fx f JOIN x{t - 1} x USING (lut, node, ch) JOIN (SELECT x.lut, x.ch, l.r AS node, sum(l.v * x.x) AS e FROM x{t - 1} x JOIN lap l ON l.c = x.node GROUP BY 1, 2, 3) USING (lut, node, ch))"""
+s{t} AS (SELECT f.lut, f.node, f.ch, sm * {huber("sqrt(sm) * e")} AS sm, pr * {huber("sqrt(pr) * (x.x - goal)")} AS pr, goal FROM {nodes} f JOIN x{t - 1} x USING (lut, node, ch) JOIN (SELECT x.lut, x.ch, l.r AS node, sum(l.v * x.x) AS e FROM x{t - 1} x JOIN lap l ON l.c = x.node GROUP BY 1, 2, 3) USING (lut, node, ch))"""
     return f"""{terms},
 a{t} AS (SELECT lut, ch, i, j, sum(v) AS v FROM (SELECT lut, ch, p.node_id AS i, q.node_id AS j, d.alpha * p.w * q.w AS v FROM d{t} d JOIN c3 p USING (pair_id, bin_id) JOIN c3 q USING (pair_id, bin_id)
   UNION ALL SELECT lut, ch, node_id, 27, d.alpha * p.w * y FROM d{t} d JOIN c3 p USING (pair_id, bin_id)
   UNION ALL SELECT lut, ch, p.c, q.c, sm * p.v * q.v FROM s{t} s JOIN lap p ON p.r = s.node JOIN lap q ON q.r = s.node
   UNION ALL SELECT lut, ch, node, node, pr FROM s{t} UNION ALL SELECT lut, ch, node, 27, pr * goal FROM s{t}) GROUP BY 1, 2, 3, 4),
-m{t} AS (SELECT f.lut, f.ch, f.node AS i, list(coalesce(a.v, 0.0) ORDER BY c.range) AS line FROM fx f CROSS JOIN range(28) c LEFT JOIN a{t} a ON a.lut = f.lut AND a.ch = f.ch AND a.i = f.node AND a.j = c.range GROUP BY 1, 2, 3),
+m{t} AS (SELECT f.lut, f.ch, f.node AS i, list(coalesce(a.v, 0.0) ORDER BY c.range) AS line FROM {nodes} f CROSS JOIN range(28) c LEFT JOIN a{t} a ON a.lut = f.lut AND a.ch = f.ch AND a.i = f.node AND a.j = c.range GROUP BY 1, 2, 3),
 e{t} AS (SELECT 0 AS step, lut, ch, i, line FROM m{t} UNION ALL SELECT a.step + 1, a.lut, a.ch, a.i, CASE WHEN a.i = a.step THEN [v / a.line[a.step + 1] for v in a.line] ELSE [a.line[z] - a.line[a.step + 1] / p.line[a.step + 1] * p.line[z] for z in range(1, 29)] END
   FROM e{t} a JOIN e{t} p ON p.lut = a.lut AND p.ch = a.ch AND p.i = a.step WHERE a.step < 27),
 x{t} AS (SELECT lut, ch, i AS node, line[28] AS x FROM e{t} WHERE step = 27)"""
 
 
 def fit_refined() -> str:
-    """CTE `refined`: samples whose error is above twice the 95th percentile lose weight in proportion."""
+    """CTE `refined`: samples whose error is above twice their lattice's 95th percentile lose weight in proportion."""
     return """er AS (SELECT pair_id, bin_id, sqrt(sum(pow(p - y, 2))) AS e FROM ch3 JOIN (SELECT c.pair_id, c.bin_id, x.ch, sum(c.w * x.x) AS p FROM c3 c JOIN x0 x ON x.lut = substr(c.pair_id, 1, 1) AND x.node = c.node_id GROUP BY 1, 2, 3) USING (pair_id, bin_id, ch) GROUP BY 1, 2),
-lim AS (SELECT 2.0 * quantile_cont(e, 0.95) AS lim FROM er), refined AS (SELECT lut, pair_id, bin_id, ch, CASE WHEN e > lim THEN alpha * lim / (e + 1e-8) ELSE alpha END AS alpha, y FROM ch3 JOIN er USING (pair_id, bin_id), lim)"""
+lim AS (SELECT substr(pair_id, 1, 1) AS lut, 2.0 * quantile_cont(e, 0.95) AS lim FROM er GROUP BY 1), refined AS (SELECT lut, pair_id, bin_id, ch, CASE WHEN e > lim THEN alpha * lim / (e + 1e-8) ELSE alpha END AS alpha, y FROM ch3 JOIN er USING (pair_id, bin_id) JOIN lim USING (lut))"""
 
 
 def fit_chosen() -> str:
-    """CTE `x2`: the second solution where any sample lost weight, else the first."""
-    return "x2 AS (SELECT a.lut, a.ch, a.node, CASE WHEN (SELECT count(*) FROM er, lim WHERE e > lim) > 0 THEN b.x ELSE a.x END AS x FROM x0 a JOIN x1 b USING (lut, ch, node))"
+    """CTE `x2`: the second solution of lattices of which any sample lost weight, else the first."""
+    return "x2 AS (SELECT a.lut, a.ch, a.node, CASE WHEN a.lut IN (SELECT lut FROM er JOIN lim ON lut = substr(pair_id, 1, 1) WHERE e > lim) THEN b.x ELSE a.x END AS x FROM x0 a JOIN x1 b USING (lut, ch, node))"
 
 
 def fit_result(t: int) -> str:
     return f"SELECT lut AS lut_id, node AS node_id, {', '.join(r(clamp(f'max(CASE WHEN ch = {c} THEN x END)', '-0.5', '1.5'), k) for c, k in enumerate('rgb'))} FROM x{t} GROUP BY 1, 2"
+
+
+# Baselines: an affine map and three curves for each first letter of a pair's name.
+
+_ONES = ("ir", "ig", "ib", "1.0")
+
+
+def on_curve(v: str, xs: str, ys: str) -> str:
+    """Value at `v` of the curve through two lists; constant beyond the ends."""
+    i = f"CAST(greatest(least(len(list_filter({xs}, lambda q: q <= {v})), len({xs}) - 1), 1) AS INT)"
+    return f"(CASE WHEN len({xs}) = 1 OR {v} <= {xs}[1] THEN {ys}[1] WHEN {v} >= {xs}[len({xs})] THEN {ys}[len({ys})] ELSE {ys}[{i}] + ({ys}[{i} + 1] - {ys}[{i}]) * ({v} - {xs}[{i}]) / ({xs}[{i} + 1] - {xs}[{i}]) END)"
+
+
+def affine_of(p: str, x: tuple[str, str, str]) -> str:
+    return f"({p}.t0 * {x[0]} + {p}.t1 * {x[1]} + {p}.t2 * {x[2]} + {p}.t3)"
+
+
+def solved_affine(name: str, source: str) -> str:
+    """CTEs that end in `name` (lut, ch, t0..t3): least squares of rows (lut, ch, w, ir, ig, ib, y) by elimination."""
+    sums = ", ".join(f"sum(w * {_ONES[min(i, j)]} * {_ONES[max(i, j)]}) AS m{i}{j}" for i in range(4) for j in range(4)) + ", " + ", ".join(f"sum(w * {_ONES[i]} * y) AS m{i}4" for i in range(4))
+    out = [f"{name}_0 AS (SELECT lut, ch, {sums} FROM {source} GROUP BY 1, 2)"]
+    for k in range(4):
+        cells = (f"m{k}{j} / m{k}{k} AS m{k}{j}" if i == k else f"m{i}{j} - m{i}{k} * m{k}{j} / m{k}{k} AS m{i}{j}" for i in range(4) for j in range(5))
+        out.append(f"{name}_{k + 1} AS (SELECT lut, ch, {', '.join(cells)} FROM {name}_{k})")
+    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT lut, ch, {', '.join(f'm{i}4 AS t{i}' for i in range(4))} FROM {name}_4)"])
+
+
+def baselines(source: str = "samples", rounds: int = 3, irls: int = 3) -> str:
+    """CTEs `base` (lut, ch, t0..t3, xs, ys) and `knots` (lut, ch, knot, x, y) of samples."""
+    inputs = ("s.ir", "s.ig", "s.ib")
+    out = [f"b_0 AS MATERIALIZED ({' UNION ALL '.join(f'SELECT substr(pair_id, 1, 1) AS lut, pair_id, bin_id, {c} AS ch, alpha, ir, ig, ib, {o} AS out, {o} AS y FROM {source}' for c, o in enumerate(('or_', 'og', 'ob')))})"]
+    for a in range(rounds):
+        if a:
+            out.append(f"b_{a} AS MATERIALIZED (SELECT s.* REPLACE (CASE WHEN len(k.bx) < 2 THEN list_avg(k.xs) ELSE {on_curve('s.out', 'k.bx', 'k.bys')} END AS y) FROM b_0 s JOIN k_{a - 1} k USING (lut, ch))")
+        for t in range(irls + 1):
+            if t == 0:
+                out.append(f"w_{a}_0 AS (SELECT *, greatest(alpha, 0.0) AS w FROM b_{a})")
+            else:
+                off = f"abs({affine_of('p', inputs)} - s.y)"
+                out.append(f"w_{a}_{t} AS (SELECT s.*, greatest(alpha, 0.0) * CASE WHEN {off} < 1.0 THEN 1.0 ELSE 1.0 / ({off} + 1e-8) END AS w FROM b_{a} s JOIN t_{a}_{t - 1} p USING (lut, ch))")
+            out.append(solved_affine(f"t_{a}_{t}", f"w_{a}_{t}"))
+        p = f"t_{a}_{irls}"
+        out.append(f"""z_{a} AS MATERIALIZED (SELECT lut, ch, alpha, out AS y, {affine_of('p', inputs)} AS z FROM b_0 s JOIN {p} p USING (lut, ch)),
+d_{a} AS MATERIALIZED (SELECT lut, ch, min(z) AS low, greatest(max(z) - min(z), 1e-8) / 64 AS step FROM z_{a} GROUP BY 1, 2),
+m_{a} AS (SELECT lut, ch, CAST(least(floor((z - low) / step), 63) AS INT) AS knot, sum(alpha * y) / sum(alpha) AS y, sum(alpha) AS w FROM z_{a} JOIN d_{a} USING (lut, ch) GROUP BY 1, 2, 3 HAVING sum(alpha) > 0),
+g_{a} AS MATERIALIZED (SELECT e.lut, e.ch, CAST(range AS INT) AS knot, low + (range + 0.5) * step AS x, m.y, m.w FROM d_{a} e CROSS JOIN range(64) LEFT JOIN m_{a} m ON m.lut = e.lut AND m.ch = e.ch AND m.knot = range),
+l_{a} AS (SELECT lut, ch, list(x ORDER BY knot) AS lx, list(y ORDER BY knot) AS ly FROM g_{a} WHERE y IS NOT NULL GROUP BY 1, 2),
+f_{a} AS MATERIALIZED (SELECT g.lut, g.ch, g.knot, g.x, coalesce(g.w, 1e-8) AS w, coalesce(g.y, {on_curve('g.x', 'l.lx', 'l.ly')}) AS y FROM g_{a} g JOIN l_{a} l USING (lut, ch)),
+sp_{a} AS MATERIALIZED (SELECT a.lut, a.ch, a.knot AS j, b.knot AS k, sum(c.y * c.w) / sum(c.w) AS m FROM f_{a} a JOIN f_{a} b ON a.lut = b.lut AND a.ch = b.ch AND a.knot <= b.knot JOIN f_{a} c ON c.lut = a.lut AND c.ch = a.ch AND c.knot BETWEEN a.knot AND b.knot GROUP BY 1, 2, 3, 4),
+lo_{a} AS (SELECT i.lut, i.ch, i.knot, s.j, min(s.m) AS m FROM f_{a} i JOIN sp_{a} s ON s.lut = i.lut AND s.ch = i.ch AND s.j <= i.knot AND s.k >= i.knot GROUP BY 1, 2, 3, 4),
+i_{a} AS MATERIALIZED (SELECT lut, ch, knot, x, v.y FROM (SELECT lut, ch, knot, max(m) AS y FROM lo_{a} GROUP BY 1, 2, 3) v JOIN (SELECT lut, ch, knot, x FROM f_{a}) USING (lut, ch, knot)),
+r_{a} AS (SELECT *, y - lag(y) OVER (PARTITION BY lut, ch ORDER BY knot) AS rise FROM i_{a}),
+k_{a} AS MATERIALIZED (SELECT lut, ch, list(x ORDER BY knot) AS xs, list(y ORDER BY knot) AS ys, list(y ORDER BY knot) FILTER (rise IS NULL OR rise > 1e-12) AS bx, list(x ORDER BY knot) FILTER (rise IS NULL OR rise > 1e-12) AS bys FROM r_{a} GROUP BY 1, 2)""")
+    return ",\n".join([*out, f"knots AS (SELECT * FROM i_{rounds - 1}), base AS MATERIALIZED (SELECT p.*, xs, ys FROM t_{rounds - 1}_{irls} p JOIN k_{rounds - 1} USING (lut, ch))"])
+
+
+def on_baseline() -> str:
+    """CTEs after `baselines` and `fit_parts`: samples `chb` and nodes `fxb` without the baselines that pass, and `nb`, those at the nodes."""
+    value = on_curve(affine_of("b", ("s.ir", "s.ig", "s.ib")), "b.xs", "b.ys")
+    at = on_curve(affine_of("b", ("n.i / 2.0", "n.j / 2.0", "n.k / 2.0")), "b.xs", "b.ys")
+    return f"""pv AS MATERIALIZED (SELECT s.lut, s.pair_id, s.bin_id, s.ch, s.alpha, s.out, {value} AS p, CASE s.ch WHEN 0 THEN s.ir WHEN 1 THEN s.ig ELSE s.ib END AS own FROM b_0 s JOIN base b USING (lut, ch)),
+gate AS MATERIALIZED (SELECT lut, sum(alpha * pow(out - p, 2)) / greatest(sum(alpha * pow(out - own, 2)), 1e-8 * sum(alpha) / 3) < 0.95 AS passes FROM pv GROUP BY 1),
+chb AS MATERIALIZED (SELECT lut, pair_id, bin_id, ch, alpha, CASE WHEN passes THEN out - p ELSE out END AS y FROM pv JOIN gate USING (lut)),
+fxb AS MATERIALIZED (SELECT f.* REPLACE (CASE WHEN passes THEN 0.0 ELSE goal END AS goal) FROM fx f JOIN gate USING (lut)),
+nb AS (SELECT b.lut, b.ch, n.node, CASE WHEN passes THEN {at} ELSE 0.0 END AS base FROM base b JOIN gate USING (lut) CROSS JOIN nd3 n)"""
+
+
+def fit_on_baseline(t: int) -> str:
+    value = clamp("max(CASE WHEN ch = {} THEN x + base END)", "-0.5", "1.5")
+    return f"SELECT lut AS lut_id, node AS node_id, {', '.join(r(value.replace('{}', str(c)), k) for c, k in enumerate('rgb'))} FROM x{t} JOIN nb USING (lut, ch, node) GROUP BY 1, 2"

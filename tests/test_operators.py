@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hueframe.operators import binning, clustering, curves, fitting, lattices, routing, signatures, statistics
+from hueframe.operators import binning, clustering, curves, fitting, lattices, numbering, routing, signatures, statistics
 from hueframe.operators.fitting import FitOptions
 from hueframe.streaming.bins import running_bins
 
@@ -127,12 +127,12 @@ def test_shadow_smoothing_keeps_constants_and_lights(spark):
 def test_affine_and_curves_are_found(spark):
     m, b = np.diag([1.2, 0.9, 1.1]), np.array([0.05, -0.02, 0.03])
     df = samples(spark, lambda x: x @ m.T + b, 400)
-    got, bias = curves.fit_affine(df, tuple(map(F.col, binning.MEAN_OUT)))
-    assert np.allclose(got, m, atol=1e-6) and np.allclose(bias, b, atol=1e-6)
+    theta = np.reshape(curves.fit_affine(df, tuple(map(F.col, binning.MEAN_OUT))).first()["theta"], (3, 4))
+    assert np.allclose(theta[:, :3], m, atol=1e-6) and np.allclose(theta[:, 3], b, atol=1e-6)
     base = curves.fit_baseline(samples(spark, lambda x: x**0.8, 500), rounds=2)
-    assert all(a <= c + 1e-12 for ys in base.ys for a, c in zip(ys, ys[1:]))
-    rows = samples(spark, lambda x: x**0.8, 500)
-    gate = curves.quality_gate(rows, base.columns(*map(F.col, binning.MEAN_IN))).first()
+    assert all(a <= c + 1e-12 for ys in base.first()["ys"] for a, c in zip(ys, ys[1:]))
+    rows = samples(spark, lambda x: x**0.8, 500).join(base, "lut_id")
+    gate = curves.quality_gate(rows, curves.baseline_value(*map(F.col, binning.MEAN_IN))).first()
     assert gate["passes"] and gate["ratio"] < 0.3
     same = curves.quality_gate(samples(spark, lambda x: x), tuple(map(F.col, binning.MEAN_IN))).first()
     assert same["ratio"] == 0 or not same["passes"]
@@ -247,6 +247,55 @@ def test_routing(spark):
         routing.moving_average(d, 4)
 
 
+def whole_path(d, penalty):
+    """The first of the cheapest paths, shot by shot over the whole track."""
+    cost, back = list(d[0]), []
+    for row in d[1:]:
+        steps = [min((c + (penalty if a != b else 0.0), a) for a, c in enumerate(cost)) for b in range(len(row))]
+        back.append([a for _, a in steps])
+        cost = [v + c for v, (c, _) in zip(row, steps)]
+    at = min(range(len(cost)), key=lambda b: (cost[b], b))
+    out = [at]
+    for b in back[::-1]:
+        at = b[at]
+        out.append(at)
+    return out[::-1], min(cost)
+
+
+@pytest.mark.parametrize("segment", [1, 2, 7])
+def test_cheapest_path_by_segments(spark, segment):
+    """Several tracks of eighths, so that equal costs are equal; gaps in the shots' numbers; ties."""
+    rng = np.random.default_rng(segment)
+    tracks = {f"t{i}": rng.integers(0, 3 if i % 2 else 9, (n, 3)) / 8 for i, n in enumerate((1, 2, 13, 30))} | {"even": np.full((15, 4), 0.5)}
+    rows = [(t, 3 * i + 5, 10 + c, float(v)) for t, d in tracks.items() for i, r in enumerate(d) for c, v in enumerate(r)]
+    got = routing.cheapest_path(spark.createDataFrame(rows, DIST), 0.25, segment).collect()
+    for t, d in tracks.items():
+        want, cost = whole_path(d.tolist(), 0.25)
+        mine = sorted((r["shot_index"], r["cluster_id"], r["cost"]) for r in got if r["track"] == t)
+        assert mine == [(3 * i + 5, 10 + c, cost) for i, c in enumerate(want)]
+    smooth = routing.moving_average(spark.createDataFrame(rows, DIST), 5, segment)
+    for r in smooth.collect():
+        d, i = tracks[r["track"]], (r["shot_index"] - 5) // 3
+        assert r["distance"] == pytest.approx(np.pad(d[:, r["cluster_id"] - 10], 2, mode="edge")[i : i + 5].mean())
+    assert smooth.count() == len(rows)
+    moves = {r["track"]: r["switches"] for r in routing.switches(spark.createDataFrame(got)).collect()}
+    assert moves == {t: sum(a != b for a, b in zip(p, p[1:])) for t, p in ((t, whole_path(d.tolist(), 0.25)[0]) for t, d in tracks.items())}
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(k, (i * 7919) % 1000) for k in ("a", "b") for i in range(500)] + [("c", 3)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = numbering.numbered(df, ["v"], "n", ["k"]).collect()
+    for k in "abc":
+        mine = sorted((r["n"], r["v"]) for r in got if r["k"] == k)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
+    whole = numbering.numbered(df, ["k", "v"], "n").orderBy("n").collect()
+    assert [r["n"] for r in whole] == list(range(1001)) and [(r["k"], r["v"]) for r in whole] == sorted(rows)
+    sums = {r["v"]: r["s"] for r in numbering.numbered(df.where("k = 'a'"), ["v"], "s", sums="v").collect()}
+    assert sums == {v: sum(w for k, w in rows if k == "a" and w <= v) for k, v in rows if k == "a"}
+    assert numbering.numbered(df.limit(0), ["v"], "n").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_cheapest_path_is_brute_force(spark, seed):
     import itertools
