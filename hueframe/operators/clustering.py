@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,59 +102,94 @@ def lloyd_best(points: DataFrame, starts: list[list[list[float]]], rounds: int =
 
 def kmeans(points: DataFrame, k: int, starts: int = 8, seed: int = 42) -> tuple[DataFrame, float]:
     """Assigned points and inertia of the best of several starts; points (id, x) are passed over, not gathered."""
+    points = kept(points)
+    found = kmeans_centres(points, k, starts, seed)
+    if not found:
+        return points.select("id", "x", F.lit(0).alias("cluster_id"), F.lit(0.0).alias("d")), 0.0
+    assigned = assign(points, found)
+    return assigned, assigned.agg(F.sum("d")).first()[0] or 0.0
+
+
+def kmeans_centres(points: DataFrame, k: int, starts: int = 8, seed: int = 42) -> list[list[float]]:
+    """Centres of the best of several starts; none where there are no points."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    points = kept(points)
     first = seeds(points, k, [seed + 1000 * s for s in range(1 if k == 1 else max(starts, 1))])
-    if not first:
-        return points.select("id", "x", F.lit(0).alias("cluster_id"), F.lit(0.0).alias("d")), 0.0
-    return lloyd_best(points, first)[:2]
+    return lloyd_best(points, first)[2] if first else []
 
 
-def silhouettes(assigned: DataFrame, block: int = 2000) -> DataFrame:
-    """(id, cluster_id, a, b, s) of points (id, x, cluster_id): mean distance within, to the nearest other cluster, and the score.
+#: Points that a task compares with as many others.
+BLOCK = 2000
 
-    Every point meets every other, which the score needs and which costs the square of their number. Points are dealt into
-    parts of about `block`, by their count; each part meets each other part in one task, a point at a time, and only a sum
-    for each point and cluster is kept. A point alone in its cluster has a = 0.
+
+def silhouettes(assigned: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, cluster_id, a, b, s) of points (id, x, cluster_id): mean distance within, to the nearest other cluster, and the score; see `silhouettes_each`."""
+    return silhouettes_each(assigned.select("id", "x", F.array("cluster_id").alias("labels")), block).drop("choice")
+
+
+def silhouettes_each(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(choice, id, cluster_id, a, b, s) of points (id, x, labels), `labels` an array of clusters, one for each of several choices.
+
+    Every point meets every other, which the score needs and which costs the square of their number, once for all choices. Points are dealt into
+    parts of about `block`, by their count, and a part is packed into one row, which is sent once to each square that it takes
+    part in: each two parts meet in one task, a point at a time, and only a sum for each point, choice and
+    cluster is kept. A point alone in its cluster has a = 0.
     """
-    blocks = max(math.ceil(assigned.count() / block), 1)
+    blocks = max(math.ceil(labelled.count() / block), 1)
     part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = assigned.select("id", "x", "cluster_id", part.alias("p")).withColumn("q", every)
-    # Names of its own, since both sides come from one table.
-    right = assigned.select(F.col("id").alias("id_"), F.col("x").alias("x_"), F.col("cluster_id").alias("other_"), part.alias("q_")).withColumn("p_", every)
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "cluster_id": [], "other": [], "total": [], "n": []})
-        y, ids = np.stack(b.x_), b.id_.to_numpy()
-        clusters, code = np.unique(b.other_.to_numpy(), return_inverse=True)
-        size = np.bincount(code, minlength=len(clusters))
-        total, n = np.zeros((len(a), len(clusters))), np.zeros((len(a), len(clusters)), np.int64)
-        for i, (key, v) in enumerate(zip(a.id.to_numpy(), a.x)):
-            total[i] = np.bincount(code, np.sqrt(((y - v) ** 2).sum(1)), len(clusters))
-            n[i] = size - np.bincount(code[ids == key], minlength=len(clusters))
-        k = len(clusters)
-        return pd.DataFrame({"id": np.repeat(a.id.to_numpy(), k), "cluster_id": np.repeat(a.cluster_id.to_numpy(), k), "other": np.tile(clusters, len(a)), "total": total.ravel(), "n": n.ravel()})
-
-    parts = left.groupBy("p", "q").cogroup(right.groupBy("p_", "q_")).applyInPandas(sums, "id long, cluster_id int, other int, total double, n long")
-    mean = parts.groupBy("id", "cluster_id", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).withColumn("m", F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(0.0))
+    packed = kept(labelled.groupBy(part.alias("p")).agg(F.array_sort(F.collect_list(F.struct("id", F.col("x").cast("array<double>").alias("x"), "labels"))).alias("v")))
+    packed = packed.select("p", F.col("v.id").alias("ids"), F.flatten("v.x").alias("xs"), F.flatten("v.labels").alias("labels"))
+    # Squares are the pairs p <= q; a part goes to the blocks squares that have it on either side.
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    sides = packed.select("*", every).withColumns({"low": F.least("p", "o"), "high": F.greatest("p", "o")})
+
+    def sums(parts: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for ids, xs, labels in zip(parts["ids"], parts["xs"], parts["labels"]):
+            ids = np.asarray(ids)
+            sides.append((ids, np.reshape(xs, (len(ids), -1)), np.reshape(labels, (len(ids), -1))))
+        out = []
+        for (ids, x, labels), (others, y, theirs) in ((sides[0], sides[0]),) if len(sides) == 1 and parts.p.iloc[0] == parts.o.iloc[0] else (sides, sides[::-1]) if len(sides) == 2 else ():
+            codes = [np.unique(theirs[:, c], return_inverse=True) for c in range(theirs.shape[1])]
+            sizes = [np.bincount(code, minlength=len(found)) for found, code in codes]
+            total = [np.zeros((len(ids), len(found))) for found, _ in codes]
+            n = [np.tile(size, (len(ids), 1)) for size in sizes]
+            for i, v in enumerate(x):
+                d, same = np.sqrt(((y - v) ** 2).sum(1)), np.flatnonzero(others == ids[i])
+                for c, (found, code) in enumerate(codes):
+                    total[c][i] = np.bincount(code, d, len(found))
+                    if len(same):
+                        n[c][i] -= np.bincount(code[same], minlength=len(found))
+            for c, (found, _) in enumerate(codes):
+                k = len(found)
+                out.append(pd.DataFrame({"choice": c, "id": np.repeat(ids, k), "cluster_id": np.repeat(labels[:, c], k), "other": np.tile(found, len(ids)), "total": total[c].ravel(), "n": n[c].ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("choice", "id", "cluster_id", "other", "total", "n")})
+
+    parts = sides.groupBy("low", "high").applyInPandas(sums, "choice int, id long, cluster_id int, other int, total double, n long")
+    key = ["choice", "id", "cluster_id"]
+    mean = parts.groupBy(*key, "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).withColumn("m", F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(0.0))
     own = F.col("cluster_id") == F.col("other")
-    both = mean.groupBy("id", "cluster_id").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
+    both = mean.groupBy(*key).agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
     score = F.when(F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))
     return both.withColumn("s", score)
 
 
-def auto_clusters(points: DataFrame, most: int = 6, starts: int = 8, seed: int = 42, least: float = 0.10) -> tuple[DataFrame, int, float]:
-    """(assigned, k, silhouette) of the k from 2 to `most` with the best mean silhouette; one cluster if that is below `least` or points are two or fewer."""
+def auto_clusters(points: DataFrame, most: int = 6, starts: int = 8, seed: int = 42, least: float = 0.10, block: int = BLOCK) -> tuple[DataFrame, int, float]:
+    """(assigned, k, silhouette) of the k from 2 to `most` with the best mean silhouette (ties: the smallest k); one cluster if that is below `least` or points are two or fewer.
+
+    The points' distances to each other are worked out once, for all k.
+    """
+    points = kept(points)
     n = points.count()
-    best: tuple[DataFrame | None, int, float] = (None, 1, -1.0)
-    for k in range(2, min(most, n) + 1) if n > 2 else ():
-        found, _ = kmeans(points, k, starts, seed)
-        score = silhouettes(found).agg(F.avg("s")).first()[0]
-        if score is not None and score > best[2]:
-            best = (found, k, score)
-    if best[0] is None or best[2] < least:
-        return points.select("id", "x", F.lit(0).alias("cluster_id"), F.lit(0.0).alias("d")), 1, best[2]
-    return best
+    ks = list(range(2, min(most, n) + 1)) if n > 2 else []
+    centres = [kmeans_centres(points, k, starts, seed) for k in ks]
+    best, score = None, -1.0
+    if ks:
+        labelled = kept(points.select("id", "x", F.array(*(_nearest(c)["cluster_id"] for c in centres)).alias("labels")))
+        scores = {r["choice"]: r["s"] for r in silhouettes_each(labelled, block).groupBy("choice").agg(F.avg("s").alias("s")).collect()}
+        for i in range(len(ks)):
+            if scores.get(i) is not None and scores[i] > score:
+                best, score = i, scores[i]
+    if best is None or score < least:
+        return points.select("id", "x", F.lit(0).alias("cluster_id"), F.lit(0.0).alias("d")), 1, score
+    return assign(points, centres[best]), ks[best], score

@@ -853,6 +853,25 @@ def kmeans(spark, d):
     return rounded(found.select("id", "cluster_id", "d"))
 
 
+_GROUPS = """v0 AS (SELECT vec_id AS id, label % 3 AS g, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+md AS (SELECT median(a) AS ma, median(b) AS mb, median(c) AS mc FROM v0), sc AS (SELECT 1.4826 * median(abs(a - ma)) AS sa, 1.4826 * median(abs(b - mb)) AS sb, 1.4826 * median(abs(c - mc)) AS sc FROM v0, md),
+v AS (SELECT id, g, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c FROM v0, md, sc),
+p AS (SELECT x.id, x.g, y.g AS o, avg(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2) + CASE WHEN x.g = y.g THEN 0.0 WHEN x.g = 2 OR y.g = 2 THEN 10000.0 ELSE 20000.0 END)) AS m FROM v x JOIN v y ON x.id <> y.id GROUP BY 1, 2, 3),
+s AS (SELECT id, g, coalesce(max(CASE WHEN g = o THEN m END), 0.0) AS w, min(CASE WHEN g <> o THEN m END) AS b FROM p GROUP BY 1, 2), t AS (SELECT avg((b - w) / greatest(b, w, 1e-12)) AS score FROM s)"""
+
+
+@query(f"{_GROUPS} SELECT id, CAST(min(id) OVER (PARTITION BY g) AS BIGINT) AS first_id, 3 AS k, {S.r('score', 'silhouette')} FROM v, t")
+def auto_clusters(spark, d):
+    """The number of clusters and the clusters of vectors that lie in three groups, named by their smallest id."""
+    e = table(spark, d, "embeddings")
+    group = F.col("label") % 3
+    far = [F.when(group == g, 100.0).otherwise(0.0) for g in (0, 1)]
+    points = K.standardized(e.select("vec_id", F.concat(F.slice("embedding", 1, 3).cast("array<double>"), F.array(*far)).alias("x")), "vec_id", "x")
+    found, k, score = K.auto_clusters(points, 4, 4)
+    firsts = found.groupBy("cluster_id").agg(F.min("id").alias("first_id"))
+    return rounded(found.join(firsts, "cluster_id").select("id", "first_id", F.lit(k).alias("k"), F.lit(score).alias("silhouette")))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Pixels to bins to weighted samples, through a lattice, to each pair's error."""
     return pair_mse(spark, d)

@@ -316,6 +316,22 @@ def test_moving_average_replicates_edges(spark, window):
     assert all(r["distance"] == pytest.approx(want[r["shot_index"], r["cluster_id"]]) for r in got)
 
 
+@pytest.mark.parametrize("block", [3, 7, 2000])
+def test_silhouettes_of_all_choices_at_once(spark, block):
+    rng = np.random.default_rng(5)
+    x, labels = rng.normal(size=(23, 3)), np.stack([rng.integers(0, 2, 23), rng.integers(0, 4, 23), np.zeros(23, int), np.arange(23)], axis=1)
+    df = spark.createDataFrame([(i, list(map(float, v)), list(map(int, c))) for i, (v, c) in enumerate(zip(x, labels))], "id long, x array<double>, labels array<int>")
+    got = {(r["choice"], r["id"]): (r["a"], r["b"], r["s"]) for r in clustering.silhouettes_each(df, block).collect()}
+    assert len(got) == 23 * 4
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for (c, i), (a, b, s) in got.items():
+        mine, rest = labels[:, c] == labels[i, c], np.arange(23) != i
+        want_a = d[i][mine & rest].mean() if (mine & rest).any() else 0.0
+        others = [d[i][labels[:, c] == o].mean() for o in set(labels[:, c]) - {labels[i, c]}]
+        assert a == pytest.approx(want_a)
+        assert (b is None and s == 0) if not others else b == pytest.approx(min(others)) and s == pytest.approx((min(others) - want_a) / max(min(others), want_a))
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(-2, 0.1, (8, 6)), rng.normal(2, 0.1, (8, 6))])
