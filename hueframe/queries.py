@@ -747,6 +747,12 @@ def baseline_residual_fit(spark, d):
     return rounded(X.fit_lattice(_mixed(spark, d), X.FitOptions(size=3, loss="l2", prior_model="baseline_residual")))
 
 
+@query(f"RECURSIVE {PS}, {_MIXED}, {S.baselines('mixed')}, {S.fit_parts()}, {S.fit_parts(2, '2', 0.2)}, {S.multigrid()} {S.fit_on_baseline(1)}")
+def multigrid_fit(spark, d):
+    """Three lattices over baselines of their own, from two nodes a side to three."""
+    return rounded(X.fit_lattice(_mixed(spark, d), X.FitOptions(size=3, loss="l2", prior_model="baseline_multigrid_residual", coarse=2)))
+
+
 # ---- routing
 
 

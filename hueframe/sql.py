@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 BINS, NODES = 16, 9
 
 
@@ -123,38 +125,39 @@ DISTANCES = f"""{TRACKS}, dist AS (SELECT s.track, s.shot_index, c.cluster_id, s
 # lattice and channel, solved by Gauss-Jordan elimination in a recursive query.
 
 
-def fit_parts() -> str:
-    """CTEs of a fit: corners of samples `c3`, channels `ch3`, the Laplacian `lap`, and nodes `fx` with their terms."""
-    lum = f"least(greatest((({luma('i / 2.0', 'j / 2.0', 'k / 2.0')}) - 0.08) / 0.17, 0.0), 1.0)"
+def fit_parts(n: int = 3, t: str = "", smoothness: float = 0.1) -> str:
+    """CTEs of a fit of `n` nodes a side, `t` at the end of their names: corners of samples `c3`, channels `ch3`, the Laplacian `lap`, and nodes `fx` with their terms."""
+    edge = float(n - 1)
+    lum = f"least(greatest((({luma(f'i / {edge}', f'j / {edge}', f'k / {edge}')}) - 0.08) / 0.17, 0.0), 1.0)"
     boost = f"(25.0 - 24.0 * {lum} * {lum} * (3.0 - 2.0 * {lum}))"
-    corner = applied("tetrahedral", "samples", 3).split(", pred AS")[0]
-    return f"""{corner}, c3 AS (SELECT * FROM corner WHERE w <> 0),
-ch3 AS ({" UNION ALL ".join(f"SELECT substr(pair_id, 1, 1) AS lut, pair_id, bin_id, {c} AS ch, alpha, {o} AS y FROM samples" for c, o in enumerate(("or_", "og", "ob")))}),
-nd3 AS (SELECT range AS node, range % 3 AS i, (range // 3) % 3 AS j, range // 9 AS k FROM range(27)),
-lap0 AS (SELECT a.node AS r, b.node AS c FROM nd3 a JOIN nd3 b ON abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
-lap AS (SELECT r, c, -1.0 AS v FROM lap0 UNION ALL SELECT r, r, CAST(count(*) AS DOUBLE) FROM lap0 GROUP BY 1),
-oc3 AS (SELECT DISTINCT substr(pair_id, 1, 1) AS lut, {node_of(3)} AS node FROM samples),
-ds3 AS (SELECT lut, n.node, min(sqrt(pow(n.i - m.i, 2) + pow(n.j - m.j, 2) + pow(n.k - m.k, 2))) AS dist FROM oc3 JOIN nd3 m ON m.node = oc3.node CROSS JOIN nd3 n GROUP BY 1, 2),
-fx AS (SELECT lut, node, ch, 0.1 * {boost} AS sm, 0.01 * (1.0 - exp(-dist / 3.0)) AS pr, (CASE ch WHEN 0 THEN i WHEN 1 THEN j ELSE k END) / 2.0 AS goal FROM ds3 JOIN nd3 USING (node) CROSS JOIN (SELECT range AS ch FROM range(3)))"""
-
-
-def fit_round(t: int, delta: float | None = None, smoothness: float = 1.0, source: str = "ch3", nodes: str = "fx") -> str:
+    corner = re.sub(r"\b(cell|path|corner)\b", rf"\g<1>{t}", applied("tetrahedral", "samples", n).split(", pred AS")[0])
+    return f"""{corner}, c3{t} AS (SELECT * FROM corner{t} WHERE w <> 0),
+ch3{t} AS ({" UNION ALL ".join(f"SELECT substr(pair_id, 1, 1) AS lut, pair_id, bin_id, {c} AS ch, alpha, {o} AS y FROM samples" for c, o in enumerate(("or_", "og", "ob")))}),
+nd3{t} AS (SELECT range AS node, range % {n} AS i, (range // {n}) % {n} AS j, range // {n * n} AS k FROM range({n**3})),
+lap0{t} AS (SELECT a.node AS r, b.node AS c FROM nd3{t} a JOIN nd3{t} b ON abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+lap{t} AS (SELECT r, c, -1.0 AS v FROM lap0{t} UNION ALL SELECT r, r, CAST(count(*) AS DOUBLE) FROM lap0{t} GROUP BY 1),
+oc3{t} AS (SELECT DISTINCT substr(pair_id, 1, 1) AS lut, {node_of(n)} AS node FROM samples),
+ds3{t} AS (SELECT lut, n.node, min(sqrt(pow(n.i - m.i, 2) + pow(n.j - m.j, 2) + pow(n.k - m.k, 2))) AS dist FROM oc3{t} o JOIN nd3{t} m ON m.node = o.node CROSS JOIN nd3{t} n GROUP BY 1, 2),
+fx{t} AS (SELECT lut, node, ch, {smoothness} * {boost} AS sm, 0.01 * (1.0 - exp(-dist / 3.0)) AS pr, (CASE ch WHEN 0 THEN i WHEN 1 THEN j ELSE k END) / {edge} AS goal FROM ds3{t} JOIN nd3{t} USING (node) CROSS JOIN (SELECT range AS ch FROM range(3)))"""
+
+
+def fit_round(t: int, delta: float | None = None, smoothness: float = 1.0, source: str = "ch3", nodes: str = "fx", n: int = 3, tag: str = "") -> str:
     """CTEs that end in `x{t}`, the solution for samples `source` and nodes' terms `nodes`; with `delta`, all terms are weighted by residuals of the round before."""
     huber = lambda r: f"(CASE WHEN abs({r}) < {delta} THEN 1.0 ELSE {delta} / (abs({r}) + 1e-8) END)"
     if delta is None:
         terms = f"d{t} AS (SELECT * FROM {source}), s{t} AS (SELECT lut, node, ch, sm * {smoothness} AS sm, pr, goal FROM {nodes})"
     else:
-        terms = f"""d{t} AS (SELECT lut, pair_id, bin_id, ch, alpha * {huber("sqrt(alpha) * (p - y)")} AS alpha, y FROM {source} JOIN (SELECT c.pair_id, c.bin_id, x.ch, sum(c.w * x.x) AS p FROM c3 c JOIN x{t - 1} x ON x.lut = substr(c.pair_id, 1, 1) AND x.node = c.node_id GROUP BY 1, 2, 3) USING (pair_id, bin_id, ch)),
-s{t} AS (SELECT f.lut, f.node, f.ch, sm * {huber("sqrt(sm) * e")} AS sm, pr * {huber("sqrt(pr) * (x.x - goal)")} AS pr, goal FROM {nodes} f JOIN x{t - 1} x USING (lut, node, ch) JOIN (SELECT x.lut, x.ch, l.r AS node, sum(l.v * x.x) AS e FROM x{t - 1} x JOIN lap l ON l.c = x.node GROUP BY 1, 2, 3) USING (lut, node, ch))"""
+        terms = f"""d{t} AS (SELECT lut, pair_id, bin_id, ch, alpha * {huber("sqrt(alpha) * (p - y)")} AS alpha, y FROM {source} JOIN (SELECT c.pair_id, c.bin_id, x.ch, sum(c.w * x.x) AS p FROM c3{tag} c JOIN x{t - 1} x ON x.lut = substr(c.pair_id, 1, 1) AND x.node = c.node_id GROUP BY 1, 2, 3) USING (pair_id, bin_id, ch)),
+s{t} AS (SELECT f.lut, f.node, f.ch, sm * {huber("sqrt(sm) * e")} AS sm, pr * {huber("sqrt(pr) * (x.x - goal)")} AS pr, goal FROM {nodes} f JOIN x{t - 1} x USING (lut, node, ch) JOIN (SELECT x.lut, x.ch, l.r AS node, sum(l.v * x.x) AS e FROM x{t - 1} x JOIN lap{tag} l ON l.c = x.node GROUP BY 1, 2, 3) USING (lut, node, ch))"""
     return f"""{terms},
-a{t} AS (SELECT lut, ch, i, j, sum(v) AS v FROM (SELECT lut, ch, p.node_id AS i, q.node_id AS j, d.alpha * p.w * q.w AS v FROM d{t} d JOIN c3 p USING (pair_id, bin_id) JOIN c3 q USING (pair_id, bin_id)
-  UNION ALL SELECT lut, ch, node_id, 27, d.alpha * p.w * y FROM d{t} d JOIN c3 p USING (pair_id, bin_id)
-  UNION ALL SELECT lut, ch, p.c, q.c, sm * p.v * q.v FROM s{t} s JOIN lap p ON p.r = s.node JOIN lap q ON q.r = s.node
-  UNION ALL SELECT lut, ch, node, node, pr FROM s{t} UNION ALL SELECT lut, ch, node, 27, pr * goal FROM s{t}) GROUP BY 1, 2, 3, 4),
-m{t} AS (SELECT f.lut, f.ch, f.node AS i, list(coalesce(a.v, 0.0) ORDER BY c.range) AS line FROM {nodes} f CROSS JOIN range(28) c LEFT JOIN a{t} a ON a.lut = f.lut AND a.ch = f.ch AND a.i = f.node AND a.j = c.range GROUP BY 1, 2, 3),
-e{t} AS (SELECT 0 AS step, lut, ch, i, line FROM m{t} UNION ALL SELECT a.step + 1, a.lut, a.ch, a.i, CASE WHEN a.i = a.step THEN [v / a.line[a.step + 1] for v in a.line] ELSE [a.line[z] - a.line[a.step + 1] / p.line[a.step + 1] * p.line[z] for z in range(1, 29)] END
-  FROM e{t} a JOIN e{t} p ON p.lut = a.lut AND p.ch = a.ch AND p.i = a.step WHERE a.step < 27),
-x{t} AS (SELECT lut, ch, i AS node, line[28] AS x FROM e{t} WHERE step = 27)"""
+a{t} AS (SELECT lut, ch, i, j, sum(v) AS v FROM (SELECT lut, ch, p.node_id AS i, q.node_id AS j, d.alpha * p.w * q.w AS v FROM d{t} d JOIN c3{tag} p USING (pair_id, bin_id) JOIN c3{tag} q USING (pair_id, bin_id)
+  UNION ALL SELECT lut, ch, node_id, {n**3}, d.alpha * p.w * y FROM d{t} d JOIN c3{tag} p USING (pair_id, bin_id)
+  UNION ALL SELECT lut, ch, p.c, q.c, sm * p.v * q.v FROM s{t} s JOIN lap{tag} p ON p.r = s.node JOIN lap{tag} q ON q.r = s.node
+  UNION ALL SELECT lut, ch, node, node, pr FROM s{t} UNION ALL SELECT lut, ch, node, {n**3}, pr * goal FROM s{t}) GROUP BY 1, 2, 3, 4),
+m{t} AS (SELECT f.lut, f.ch, f.node AS i, list(coalesce(a.v, 0.0) ORDER BY c.range) AS line FROM {nodes} f CROSS JOIN range({n**3 + 1}) c LEFT JOIN a{t} a ON a.lut = f.lut AND a.ch = f.ch AND a.i = f.node AND a.j = c.range GROUP BY 1, 2, 3),
+e{t} AS (SELECT 0 AS step, lut, ch, i, line FROM m{t} UNION ALL SELECT a.step + 1, a.lut, a.ch, a.i, CASE WHEN a.i = a.step THEN [v / a.line[a.step + 1] for v in a.line] ELSE [a.line[z] - a.line[a.step + 1] / p.line[a.step + 1] * p.line[z] for z in range(1, {n**3 + 2})] END
+  FROM e{t} a JOIN e{t} p ON p.lut = a.lut AND p.ch = a.ch AND p.i = a.step WHERE a.step < {n**3}),
+x{t} AS (SELECT lut, ch, i AS node, line[{n**3 + 1}] AS x FROM e{t} WHERE step = {n**3})"""
 
 
 def fit_refined() -> str:
@@ -240,3 +243,21 @@ nb AS (SELECT b.lut, b.ch, n.node, CASE WHEN passes THEN {at} ELSE 0.0 END AS ba
 def fit_on_baseline(t: int) -> str:
     value = clamp("max(CASE WHEN ch = {} THEN x + base END)", "-0.5", "1.5")
     return f"SELECT lut AS lut_id, node AS node_id, {', '.join(r(value.replace('{}', str(c)), k) for c, k in enumerate('rgb'))} FROM x{t} JOIN nb USING (lut, ch, node) GROUP BY 1, 2"
+
+
+def multigrid() -> str:
+    """CTEs after `baselines`, `fit_parts` of three nodes and of two, named by "2": two levels over the baselines, `now3` the lattices without the last fit `x1`.
+
+    All baselines pass their gate here.
+    """
+    at = lambda e: on_curve(affine_of("b", (f"n.i / {e}", f"n.j / {e}", f"n.k / {e}")), "b.xs", "b.ys")
+    rest = lambda now, tag: f"SELECT s.lut, s.pair_id, s.bin_id, s.ch, s.alpha, s.out - p.p AS y FROM b_0 s JOIN (SELECT c.pair_id, c.bin_id, v.ch, sum(c.w * v.v) AS p FROM c3{tag} c JOIN {now} v ON v.lut = substr(c.pair_id, 1, 1) AND v.node = c.node_id GROUP BY 1, 2, 3) p USING (pair_id, bin_id, ch)"
+    w = " * ".join(f"(CASE WHEN m.{k} = 1 THEN n.{k} / 2.0 ELSE 1.0 - n.{k} / 2.0 END)" for k in "ijk")
+    return f"""g2 AS MATERIALIZED (SELECT b.lut, b.ch, n.node, {at(1.0)} AS v FROM base b CROSS JOIN nd32 n),
+r2 AS MATERIALIZED ({rest("g2", "2")}), z2 AS MATERIALIZED (SELECT lut, node, ch, sm, 0.01 * (1.0 - exp(-1.0 / 3.0)) AS pr, 0.0 AS goal FROM fx2),
+{fit_round(0, source="r2", nodes="z2", n=2, tag="2")},
+now2 AS MATERIALIZED (SELECT g.lut, g.ch, g.node, v + x AS v FROM g2 g JOIN x0 USING (lut, ch, node)),
+now3 AS MATERIALIZED (SELECT o.lut, o.ch, n.node, sum({w} * o.v) AS v FROM nd3 n CROSS JOIN nd32 m JOIN now2 o ON o.node = m.node GROUP BY 1, 2, 3),
+r3 AS MATERIALIZED ({rest("now3", "")}), z3 AS MATERIALIZED (SELECT lut, node, ch, sm, pr, 0.0 AS goal FROM fx),
+{fit_round(1, source="r3", nodes="z3")},
+nb AS (SELECT lut, ch, node, v AS base FROM now3)"""
