@@ -13,6 +13,13 @@ from .plans import extract as plans
 VERSION = "0.1.0"
 
 
+def _share(text: str) -> float:
+    value = float(text)
+    if not 0.0 <= value <= 1.0:
+        raise argparse.ArgumentTypeError("a share is between 0 and 1")
+    return value
+
+
 def _fit_arguments(p: argparse.ArgumentParser) -> None:
     p.add_argument("--size", type=int, default=33)
     p.add_argument("--kernel", choices=["tetrahedral", "trilinear"], default="tetrahedral")
@@ -29,12 +36,18 @@ def _fit_arguments(p: argparse.ArgumentParser) -> None:
     p.add_argument("--transfer-fn", default="auto")
     p.add_argument("--shaper", choices=["auto", "on", "off"], default="auto")
     p.add_argument("--refine", type=int, default=0)
+    p.add_argument("--huber-delta", type=float, default=1.0)
+    p.add_argument("--chroma-ratio", type=float, default=4.0)
+    p.add_argument("--shadow-auto", action="store_true", default=True, help="thresholds from the samples where they are dark (the default)")
+    p.add_argument("--shadow-manual", dest="shadow_auto", action="store_false")
+    p.add_argument("--shadow-threshold", type=_share, help="overrides the automatic one")
+    p.add_argument("--deep-shadow-threshold", type=_share, help="overrides the automatic one")
     p.add_argument("--title", default="")
 
 
 def _options(a: argparse.Namespace, **more) -> plans.Options:
-    fit = FitOptions(size=a.size, kernel=a.kernel, smoothness=a.smoothness, prior=a.prior, prior_model=a.prior_model, loss=a.loss, rounds=a.irls, connectivity=a.connectivity, basis=a.basis)
-    return plans.Options(fit=fit, bins=a.bins, min_samples=a.min_samples, by_frequency=a.weighting == "frequency", transfer=a.transfer_fn, shaper={"auto": None, "on": True, "off": False}[a.shaper], refine_rounds=a.refine, title=a.title, **more)
+    fit = FitOptions(size=a.size, kernel=a.kernel, smoothness=a.smoothness, prior=a.prior, prior_model=a.prior_model, loss=a.loss, rounds=a.irls, connectivity=a.connectivity, basis=a.basis, delta=a.huber_delta, chroma_ratio=a.chroma_ratio)
+    return plans.Options(fit=fit, bins=a.bins, min_samples=a.min_samples, by_frequency=a.weighting == "frequency", transfer=a.transfer_fn, shaper={"auto": None, "on": True, "off": False}[a.shaper], refine_rounds=a.refine, title=a.title, auto_shadows=a.shadow_auto, shadow_threshold=a.shadow_threshold, deep_threshold=a.deep_shadow_threshold, **more)
 
 
 def main(argv: list[str] | None = None) -> int:

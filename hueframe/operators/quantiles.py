@@ -33,8 +33,8 @@ def _measured(v: Column, suffix: str = "") -> list[Column]:
 def quantiles(rows: DataFrame, by: Sequence[str], wanted: dict[str, tuple[Column, Sequence[float]]], held: int = HELD, most: int = ZONE_ROWS) -> DataFrame:
     """(by..., name...): for each group an array of exact quantiles of each wanted column, interpolated linearly.
 
-    `wanted` names (column, shares). The values and their ranges are counted first, with map-side sums. If the largest groups
-    together hold no more than `held` values, `percentile` takes them in one pass. Else, while a wanted rank lies in a zone of
+    `wanted` names (column, shares). Rows are counted first, with map-side sums over the keys alone. If the largest groups
+    together hold no more than `held` values, `percentile` takes them in one pass. Else the values' ranges are measured and, while a wanted rank lies in a zone of
     more than `most` rows of different values, such zones are cut in PARTS cells, whose rows are counted, and the cell that
     holds the rank is the next zone. Only a zone's distinct values are put in order at last, so that no task
     holds a group, however large. `rows` is read once for each of these passes. Each ends in a table of a row for a
@@ -50,13 +50,15 @@ def quantiles(rows: DataFrame, by: Sequence[str], wanted: dict[str, tuple[Column
     else:
         each = F.explode(F.array(*(F.struct(F.lit(i).alias("_k"), c.alias("v")) for i, c in enumerate(columns))))
         long = rows.select(*named, each.alias("p")).select(*group, "p._k", "p.v")
-    each = rows.select(*named, *(c.alias(f"v{i}") for i, c in enumerate(columns))).groupBy(*group).agg(*(F.struct(F.lit(i).alias("_k"), *_measured(F.col(f"v{i}"))).alias(f"r{i}") for i in range(len(columns))))
-    ranges = kept(each.select(*group, F.explode(F.array(*(f"r{i}" for i in range(len(columns))))).alias("r")).select(*group, "r.*"))
+    # At most so many values does a task hold at once that takes the largest groups; only keys are read for it.
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(GROUPS_AT_ONCE)
+    largest = counts.agg(F.sum("n")).first()[0] or 0
     empty = {name: F.array(*[F.lit(None).cast("double")] * len(ps)) for name, (_, ps) in wanted.items()}
-    largest = ranges.orderBy(F.desc("n")).limit(GROUPS_AT_ONCE * len(columns)).agg(F.sum("n")).first()[0] or 0
-    if largest <= held:
+    if largest * len(columns) <= held:
         arrays = [F.coalesce(F.percentile(c, F.array(*(F.lit(float(p)) for p in ps))), empty[name]).alias(name) for c, (name, (_, ps)) in zip(columns, wanted.items())]
         return rows.groupBy(*by).agg(*arrays)
+    each = rows.select(*named, *(c.alias(f"v{i}") for i, c in enumerate(columns))).groupBy(*group).agg(*(F.struct(F.lit(i).alias("_k"), *_measured(F.col(f"v{i}"))).alias(f"r{i}") for i in range(len(columns))))
+    ranges = kept(each.select(*group, F.explode(F.array(*(f"r{i}" for i in range(len(columns))))).alias("r")).select(*group, "r.*"))
     shares = F.array(*(F.struct(F.lit(i).alias("k"), F.lit(j).alias("s"), F.lit(float(p)).alias("p")) for i, (_, ps) in enumerate(wanted.values()) for j, p in enumerate(ps)))
     targets = ranges.where("n > 0").withColumn("o", F.explode(F.filter(shares, lambda o: o["k"] == F.col("_k")))).withColumn("at", F.col("o.p") * (F.col("n") - 1))
     targets = targets.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))

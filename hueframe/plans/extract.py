@@ -38,6 +38,8 @@ class Options:
     transfer: str = "auto"
     shaper: bool | None = None
     auto_shadows: bool = True
+    shadow_threshold: float | None = None
+    deep_threshold: float | None = None
     refine_rounds: int = 0
     title: str = ""
     normalization: str = "none"
@@ -104,7 +106,7 @@ def shaped(pixels: DataFrame, options: Options, overrides: DataFrame | None = No
 def _fit(rows: DataFrame, pairs: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, dict]]:
     """(lattices, metrics, samples, info) of bins (lut_id, pair_id, ...) and pairs (lut_id, pair_id, weight, pixels), for all lattices in one job.
 
-    A lattice has thresholds, weights, balance and rounds of its own; `info` has a row of counts for each.
+    A lattice has thresholds, weights, balance and rounds of its own; thresholds that the options give hold for all; `info` has a row of counts for each.
     """
     counts = rows.groupBy("lut_id", "pair_id").agg(F.count(F.lit(1)).alias("bins"))
     if low := counts.where("bins < 10").orderBy("lut_id", "pair_id").take(1):
@@ -113,14 +115,16 @@ def _fit(rows: DataFrame, pairs: DataFrame, options: Options) -> tuple[DataFrame
     info = {r["lut_id"]: {"occupied_bins": r["bins"], "contradictory_bins": r["odd"]} for r in rows.groupBy("lut_id").agg(F.count(F.lit(1)).alias("bins"), odd.alias("odd")).collect()}
     if not info:
         raise ValueError("fewer than 10 occupied bins")
-    fit, shadows = options.fit, None
-    if options.auto_shadows:
-        shadows = kept(statistics.shadow_thresholds(rows, ("lut_id",)))
+    given = {k: v for k, v in (("shadow", options.shadow_threshold), ("deep", options.deep_threshold)) if v is not None}
+    fit, shadows = replace(options.fit, **given), None
+    automatic = options.auto_shadows and len(given) < 2
+    if automatic:
+        shadows = kept(statistics.shadow_thresholds(rows, ("lut_id",)).withColumns({k: F.lit(v) for k, v in given.items()}))
         rows = rows.join(shadows.select("lut_id", "shadow"), "lut_id")
         for r in shadows.select("lut_id", "adapted").collect():
             info[r["lut_id"]]["shadows_adapted"] = r["adapted"]
     over = ("lut_id", "pair_id")
-    weighted = binning.sample_weights(rows, options.by_frequency, options.min_samples, F.col("shadow") if options.auto_shadows else fit.shadow, over=over)
+    weighted = binning.sample_weights(rows, options.by_frequency, options.min_samples, F.col("shadow") if automatic else fit.shadow, over=over)
     samples = kept(binning.balanced(weighted, pairs, options.balance, ("lut_id",)).drop("shadow"))
     lattice = fitting.fit_lattice(samples, fit, shadows)
     if options.refine_rounds:
@@ -138,10 +142,24 @@ class Prepared:
     pixels: DataFrame
 
 
+def normalized(pixels: DataFrame, options: Options, pairs: DataFrame | None = None) -> DataFrame:
+    """Pixels normalised by each pair's own mode, the column `normalization` of `pairs`, or the options' where that is null or empty."""
+    if pairs is None or "normalization" not in pairs.columns:
+        return statistics.normalize_pairs(pixels, options.normalization) if options.normalization != "none" else pixels
+    mode = F.coalesce(F.nullif(F.lower(F.trim("normalization")), F.lit("")), F.lit(options.normalization))
+    modes = kept(pairs.select("pair_id", mode.alias("mode")))
+    out = None
+    for m in sorted(r[0] for r in modes.select("mode").distinct().collect()):
+        part = pixels.join(modes.where(F.col("mode") == m), "pair_id", "left_semi")
+        part = statistics.normalize_pairs(part, m) if m != "none" else part
+        out = part if out is None else out.unionByName(part)
+    return pixels if out is None else out
+
+
 def prepare(pixels: DataFrame, options: Options = Options(), pairs: DataFrame | None = None) -> Prepared:
     """Pixels shaped, normalised and binned; they are read for detection and, once more, for bins."""
     ready, transfers = shaped(pixels, options, pairs)
-    given = statistics.normalize_pairs(ready, options.normalization) if options.normalization != "none" else ready
+    given = normalized(ready, options, pairs)
     every = kept(binning.bin_pixels(given, options.bins, 1))
     rows = every.where(F.col("n") >= max(options.min_samples, 1))
     counts = every.groupBy("pair_id").agg(F.sum("n").alias("pixels"), F.sum(F.when(F.col("n") >= max(options.min_samples, 1), 1).otherwise(0)).alias("bins"))
@@ -230,7 +248,8 @@ def extract_batch(spark: SparkSession, manifest: str, output: str | Path, option
     master = ready.pairs.select(F.lit("master").alias("lut_id"), "pair_id")
     if cluster == "none" and reports is None:
         return fit_groups(spark, ready, master, options, {"master": output}, progress, cancel)
-    bins = ready.bins if options.normalization == "none" else kept(binning.bin_pixels(ready.pixels, options.bins, options.min_samples))
+    plain = options.normalization == "none" and rows.where("normalization <> 'none' AND normalization <> ''").isEmpty()
+    bins = ready.bins if plain else kept(binning.bin_pixels(ready.pixels, options.bins, options.min_samples))
     marks = kept(signatures.pair_signature(bins).join(signatures.appearance_from_bins(bins), "pair_id").join(rows.select("pair_id", F.col("pair_index").cast("long").alias("id"), "cluster"), "pair_id"))
     points = clustering.standardized(marks.select("id", F.col("transform").alias("v")), "id", "v")
     if cluster == "manual":

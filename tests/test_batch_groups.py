@@ -68,3 +68,38 @@ def test_outliers_within_groups(spark):
     rows = [("x", f"x{i}", 1.0 + 0.01 * i) for i in range(5)] + [("x", "bad", 3.0)] + [("y", f"y{i}", 3.0 + 0.1 * i) for i in range(5)] + [("z", "z0", 9.0)]
     df = spark.createDataFrame(rows, "lut_id string, pair_id string, mse double")
     assert [tuple(r) for r in statistics.outlier_pairs(df, by=("lut_id",)).where("outlier").select("lut_id", "pair_id").collect()] == [("x", "bad")]
+
+
+def test_thresholds_of_the_command_line():
+    import argparse
+
+    from hueframe import __main__ as cli
+
+    p = argparse.ArgumentParser()
+    cli._fit_arguments(p)
+    o = cli._options(p.parse_args([]))
+    assert o.auto_shadows and o.shadow_threshold is None and o.fit.chroma_ratio == 4.0 and o.fit.delta == 1.0
+    o = cli._options(p.parse_args("--shadow-manual --shadow-threshold 0.4 --deep-shadow-threshold 0.1 --chroma-ratio 2 --huber-delta 0.5".split()))
+    assert (o.auto_shadows, o.shadow_threshold, o.deep_threshold, o.fit.chroma_ratio, o.fit.delta) == (False, 0.4, 0.1, 2.0, 0.5)
+    with pytest.raises(SystemExit):
+        p.parse_args(["--shadow-threshold", "1.5"])
+
+
+def test_given_thresholds_hold(spark, given):
+    """Given thresholds override the automatic ones, one by one; without either, the fit's own are kept."""
+    rows, weights = given
+    dark = rows.where("pair_id = 'b0'").withColumns({c: F.col(c) * 0.4 for c in ("sr", "sg", "sb")})
+    fit = lambda **more: as_array(plans.extract(spark, dark, plans.Options(fit=FitOptions(size=3, loss="l2"), bins=16, min_samples=1, **more)).lattice, 3)
+    automatic, manual, both = fit(), fit(auto_shadows=False), fit(shadow_threshold=0.25, deep_threshold=0.08)
+    assert not np.allclose(automatic, manual) and np.allclose(manual, both)
+
+
+def test_normalization_of_each_pair(spark, given):
+    rows, _ = given
+    modes = spark.createDataFrame([("a0", "rgb_affine"), ("a1", " Luma_affine "), ("a2", None), ("b0", ""), ("b1", "none")], "pair_id string, normalization string")
+    few = rows.where("pair_id <> 'a3'")
+    got = {r["pair_id"]: r["v"] for r in plans.normalized(few, plans.Options(), modes).groupBy("pair_id").agg(F.sum("sr").alias("v")).collect()}
+    for pair, mode in (("a0", "rgb_affine"), ("a1", "luma_affine"), ("a2", "none"), ("b0", "none"), ("b1", "none")):
+        mine = few.where(F.col("pair_id") == pair)
+        mine = mine if mode == "none" else statistics.normalize_pairs(mine, mode)
+        assert got[pair] == pytest.approx(mine.agg(F.sum("sr")).first()[0])
