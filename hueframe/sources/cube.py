@@ -49,6 +49,24 @@ def write_cube(lattice: DataFrame, path: str | Path, n: int, **options) -> Path:
     return path
 
 
+def write_cubes(lattice: DataFrame, folder: str, n: int, **options) -> str:
+    """Any number of lattices as .cube texts in a new folder of any store, one file in `lut_id=...` for each, written by the executors.
+
+    Spark's committer renames files into place, so that a lost task leaves none behind. A lattice that lacks nodes is an error, and so is a folder that exists.
+    """
+    head = "\n".join(header(n, **options))
+    body = data_lines(lattice).groupBy("lut_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "line"))).alias("l"))
+    whole = F.when(F.size("l") == n**3, F.array_join(F.transform("l", lambda v: v["line"]), "\n")).otherwise(F.raise_error(F.format_string(f"lattice %s hasn't {n**3} nodes", F.col("lut_id"))))
+    body.select("lut_id", F.concat(F.lit(head + "\n"), whole).alias("text")).write.partitionBy("lut_id").text(folder)
+    return folder
+
+
+def read_cubes(spark: SparkSession, folder: str) -> DataFrame:
+    """Lattices of a folder that `write_cubes` wrote, by the names that they had."""
+    rows = spark.read.schema("value string, lut_id string").text(folder, wholetext=True)
+    return parse_text(rows.select("lut_id", F.col("value").alias("text")))
+
+
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _ODD = r"(?i)^[-+]?(?:nan|inf|infinity)$"
 

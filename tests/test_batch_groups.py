@@ -103,3 +103,21 @@ def test_normalization_of_each_pair(spark, given):
         mine = few.where(F.col("pair_id") == pair)
         mine = mine if mode == "none" else statistics.normalize_pairs(mine, mode)
         assert got[pair] == pytest.approx(mine.agg(F.sum("sr")).first()[0])
+
+
+def test_many_lattices_through_sparks_writer(spark, tmp_path):
+    """Ten lattices, names that a path can't hold as they are or that look like numbers, written by tasks and read back."""
+    from hueframe.operators import lattices
+    from hueframe.sources import cube
+
+    names = [f"00{i}" for i in range(8)] + ["a/b c", "x=1%"]
+    every = lattices.identity_lattice(spark, 3).drop("lut_id").crossJoin(spark.createDataFrame([(v, i / 10) for i, v in enumerate(names)], "lut_id string, k double")).withColumn("r", F.col("r") * F.col("k"))
+    every = every.select("lut_id", "node_id", "r", "g", "b")
+    folder = cube.write_cubes(every, str(tmp_path / "all"), 3, title="t")
+    got = {(r["lut_id"], r["node_id"]): (r["r"], r["g"], r["b"]) for r in cube.read_cubes(spark, folder).collect()}
+    want = {(r["lut_id"], r["node_id"]): (r["r"], r["g"], r["b"]) for r in every.collect()}
+    assert {k for k, _ in got} == set(names)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert len([f for f in (tmp_path / "all").rglob("*.txt")]) == 10
+    with pytest.raises(Exception, match="hasn't 27 nodes"):
+        cube.write_cubes(every.where("node_id < 26"), str(tmp_path / "short"), 3)
