@@ -173,10 +173,11 @@ def references(df: DataFrame, lang_col: str | None = "lang", text_col: str = "te
     summed = scratch.keep(few.mapInArrow(run, "lang string, script string, word string, cell int, n long").groupBy("lang", "script", "word", "cell").agg(F.sum("n").alias("n")))
     sizes = summed.where("word IS NOT NULL AND script <> ''").groupBy("lang", "script").agg(F.sum("n").alias("words"))
     main = sizes.groupBy(F.col("lang").alias("lang_")).agg(F.max_by("script", F.struct("words", "script")).alias("main"))
-    placed = summed.join(main, F.col("lang").eqNullSafe(F.col("lang_")), "left").withColumn("script", F.when(F.col("script") == "", F.col("main")).otherwise(F.col("script"))).drop("lang_", "main").where("script IS NOT NULL")
+    # `main` and `docs` have a row for each language and script, as the references have, so that they are broadcast.
+    placed = summed.join(F.broadcast(main), F.col("lang").eqNullSafe(F.col("lang_")), "left").withColumn("script", F.when(F.col("script") == "", F.col("main")).otherwise(F.col("script"))).drop("lang_", "main").where("script IS NOT NULL")
     docs = placed.groupBy(F.col("lang").alias("lang_"), F.col("script").alias("script_")).agg(F.coalesce(F.sum(F.when(F.col("cell") <= STEPS, F.col("n"))), F.lit(0)).alias("docs"))
     kind = F.when(F.col("lang").isNull(), "none").when(F.col("docs") >= min_docs, "own").otherwise("rest")
-    merged = placed.join(docs, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("script") == F.col("script_"))).withColumn("kind", kind)
+    merged = placed.join(F.broadcast(docs), F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("script") == F.col("script_"))).withColumn("kind", kind)
     merged = scratch.keep(merged.groupBy("kind", F.when(F.col("kind") == "own", F.col("lang")).otherwise(POOL).alias("lang"), "script", "word", "cell").agg(F.sum("n").alias("n")))
     totals = merged.where("word IS NOT NULL").groupBy("kind", "lang", "script").agg(F.sum("n").alias("n")).collect()
     known = {r["script"] for r in totals if r["kind"] != "none"}
