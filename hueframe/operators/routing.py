@@ -76,10 +76,10 @@ def _step(cost: np.ndarray, d: np.ndarray, penalty: float) -> tuple[np.ndarray,
     return d + np.where(stay, cost, moved), np.where(stay, here, j)
 
 
-def _segment_costs(d: np.ndarray, first: bool, penalty: float) -> np.ndarray:
-    """(k, k): least costs of a segment's shots that end in a cluster, for each cluster in which the shot before it was (none before the first)."""
+def _segment_costs(d: np.ndarray, penalty: float) -> np.ndarray:
+    """(k + 1, k): least costs of a segment's shots that end in a cluster, for each cluster in which the shot before it was, and at last for no shot before it."""
     k = d.shape[1]
-    cost = np.broadcast_to(d[0], (k, k)) if first else _step(np.where(np.eye(k, dtype=bool), 0.0, np.inf), d[0], penalty)[0]
+    cost = np.vstack([_step(np.where(np.eye(k, dtype=bool), 0.0, np.inf), d[0], penalty)[0], d[:1]])
     for row in d[1:]:
         cost = _step(cost, row, penalty)[0]
     return cost
@@ -99,28 +99,27 @@ def _traced(d: np.ndarray, entry: np.ndarray | None, penalty: float) -> tuple[np
 def cheapest_path(distances: DataFrame, penalty: float, segment: int = SEGMENT) -> DataFrame:
     """(track, shot_index, cluster_id, cost): the path of least distance plus `penalty` for each change of cluster.
 
-    A track is cut into segments of shots. Each gives the least costs between any clusters before and at its end, k x k numbers; those,
+    A track is cut into segments of shots by their index, which may have gaps. Each gives the least costs between any clusters before and at its end, k x k numbers; those,
     folded in order, give the costs at which each segment starts; from them each segment tells which cluster before it leads to which at its
     end; followed from the last, that gives each segment's ends, and then its shots. All shots are worked on segment by segment;
     the two folds hold k x k and k numbers a segment of one track, not its shots. All shots of a track have the same clusters.
     """
     wide = distances.groupBy("track", "shot_index").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "distance"))).alias("d"))
-    placed = numbered(wide, ["shot_index"], "p", ["track"])
-    shots = F.array_sort(F.collect_list(F.struct("p", "shot_index", "d")))
-    rows = placed.groupBy("track", F.floor(F.col("p") / segment).cast("long").alias("seg")).agg(shots.alias("s"))
+    shots = F.array_sort(F.collect_list(F.struct("shot_index", "d")))
+    rows = wide.groupBy("track", F.floor(F.col("shot_index") / segment).cast("long").alias("seg")).agg(shots.alias("s"))
     segments = kept(rows.select("track", "seg", F.col("s.shot_index").alias("shots"), F.col("s")[0]["d"]["cluster_id"].alias("ids"), F.flatten(F.transform("s", lambda v: v["d"]["distance"])).alias("d")))
 
     def costs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            m = [_segment_costs(np.reshape(d, (-1, len(ids))), seg == 0, penalty).ravel() for d, ids, seg in zip(f.d, f.ids, f.seg)]
+            m = [_segment_costs(np.reshape(d, (-1, len(ids))), penalty).ravel() for d, ids in zip(f.d, f.ids)]
             yield pd.DataFrame({"track": f.track, "seg": f.seg, "m": m})
 
     def entries(group: pd.DataFrame) -> pd.DataFrame:
         out, now = [], None
         for m in group.sort_values("seg").m:
             out.append(now)
-            m = np.reshape(m, (math.isqrt(len(m)), -1))
-            now = m[0] if now is None else (now[:, None] + m).min(0)
+            m = np.reshape(m, (-1, math.isqrt(len(m))))  # (k + 1) k numbers
+            now = m[-1] if now is None else (now[:, None] + m[:-1]).min(0)
         return pd.DataFrame({"track": group.track, "seg": np.sort(group.seg), "entry": out})
 
     starts = kept(segments.mapInPandas(costs, "track string, seg long, m array<double>").groupBy("track").applyInPandas(entries, "track string, seg long, entry array<double>"))
