@@ -27,9 +27,9 @@ def learn_dictionaries(train: DataFrame, lang_col: str = "lang", id_col: str = "
 
     `sample_docs` documents with letters of each language, smallest hash of the id first, are cleaned whole and cut
     into segments of about `segment` bytes, at blanks; a dictionary is the segments of smallest hash that fill
-    `dict_bytes`, so that every place of every sampled text may be in it. All languages get dictionaries of about the size that
-    the smallest sample allows, 4 kB at least, so that none wins by size. Spark cuts and picks; the driver gets
-    `dict_bytes` for each language, of which there may be any number.
+    `dict_bytes`, so that every place of every sampled text may be in it. Languages that can fill `dict_bytes` get so much, at a
+    blank, so that none of them wins by size; one that can't has all of its sample, and others don't lose by it. Spark cuts and picks;
+    the driver gets `dict_bytes` for each language, of which there may be any number.
 
     Rows whose language or text is null, and texts without a letter, teach nothing; rows that share an id and
     repeated rows may each be picked; an empty table gives no dictionary; other columns may have any name.
@@ -51,8 +51,7 @@ def learn_dictionaries(train: DataFrame, lang_col: str = "lang", id_col: str = "
     for r in parts.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= most).orderBy("lang", "at").collect():
         if len(have := raw.get(r["lang"], b"")) < dict_bytes:
             raw[r["lang"]] = have + r["s"].encode() + b" "
-    size = max(4096, min(map(len, raw.values()), default=0))
-    return {lang: x if len(x) <= size else x[: x.rindex(b" ", 0, size) + 1] if b" " in x[:size] else x[:size] for lang, x in sorted(raw.items())}
+    return {lang: x if len(x) <= dict_bytes else x[: x.rfind(b" ", 0, dict_bytes) + 1] or x[:dict_bytes] for lang, x in sorted(raw.items())}
 
 
 def segments(text: str, size: int) -> Iterator[str]:

@@ -22,11 +22,23 @@ SPELLINGS = {
     "whilst": "while",
     "https": "http",
 }
-# A copyright statement is its marks, then a year or both marks, then a holder up to the end of the line or to where a
-# licence begins; a clause "(c)" or the words "copyright notice" are none.
-_STOP = r"(\n|\z|permission (?:is|to)|redistribution and|licensed under|released under|all rights reserved|this (?:software|program|library|work|file))"
-_MARKS = r"(?:copyright[ \t]*(?:\(c\)|©)[ \t,:]*|(?:copyright|\(c\)|©)[ \t,:]*[\[<{]?(?:[0-9]{4}|yyyy|year))"
-COPYRIGHT = _MARKS + r"[^\n]{0,200}?" + _STOP
+# Words after "copyright" that make it a part of a clause, and phrases with which a licence, or what stands before it, begins.
+CLAUSE_WORDS = r"notices?|holders?|owners?|laws?|licen[cs]es?|interests?|statements?|information|protection|act|and|or|in|is|as|to|of th(?:is|e software)"
+BEGINNINGS = r"permission (?:is|to)|redistribution and|licensed under|released under|all rights reserved|this (?:software|program|library|work|file)|the software is"
+# Marks that no text keeps: \x01 behind the "copyright" of a clause, \x02 before a beginning.
+CLAUSE = rf"copyright([ \t\n]+(?:{CLAUSE_WORDS})(?:[^\p{{L}}\p{{N}}]|\z))"
+BEGINNING = rf"([^\p{{L}}\p{{N}}])({BEGINNINGS})"
+_YEAR = r"[\[<{]?(?:[0-9]{4}|yyyy|year)"
+_HOLDER = r"[^\n\x02]"
+# A line that begins with a mark is a copyright statement whatever its length, with a year or not. It goes on in the next line after a comma, "&" or a
+# word that can't end it, or if that line is short and ends the paragraph. It ends with the line or where a licence begins.
+LINE = (
+    r"^[ \t*#/;>!|-]*(?:copyright[ \t]*(?:\(c\)|©)[ \t,:]*|copyright[ \t:,]+|©[ \t,:]*|\(c\)[ \t]*copyright[ \t:,]+|\(c\)[ \t,:]*" + _YEAR + ")"
+    + _HOLDER + r"*?(?:(?:,|&|[ \t](?:and|by|of|the))[ \t]*\n" + _HOLDER + r"*?)*"
+    + r"(?:\n[ \t]*[^\n\x02 \t]" + _HOLDER + r"{0,99}\n[ \t]*[\n\x02]|\n|\x02|\z)"
+)
+# Elsewhere in a line it takes a year or both marks, and 200 characters at most.
+WITHIN = r"(?:copyright[ \t]*(?:\(c\)|©)[ \t,:]*|(?:copyright|\(c\)|©)[ \t,:]*" + _YEAR + ")" + _HOLDER + r"{0,200}?(?:\n|\x02|\z)"
 RESERVED = r"all rights reserved"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
@@ -122,7 +134,9 @@ def forms(texts: dict[str, str] = LICENSES, titles: dict[str, list[str]] = TITLE
 
 def canonical(text: Column) -> Column:
     """A text's canonical form: lower case, no copyright statements, no punctuation, one spelling; null for null."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, "\n$1"), RESERVED, " ")
+    out = F.concat(F.lit("\n"), F.translate(F.lower(text), "\x01\x02", "  "))
+    out = F.regexp_replace(F.regexp_replace(out, BEGINNING, "$1\x02$2"), CLAUSE, "copyright\x01$1")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "(?dm)" + LINE, "\n"), WITHIN, "\n"), RESERVED, " ")
     # Two blanks between words give each word its own, so that neighbours are both seen.
     out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORDS, "  "), F.lit(" "))
     for spelling, same in SPELLINGS.items():

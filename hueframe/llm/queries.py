@@ -140,8 +140,11 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 
 def _licenses_sql() -> str:
     def form(column: str) -> str:
-        regex = lambda r: r.replace("\\n", "\n").replace("\\t", "\t")
-        out = f"""regexp_replace(regexp_replace(lower({column}), '{regex(licenses.COPYRIGHT)}', chr(10) || '\\1', 'g'), '{licenses.RESERVED}', ' ', 'g')"""
+        out = f"chr(10) || translate(lower({column}), chr(1) || chr(2), '  ')"
+        out = f"regexp_replace({out}, '{licenses.BEGINNING}', '\\1' || chr(2) || '\\2', 'g')"
+        out = f"regexp_replace({out}, '{licenses.CLAUSE}', 'copyright' || chr(1) || '\\1', 'g')"
+        out = f"regexp_replace(regexp_replace({out}, '(?m){licenses.LINE}', chr(10), 'g'), '{licenses.WITHIN}', chr(10), 'g')"
+        out = f"regexp_replace({out}, '{licenses.RESERVED}', ' ', 'g')"
         out = f"""' ' || regexp_replace({out}, '{licenses.NOT_WORDS}', '  ', 'g') || ' '"""
         for spelling, same in licenses.SPELLINGS.items():
             out = f"replace({out}, ' {spelling.replace(' ', '  ')} ', ' {same.replace(' ', '  ')} ')"

@@ -57,6 +57,18 @@ def test_any_number_of_languages_and_every_place_of_a_text(spark):
     assert set(known) == {r[2] for r in rows} and b"omega" in known["long"] and b"alpha" in known["long"]
 
 
+def test_a_rare_language_leaves_the_others_alone(spark, sf):
+    """One short document of a new language changes no dictionary of another, and texts in it are still found."""
+    docs = queries.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rare = "zzyx qwv qwv zzyx kjh vbn " * 3
+    more = docs.union(spark.createDataFrame([(10**9, rare, "rare")], "doc_id long, text string, lang string"))
+    alone, beside = language_id.learn_dictionaries(docs), language_id.learn_dictionaries(more)
+    assert beside.pop("rare").decode().split() == rare.split() and beside == alone
+    assert len({len(v) // 256 for v in alone.values() if len(v) > 16_000}) <= 2 and all(len(v) <= 16_384 for v in alone.values())
+    probe = spark.createDataFrame([(1, "qwv zzyx vbn kjh zzyx qwv")], "doc_id long, text string")
+    assert language_id.identify_languages(probe, language_id.learn_dictionaries(more)).first()["lang_pred"] == "rare"
+
+
 def test_predictions_are_naive_compressions(spark):
     """The language is the one whose dictionary makes the sum of compressed chunks smallest."""
     import re
@@ -176,6 +188,28 @@ def test_license_files(spark):
     assert len({r["digest"] for r in licenses.license_table(spark).collect()}) == len(licenses.forms())
 
 
+def test_copyright_statements(spark):
+    """Statements without a year, long ones, those over two lines, and several; clauses that speak of copyright stay."""
+    L = licenses.LICENSES
+    names = ", ".join(f"Contributor Number{i} of Somewhere" for i in range(20))
+    heads = ["Copyright The Foo Authors", "Copyright by X, 2020", f"Copyright (c) 2020 {names}", f"Copyright {names}", "Copyright (c) 2020 The Very Long\nFoundation for Names", "Copyright (c) 2019 A,\n  B,\n  and C", "© Jane", "(c) Copyright 2019 Jane"]
+    heads += ["Copyright 2018 A\nCopyright 2019 B\nCopyright The C Authors\nCopyright 2020 D. All rights reserved.", " * Copyright Android Project", "Copyright 2020 The\nFoo Authors.\nAll rights reserved"]
+    rows = [(i, f"{top}{h}\n\n{L['MIT']}", "MIT") for i, (top, h) in enumerate((t, h) for t in ("", "MIT License\n\n") for h in heads)]
+    rows += [(100 + i, f"{h}\n{L['BSD-2-Clause']}", "BSD-2-Clause") for i, h in enumerate(heads)]
+    wrapped = "\n".join(L["BSD-3-Clause"].replace("copyright notice", "\ncopyright notice").replace("COPYRIGHT HOLDER", "\nCOPYRIGHT HOLDER").split("\n"))
+    rows += [(200, wrapped, "BSD-3-Clause"), (201, L["Unlicense"].replace("copyright interest", "\ncopyright interest").replace("copyright law", "\ncopyright law"), "Unlicense")]
+    # What isn't a statement keeps its place, so that these are no licences.
+    junk = "This text is about other things, at some length, so that nobody takes it for a name or for two of them; it goes on and on."
+    rows += [(300, f"Copyright 2020 X\n{junk}\n\n{L['MIT']}", None), (301, f"Some words. Copyright 2020 X {junk} {junk} {junk}\n{L['MIT']}", None), (302, f"Copyright notice, to be read.\n\n{L['MIT']}", None), (303, f"(c) You may sell it.\n\n{L['MIT']}", None), (304, f"Copyright 2020 X\n\nA paragraph.\n\n{L['MIT']}", None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(df, licenses.license_table(spark)).collect()}
+    assert {i: found[i] for i, _, _ in rows} == {i: x for i, _, x in rows}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {r[0]: r[3] for r in con.execute(queries.SQL["op3_licenses"]).fetchall()} == found
+
+
 # ---- quality
 
 
