@@ -1,4 +1,4 @@
-"""Images as pixel tables: PNG of 8 and 16 bits and uncompressed TIFF; JPEG and BMP through Spark's image source."""
+"""Images as pixel tables: PNG and TIFF by their headers; JPEG and BMP through Spark's image source."""
 
 from __future__ import annotations
 
@@ -14,18 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# File kinds that are images, and the limits on their size.
+from .decoders import MAX_PIXELS, MAX_SIDE, PNG, check_size, decode, dimensions  # noqa: F401
+
+# File kinds that are images.
 OWN_EXTENSIONS, JVM_EXTENSIONS = (".png", ".tif", ".tiff"), (".jpg", ".jpeg", ".bmp")
 EXTENSIONS = OWN_EXTENSIONS + JVM_EXTENSIONS
 OTHER_EXTENSIONS = (".exr", ".dpx", ".hdr")
-MAX_SIDE, MAX_PIXELS = 16_384, 100_000_000
 SCHEMA = "image_id string, y int, x int, r double, g double, b double"
-_PNG = b"\x89PNG\r\n\x1a\n"
-
-
-def check_size(width: int, height: int) -> None:
-    if width < 1 or height < 1 or max(width, height) > MAX_SIDE or width * height > MAX_PIXELS:
-        raise ValueError(f"{width} x {height} is outside 1 to {MAX_SIDE} a side and {MAX_PIXELS} pixels")
 
 
 def check_input(path: str | Path) -> Path | str:
@@ -56,88 +51,6 @@ def located(path: str | Path) -> str:
     return str(path) if "://" in str(path) else str(Path(path).resolve())
 
 
-def dimensions(raw: bytes) -> tuple[int, int]:
-    """Width and height from the header alone."""
-    if raw[:8] == _PNG:
-        return struct.unpack(">II", raw[16:24])
-    tags = _tiff_tags(raw)
-    return tags[256][0], tags[257][0]
-
-
-def decode(raw: bytes) -> np.ndarray:
-    """(height, width, 3) doubles, 0 to 1 for integer samples; grey is repeated, alpha dropped."""
-    width, height = dimensions(raw)
-    check_size(width, height)
-    out = _png(raw, width, height) if raw[:8] == _PNG else _tiff(raw, width, height)
-    return np.repeat(out[:, :, :1], 3, axis=2) if out.shape[2] < 3 else out[:, :, :3]
-
-
-def _png(raw: bytes, width: int, height: int) -> np.ndarray:
-    depth, kind, _, _, interlaced = raw[24:29]
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind)
-    if channels is None or depth not in (8, 16) or interlaced:
-        raise ValueError("a PNG of 8 or 16 bits, grey or colour, not interlaced, is needed")
-    at, parts = 8, []
-    while at < len(raw):
-        (size,), name = struct.unpack(">I", raw[at : at + 4]), raw[at + 4 : at + 8]
-        if name == b"IDAT":
-            parts.append(raw[at + 8 : at + 8 + size])
-        at += size + 12
-    step = channels * depth // 8
-    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
-    above = np.zeros(width * step, np.int32)
-    for y in range(height):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int32)
-        if kind == 1:
-            line = np.cumsum(line.reshape(width, step), axis=0).ravel()
-        elif kind == 2:
-            line = line + above
-        elif kind in (3, 4):
-            line = line.tolist()
-            for i, up in enumerate(above.tolist()):
-                left = line[i - step] if i >= step else 0
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    corner = int(above[i - step]) if i >= step else 0
-                    guess = min(((abs(up - corner), 0, left), (abs(left - corner), 1, up), (abs(left + up - 2 * corner), 2, corner)))[2]
-                line[i] = (line[i] + guess) & 255
-        above = np.asarray(line, np.int32) & 255
-        out[y] = above
-    if depth == 16:
-        return out.view(">u2").reshape(height, width, channels) / 65535.0
-    return out.reshape(height, width, channels) / 255.0
-
-
-def _tiff_tags(raw: bytes) -> dict[int, tuple]:
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
-        raise ValueError("neither PNG nor TIFF")
-    (at,) = struct.unpack(order + "I", raw[4:8])
-    (n,) = struct.unpack(order + "H", raw[at : at + 2])
-    tags: dict[int, tuple] = {0: (order,)}
-    for i in range(n):
-        tag, kind, count, _ = struct.unpack(order + "HHII", raw[at + 2 + 12 * i : at + 14 + 12 * i])
-        code = {1: "B", 3: "H", 4: "I"}.get(kind)
-        if code:
-            size, place = struct.calcsize(code) * count, at + 10 + 12 * i
-            if size > 4:
-                (place,) = struct.unpack(order + "I", raw[place : place + 4])
-            tags[tag] = struct.unpack(order + code * count, raw[place : place + size])
-    return tags
-
-
-def _tiff(raw: bytes, width: int, height: int) -> np.ndarray:
-    tags = _tiff_tags(raw)
-    bits, channels, float_ = tags.get(258, (1,))[0], tags.get(277, (1,))[0], tags.get(339, (1,))[0] == 3
-    if tags.get(259, (1,))[0] != 1 or tags.get(284, (1,))[0] != 1 or bits not in ((32,) if float_ else (8, 16)):
-        raise ValueError("an uncompressed TIFF of 8, 16 or 32 (float) bits is needed")
-    body = b"".join(raw[o : o + n] for o, n in zip(tags[273], tags[279]))
-    flat = np.frombuffer(body, f"{tags[0][0]}{'f' if float_ else 'u'}{bits // 8}", width * height * channels)
-    return flat.reshape(height, width, channels) / (1.0 if float_ else 2.0**bits - 1)
-
-
 def _chunk(name: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
 
@@ -146,7 +59,7 @@ def _png_start(width: int, height: int, bits: int) -> bytes:
     if bits not in (8, 16):
         raise ValueError("8 or 16 bits")
     check_size(width, height)
-    return _PNG + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, 2, 0, 0, 0))
+    return PNG + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, 2, 0, 0, 0))
 
 
 def _scanlines(pixels: np.ndarray, bits: int) -> bytes:
