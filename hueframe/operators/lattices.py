@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -250,18 +252,67 @@ def hald_readout(plate: DataFrame, level: int) -> DataFrame:
     return plate.select("lut_id", flat_index(*(c.cast("long") for c in parts), n).alias("node_id"), *RGB)
 
 
+#: Output pixels a side of the tiles in which images are scaled.
+TILE = 256
+
+
+def _tiles_of(at: str, old: str, new: str) -> Column:
+    """The tiles of output places along one axis that source place `at` has a part in; null if it has none."""
+    # A place of the output reads the two source places around it, so that it is less than one from either.
+    step = (F.col(old) - 1) / (F.col(new) - 1)
+    whole = (F.col(new) == 1) | (F.col(old) == 1)
+    low = F.when(whole, F.lit(0.0)).otherwise(F.greatest(F.ceil((F.col(at) - 1) / step - 1e-6), F.lit(0)))
+    high = F.when(whole, F.col(new) - 1.0).otherwise(F.least(F.floor((F.col(at) + 1) / step + 1e-6), F.col(new) - 1))
+    return F.when((low <= high) & (~whole | (F.col(at) == 0)), F.sequence(F.floor(low / TILE).cast("int"), F.floor(high / TILE).cast("int")))
+
+
+def _axis(tile: int, old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Output places of a tile, the lower source place that each reads, and the weight of the upper one."""
+    out = np.arange(tile * TILE, min((tile + 1) * TILE, new))
+    at = out * (old - 1) / (new - 1) if new > 1 else np.zeros(1)
+    low = np.maximum(np.minimum(np.floor(at).astype(np.int64), old - 2), 0)
+    return out, low, at - low
+
+
+def _scaled_tile(key: tuple, rows: pa.Table) -> pa.Table:
+    """One tile of output pixels, gathered from the source pixels around it; a place none of whose source pixels is there has no row."""
+    image, tile_y, tile_x, h, w, height, width = (k.as_py() for k in key)
+    (oy, y0, fy), (ox, x0, fx) = _axis(tile_y, h, height), _axis(tile_x, w, width)
+    lines, columns = np.unique([y0, y0 + 1]), np.unique([x0, x0 + 1])
+    y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+    near = np.isin(y, lines) & np.isin(x, columns)
+    place = (np.searchsorted(lines, y) * len(columns) + np.searchsorted(columns, x))[near]
+    shape = len(lines), len(columns)
+    held = lambda v, f=None: np.bincount(v, f, shape[0] * shape[1]).reshape(shape)
+    there, values = held(place) > 0, []
+    for c in RGB:
+        given = rows[c].is_valid().to_numpy()[near]
+        # Nulls count for nothing, as in a sum.
+        values.append((held(place[given], rows[c].fill_null(0.0).to_numpy()[near][given]), held(place[given]) > 0))
+    size = len(oy), len(ox)
+    seen, sums, known = np.zeros(size, bool), np.zeros((3, *size)), np.zeros((3, *size), bool)
+    for dy, wy in ((0, 1.0 - fy), (1, fy)):
+        for dx, wx in ((0, 1.0 - fx), (1, fx)):
+            weight, at = np.outer(wy, wx), np.ix_(np.searchsorted(lines, y0 + dy), np.searchsorted(columns, x0 + dx))
+            used = (weight > 0) & there[at]
+            seen |= used
+            for c, (sum_, given) in enumerate(values):
+                some = used & given[at]
+                sums[c][some] += (weight * sum_[at])[some]
+                known[c] |= some
+    iy, ix = np.nonzero(seen)
+    out = {"image_id": pa.array([image] * len(iy), pa.string()), "y": pa.array(oy[iy], pa.int32()), "x": pa.array(ox[ix], pa.int32())}
+    return pa.table(out | {c: pa.array(sums[i][iy, ix], pa.float64(), mask=~known[i][iy, ix]) for i, c in enumerate(RGB)})
+
+
 def resize(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Images (image_id, y, x, r, g, b) scaled bilinearly to sizes (image_id, height, width), corners onto corners."""
+    """Images (image_id, y, x, r, g, b) scaled bilinearly to sizes (image_id, height, width), corners onto corners.
+
+    Source pixels go once to each tile of 256 x 256 output pixels that reads them: those on a tile's rim go to its neighbour too, those
+    that no output pixel reads go nowhere. A tile reads at most four source pixels for each of its own, however far an image is scaled.
+    """
     own = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    both = own.join(sizes, "image_id")
-    grid = both.select("*", F.explode(F.sequence(F.lit(0), (F.col("height") - 1).cast("int"))).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), (F.col("width") - 1).cast("int"))).alias("ox"))
-
-    def place(o: str, new: str, old: str) -> Column:
-        return F.when(F.col(new) > 1, F.col(o) * (F.col(old) - 1) / (F.col(new) - 1)).otherwise(F.lit(0.0))
-
-    grid = grid.withColumns({"sy": place("oy", "height", "h"), "sx": place("ox", "width", "w")})
-    grid = grid.withColumns({"y0": F.greatest(F.least(F.floor("sy"), F.col("h") - 2), F.lit(0)), "x0": F.greatest(F.least(F.floor("sx"), F.col("w") - 2), F.lit(0))})
-    fy, fx = F.col("sy") - F.col("y0"), F.col("sx") - F.col("x0")
-    near = F.array(*(F.struct((F.col("y0") + dy).alias("y"), (F.col("x0") + dx).alias("x"), ((fy if dy else 1.0 - fy) * (fx if dx else 1.0 - fx)).alias("wt")) for dy in (0, 1) for dx in (0, 1)))
-    parts = grid.select("image_id", "oy", "ox", F.explode(near).alias("p")).where("p.wt > 0").select("image_id", "oy", "ox", F.col("p.y").cast("int").alias("y"), F.col("p.x").cast("int").alias("x"), F.col("p.wt").alias("wt"))
-    return parts.join(pixels, ["image_id", "y", "x"]).groupBy("image_id", "oy", "ox").agg(*(F.sum(F.col("wt") * F.col(c)).alias(c) for c in RGB)).select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *RGB)
+    both = own.join(sizes, "image_id").select("image_id", *(F.col(c).cast("int").alias(c) for c in ("h", "w", "height", "width")))
+    rows = pixels.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.col(c).cast("double").alias(c) for c in RGB)).join(both, "image_id")
+    tiles = rows.withColumn("ty", F.explode(_tiles_of("y", "h", "height"))).withColumn("tx", F.explode(_tiles_of("x", "w", "width")))
+    return tiles.groupBy("image_id", "ty", "tx", "h", "w", "height", "width").applyInArrow(_scaled_tile, "image_id string, y int, x int, r double, g double, b double")

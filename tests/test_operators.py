@@ -117,6 +117,52 @@ def test_resize(spark):
     assert len(out) == 15 and all(r["r"] == pytest.approx(2 * r["x"]) and r["g"] == pytest.approx(2 * r["y"]) and r["b"] == pytest.approx(1) for r in out)
 
 
+@pytest.mark.parametrize("old, new", [((5, 9), (3, 5)), ((7, 3), (600, 2)), ((1, 4), (5, 1)), ((2, 1), (1, 3)), ((40, 700), (3, 520)), ((6, 6), (6, 6)), ((3, 3), (1, 1))])
+def test_resize_is_the_plain_sum(spark, old, new):
+    """Over several tiles, up and down, sides of one pixel, with missing, null and repeated pixels: each place is the sum over its neighbours."""
+    import math
+    import random
+
+    rng = random.Random(old[1] * new[0])
+    every = [("i", y, x, *(None if rng.random() < 0.05 else rng.random() for _ in "rgb")) for y in range(old[0]) for x in range(old[1]) if rng.random() < 0.9 or (y, x) in ((old[0] - 1, 0), (0, old[1] - 1))]
+    every += every[:1] + [("other", 0, 0, 0.1, 0.2, 0.3), (None, 0, 0, 0.1, 0.2, 0.3)]
+    schema = "image_id string, y int, x int, r double, g double, b double"
+    found = lattices.resize(spark.createDataFrame(every, schema), spark.createDataFrame([("i", *new), ("absent", 2, 2)], "image_id string, height int, width int")).collect()
+    cells = {}
+    for image, y, x, *colour in every:
+        if image == "i":
+            cells.setdefault((y, x), []).append(colour)
+    want = {}
+    for oy in range(new[0]):
+        for ox in range(new[1]):
+            sy, sx = (o * (a - 1) / (b - 1) if b > 1 else 0.0 for o, a, b in zip((oy, ox), old, new))
+            y0, x0 = (max(min(math.floor(s), a - 2), 0) for s, a in zip((sy, sx), old))
+            for y, wy in ((y0, 1 - sy + y0), (y0 + 1, sy - y0)):
+                for x, wx in ((x0, 1 - sx + x0), (x0 + 1, sx - x0)):
+                    if wy * wx > 0 and (y, x) in cells:
+                        now = want.setdefault((oy, ox), [None] * 3)
+                        for c in range(3):
+                            for v in (k[c] for k in cells[y, x] if k[c] is not None):
+                                now[c] = (now[c] or 0.0) + wy * wx * v
+    got = {(r["y"], r["x"]): [r["r"], r["g"], r["b"]] for r in found}
+    assert len(found) == len(got) and set(got) == set(want) and {r["image_id"] for r in found} == {"i"}
+    assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-12) for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_resize_sends_pixels_once(spark):
+    """One exchange has pixels in it, and pixels that no output reads stay behind."""
+    import io
+    from contextlib import redirect_stdout
+
+    img = spark.range(300 * 300).select(F.lit("i").alias("image_id"), F.floor(F.col("id") / 300).alias("y"), (F.col("id") % 300).alias("x"), *(F.rand(1).alias(c) for c in "rgb"))
+    out = lattices.resize(img, spark.createDataFrame([("i", 10, 10)], "image_id string, height int, width int"))
+    assert out.count() == 100
+    with redirect_stdout(io.StringIO()) as text:
+        out.explain()
+    plan = text.getvalue().split("== Initial Plan ==")[-1]
+    assert sum("Exchange hashpartitioning" in line and "ty#" in line for line in plan.split("\n")) == 1
+
+
 def test_shadow_smoothing_keeps_constants_and_lights(spark):
     flat = lattices.identity_lattice(spark, 5).withColumns({k: F.lit(0.3) for k in "rgb"})
     assert np.allclose(as_array(lattices.smooth_shadows(flat, 5), 5), 0.3)
