@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
+import threading
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +29,52 @@ STAGE_WEIGHTS = {"preprocess": 10, "sampling": 20, "solving": 50, "refinement":
 
 
 class Cancelled(RuntimeError):
-    """The caller's `cancel` said so between two stages."""
+    """The caller's `cancel` said so, between two stages or within one."""
+
+
+@contextmanager
+def cancellable(spark: SparkSession, cancel: Cancel | None, every: float = 0.2) -> Iterator[None]:
+    """Runs what is inside under a tag of its own; when `cancel` says so, a watcher ends the tag's jobs, those that start later too.
+
+    `cancel` is asked from the watcher's thread, every `every` seconds. Other jobs of the session go on.
+    """
+    if cancel is None:
+        yield
+        return
+    tag, over, said = f"run-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        while not over.wait(every):
+            if said.is_set() or cancel():
+                said.set()
+                spark.sparkContext.cancelJobsWithTag(tag)
+
+    spark.sparkContext.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    except Exception as problem:
+        if said.is_set() and not isinstance(problem, Cancelled):
+            raise Cancelled("within a stage") from problem
+        raise
+    finally:
+        over.set()
+        watcher.join()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def _stoppable(job: Callable) -> Callable:
+    """A job with parameters `spark` and `cancel`, made cancellable."""
+    signature = inspect.signature(job)
+
+    @wraps(job)
+    def run(*args, **kwargs):
+        given = signature.bind(*args, **kwargs).arguments
+        with cancellable(given["spark"], given.get("cancel")):
+            return job(*args, **kwargs)
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -167,6 +217,7 @@ def prepare(pixels: DataFrame, options: Options = Options(), pairs: DataFrame |
     return Prepared(rows, kept(counts.join(weights, "pair_id").join(transfers, "pair_id", "left")), ready)
 
 
+@_stoppable
 def fit_groups(spark: SparkSession, ready: Prepared, members: DataFrame, options: Options, outputs: dict[str, str | Path | None], progress: Progress | None = None, cancel: Cancel | None = None) -> dict[str, Result]:
     """A lattice for each lut_id of `members` (lut_id, pair_id), all fitted by the same Spark jobs from the same bins.
 
@@ -215,6 +266,7 @@ def fit_groups(spark: SparkSession, ready: Prepared, members: DataFrame, options
     return results
 
 
+@_stoppable
 def extract(spark: SparkSession, pixels: DataFrame, options: Options = Options(), output: str | Path | None = None, pairs: DataFrame | None = None, progress: Progress | None = None, cancel: Cancel | None = None) -> Result:
     """A lattice "master" from pixel pairs (pair_id, y, x, sr..tb), of one pair or several; `pairs` (pair_id, weight, transfer_fn, normalization) says how each counts. See `fit_groups`."""
     step = _Steps(progress, cancel)
@@ -225,12 +277,14 @@ def extract(spark: SparkSession, pixels: DataFrame, options: Options = Options()
     return fit_groups(spark, ready, members, options, {"master": output}, progress, cancel)["master"]
 
 
+@_stoppable
 def extract_pair(spark: SparkSession, source: str, target: str, output: str | Path | None = None, options: Options = Options(), progress: Progress | None = None, cancel: Cancel | None = None) -> Result:
     """A lattice from two image files."""
     rows = spark.createDataFrame([("pair", images.located(source), images.located(target))], "pair_id string, source string, target string")
     return extract(spark, image_pairs(spark, rows), options, output, progress=progress, cancel=cancel)
 
 
+@_stoppable
 def extract_batch(spark: SparkSession, manifest: str, output: str | Path, options: Options = Options(), cluster: str = "none", clusters: int = 2, most_clusters: int = 6, reports: str | Path | None = None, progress: Progress | None = None, cancel: Cancel | None = None) -> dict[str, Result]:
     """Lattices from a manifest of pairs: "master" over all, and one for each cluster.
 

@@ -200,6 +200,33 @@ def test_extract_one_pair(spark, tmp_path):
         plans.extract_pair(spark, source, target, options=OPTIONS, cancel=lambda: True)
 
 
+def test_cancel_within_a_stage(spark):
+    """A job of minutes ends within seconds of the caller's word, and later jobs of the session run."""
+    import threading
+    import time
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(120)
+            yield b
+
+    stop, began = threading.Event(), time.time()
+    threading.Timer(2.0, stop.set).start()
+    with pytest.raises(plans.Cancelled, match="within"), plans.cancellable(spark, stop.is_set):
+        spark.range(8, numPartitions=2).mapInArrow(slow, "id long").count()
+    assert time.time() - began < 40 and spark.range(5).count() == 5
+    # An error of the job's own stays what it is.
+    with pytest.raises(ZeroDivisionError), plans.cancellable(spark, lambda: False):
+        1 / 0
+    # A fit that is told to end while it solves doesn't come to its measures.
+    rows = [("p", y, x, *(min(max(v, 0.0), 1.0) for v in (x / 23, y / 23, (x + y) / 46)), *(min(1.1 * v, 1.0) for v in (x / 23, y / 23, (x + y) / 46))) for y in range(24) for x in range(24)]
+    pixels = spark.createDataFrame(rows, "pair_id string, y int, x int, sr double, sg double, sb double, tr double, tg double, tb double")
+    stages = []
+    with pytest.raises(plans.Cancelled, match="within"):
+        plans.extract(spark, pixels, OPTIONS, progress=lambda s, f, m: stages.append(s), cancel=lambda: "solving" in stages)
+    assert "validation" not in stages and spark.range(5).count() == 5
+
+
 @pytest.fixture(scope="module")
 def batch(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("batch")
