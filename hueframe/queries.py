@@ -691,11 +691,11 @@ def prior_terms(spark, d):
     return rounded(X.prior_rows(N.distance_to_data(occ, NODES), NODES, 0.01))
 
 
-@query(f"{PS}, {S.applied('tetrahedral', 'samples').split(', pred AS')[0].replace(chr(10) + 'pred AS', '')}, m AS (SELECT pair_id, bin_id, sqrt(alpha) AS root FROM samples) SELECT c.pair_id, c.bin_id, round(sum(root * w), 6) + 0.0 AS val, round(sum(root * w * node_id), 6) + 0.0 AS at FROM corner c JOIN m USING (pair_id, bin_id) GROUP BY 1, 2")
+@query(f"{PS}, {S.applied('tetrahedral', 'samples').split(', pred AS')[0].replace(chr(10) + 'pred AS', '')}, m AS (SELECT pair_id, bin_id, sqrt(alpha) AS root FROM samples) SELECT c.pair_id, c.bin_id, node_id AS node, round(sum(root * w), 6) + 0.0 AS val FROM corner c JOIN m USING (pair_id, bin_id) GROUP BY 1, 2, 3")
 def data_matrix(spark, d):
-    """The rows of the data matrix times a vector of ones and one of node numbers: nothing is left out, and no corner of weight nearly zero decides a row's presence."""
+    """The entries of the data matrix: each sample's row has all corners of its tetrahedron, as the reference stores them, those of weight zero too."""
     rows = X.data_rows(samples(spark, d), NODES, "tetrahedral")
-    return rounded(rows.groupBy("pair_id", "bin_id").agg(F.sum("val").alias("val"), F.sum(F.col("val") * F.col("node")).alias("at")))
+    return rounded(rows.groupBy("pair_id", "bin_id", F.col("node").cast("long").alias("node")).agg(F.sum("val").alias("val")))
 
 
 def _letters(spark, d):

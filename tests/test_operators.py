@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hueframe import queries
 from hueframe.operators import binning, clustering, curves, fitting, lattices, numbering, routing, signatures, statistics
 from hueframe.operators.fitting import FitOptions
 from hueframe.streaming.bins import running_bins
@@ -402,3 +403,14 @@ def test_reports(spark):
     assert out.columns == list(signatures.METRICS)
     row = out.first()
     assert row["mean_de2000"] == "1.2346" and row["max_de2000"] == "" and row["cluster_indices"] == ""
+
+
+def test_data_matrix_has_all_entries(spark, sf):
+    """Each sample has the four corners of its tetrahedron, whose values add up to the root of its weight."""
+    rows = queries.data_matrix(spark, sf).collect()
+    roots = {(r["pair_id"], r["bin_id"]): r["alpha"] ** 0.5 for r in queries.samples(spark, sf).select("pair_id", "bin_id", "alpha").collect()}
+    assert len(rows) == 4 * len(roots) == len({(r["pair_id"], r["bin_id"], r["node"]) for r in rows})
+    sums = dict.fromkeys(roots, 0.0)
+    for r in rows:
+        sums[r["pair_id"], r["bin_id"]] += r["val"]
+    assert sums == pytest.approx(roots, abs=4e-6)
