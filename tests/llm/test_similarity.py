@@ -254,3 +254,27 @@ def test_repeated_rows_take_no_places(spark, same):
     for lists in (1, 4):
         got = nearest.nearest_neighbours(df, F.col("vec_id") == 0, lists=lists, probe_share=1.0, shortlist=59).orderBy("rank").collect()
         assert [r["vec_id"] for r in got] == [i for _, i in want] and np.allclose([r["score"] for r in got], [d for d, _ in want])
+
+
+@pytest.mark.parametrize("shape", ["plain", "ball", "scales", "far", "copies"])
+def test_no_neighbour_is_missed(spark, shape):
+    """Unstructured vectors, a tight group that codes can't tell apart, very different scales, vectors far from zero, and copies."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 24))
+    if shape == "ball":
+        x = np.where(rng.random((4000, 1)) < 0.4, 1 + 1e-3 * x, 100 * x)
+    elif shape == "scales":
+        x *= 10.0 ** rng.uniform(-4, 4, size=(4000, 1))
+    elif shape == "far":
+        x = 1e6 + 1e-2 * x
+    elif shape == "copies":
+        x[rng.random(4000) < 0.5] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest_neighbours(df, F.col("vec_id") % 100 == 0, sample=600).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert len(got) == 40
+    for q, mine in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(4000), d)) if i != q][:10]
+        assert [mine[n + 1] for n in range(10)] == [(i, pytest.approx(d[i], rel=1e-12)) for i in want]
