@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices
-from .token_counts import _model
+from .token_counts import patterns
 
 #: Words after which a block of documents closes.
 BLOCK = 1 << 23
 #: Distinct words after which it closes.
 DISTINCT = 1 << 20
+#: Places of words that are worked on at once.
+PART = 1 << 18
 
 
 class _Numbers(dict):
@@ -54,18 +56,23 @@ def split_documents(df: DataFrame, path: str, block_words: int = BLOCK) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, pattern, special = _model(path)
-        pack = zstandard.ZstdCompressor(3).compress
+        pattern, special = patterns(path)
         block = TaskContext.get().partitionId() << 33
         numbers, refs, ids, counts = _Numbers(), array("I"), [], []
 
         def close() -> pa.RecordBatch:
             words, given = sorted(numbers), np.frombuffer(refs, np.uint32)
             rank = np.empty(len(words), np.uint32)
-            rank[np.argsort(-np.bincount(given, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            # A part of the places at a time: they are most of a block, and numpy widens what it counts.
+            parts = [given[at : at + PART] for at in range(0, len(given), PART)]
+            times = np.zeros(len(words), np.int64)
+            for part in parts:
+                times += np.bincount(part, minlength=len(words))
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(words), dtype=np.uint32)
             ats = rank[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))]
-            planes = np.ascontiguousarray(rank[given].view(np.uint8).reshape(len(given), 4).T)
-            row = [[block], [ids], [counts], [pack(planes.tobytes())], [words], [ats]]
+            pack = zstandard.ZstdCompressor(3).compressobj(size=given.nbytes)
+            packed = [pack.compress((rank[part] >> shift).astype(np.uint8).tobytes()) for shift in (0, 8, 16, 24) for part in parts]
+            row = [[block], [ids], [counts], [b"".join([*packed, pack.flush()])], [words], [ats]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["block", "ids", "counts", "refs", "words", "ats"])
 
@@ -81,11 +88,15 @@ def split_documents(df: DataFrame, path: str, block_words: int = BLOCK) -> DataF
                     ids.append(key)
                     counts.append(len(refs) - had)
                     if len(refs) >= block_words or len(numbers) >= DISTINCT:
-                        yield close()
-                        block += 1
+                        done = close()
                         numbers, refs, ids, counts = _Numbers(), array("I"), [], []
+                        yield done
+                        del done
+                        block += 1
         if ids:
-            yield close()
+            done = close()
+            del numbers, refs, ids, counts
+            yield done
 
     return df.mapInArrow(run, "block long, ids array<long>, counts array<long>, refs binary, words array<string>, ats array<int>")
 
@@ -196,57 +207,85 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs of `sizes` that begin at `starts`, one run after the other, and where each begins among them."""
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    return np.repeat(starts - before[:-1], sizes) + np.arange(before[-1]), before
+
+
+def _joined(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, part: int = 1 << 15) -> bytes:
+    """The runs of `sizes` bytes that begin at `starts`, a part at a time, since places take more room than letters."""
+    return b"".join(letters[_runs(starts[i : i + part], sizes[i : i + part])[0]].tobytes() for i in range(0, len(starts), part))
+
+
 class _Coded:
-    """What the words of a block stand for: ids of word i are flat[offsets[i] : offsets[i + 1]], its bytes pieces[i]."""
+    """What the words of a block stand for: ids of word i are flat[offsets[i] : offsets[i + 1]], its bytes spelled[ends[i] : ends[i + 1]]."""
 
-    def __init__(self, packs: list[bytes], words: int):
+    def __init__(self, packs: pa.BinaryArray, words: int):
         unpack = zstandard.ZstdDecompressor().decompress
         at, nth, ids, of = [], [], [], {}
         for p in packs:
-            cut = 8 + int.from_bytes(p[:8], "little")
+            p = p.as_buffer()
+            cut = 8 + int.from_bytes(p[:8].to_pybytes(), "little")
             table = pa.ipc.open_stream(unpack(p[8:cut])).read_all()
-            at.append(np.cumsum(table.column(0).to_numpy()))
+            at.append(np.cumsum(table.column(0).to_numpy(), dtype=np.int32))
             nth.append(table.column(1).to_numpy())
             ids.append(table.column(2).to_numpy())
             pieces = pa.ipc.open_stream(unpack(p[cut:])).read_all()
             of.update(zip(pieces.column(0).to_pylist(), pieces.column(1).to_pylist()))
         at, nth, ids = (np.concatenate(x) for x in (at, nth, ids))
-        order = np.lexsort((nth, at))
-        self.flat = ids[order]
+        self.flat = ids[np.lexsort((nth, at))]
         self.sizes = np.bincount(at, minlength=words)
+        del at, nth, ids
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        spelled, ends = [of[i] for i in self.flat.tolist()], self.offsets.tolist()
-        self.pieces = [b"".join(spelled[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        # Bytes of the distinct ids, then of all ids in order: no object for each word.
+        known = np.array(sorted(of), np.int64)
+        every = np.frombuffer(b"".join(map(of.__getitem__, known.tolist())), np.uint8)
+        lengths = np.fromiter((len(of[i]) for i in known.tolist()), np.int64, len(known))
+        which = np.searchsorted(known, self.flat)
+        sizes = lengths[which]
+        self.spelled = np.frombuffer(_joined(every, (np.cumsum(lengths) - lengths)[which], sizes), np.uint8)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])[self.offsets]
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks and what their words stand for, to documents."""
-    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, counts = (batch.column(i)[row].values for i in (0, 1))
-            planes = np.frombuffer(unpack(batch.column(2)[row].as_py()), np.uint8)
-            refs = np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view(np.uint32).ravel()
-            coded = _Coded(batch.column(3)[row].as_py(), int(refs.max()) + 1) if len(refs) else None
-            ends = np.cumsum(counts.to_numpy())
-            # A few documents at a time: what they give stays small beside the block.
-            at = 0
-            while at < len(ends):
-                start = int(ends[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, start + (1 << 17), side="right")))
-                here = refs[start : int(ends[to - 1])]
-                cuts = np.concatenate([[0], ends[at:to] - start])
-                if len(here):
-                    n = coded.sizes[here]
-                    before = np.concatenate([[0], np.cumsum(n)])
-                    got = coded.flat[np.repeat(coded.offsets[here] - before[:-1], n) + np.arange(before[-1])]
-                    spelled = list(map(coded.pieces.__getitem__, here.tolist()))
-                else:
-                    before, got, spelled = np.zeros(1, np.int64), np.zeros(0, np.int32), []
-                texts = [b"".join(spelled[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                lists = pa.ListArray.from_arrays(pa.array(before[cuts].astype(np.int32)), pa.array(got.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), lists, pa.array([t.decode("utf-8", "replace") for t in texts])], names=["doc_id", "ids", "decoded"])
-                at = to
+            yield from _documents(batch, row)
+
+
+def _documents(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+    """The documents of one block; what it needs goes when it is done."""
+    ids, counts = (batch.column(i)[row].values for i in (0, 1))
+    packed = zstandard.ZstdDecompressor().decompress(batch.column(2)[row].as_buffer())
+    planes = np.frombuffer(packed, np.uint8).reshape(4, len(packed) // 4)
+    refs = planes[3].astype(np.uint32)
+    for plane in planes[2::-1]:
+        refs <<= 8
+        refs |= plane
+    del packed, planes
+    coded = _Coded(batch.column(3)[row].values, int(refs.max()) + 1) if len(refs) else None
+    ends = np.cumsum(counts.to_numpy())
+    # A few documents at a time: what they give stays small beside the block.
+    at = 0
+    while at < len(ends):
+        start = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, start + (1 << 17), side="right")))
+        here = refs[start : int(ends[to - 1])]
+        cuts = np.concatenate([[0], ends[at:to] - start])
+        if len(here):
+            places, before = _runs(coded.offsets[here], coded.sizes[here])
+            got = coded.flat[places]
+            sizes = coded.ends[here + 1] - coded.ends[here]
+            text = _joined(coded.spelled, coded.ends[here], sizes)
+            letters = np.concatenate([[0], np.cumsum(sizes)])[cuts].tolist()
+        else:
+            before, got, text, letters = np.zeros(1, np.int64), np.zeros(0, np.int32), b"", [0] * len(cuts)
+        lists = pa.ListArray.from_arrays(pa.array(before[cuts].astype(np.int32)), pa.array(got.astype(np.int32)))
+        texts = pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(letters[:-1], letters[1:])])
+        yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), lists, texts], names=["doc_id", "ids", "decoded"])
+        at = to
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK) -> DataFrame:

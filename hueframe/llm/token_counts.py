@@ -16,6 +16,18 @@ from pyspark.sql import functions as F
 from .common import slices
 
 
+@lru_cache(maxsize=2)
+def patterns(path: str) -> tuple[regex.Pattern, regex.Pattern | None]:
+    """Pre-token pattern and pattern of special strings of a file; only these stay in memory."""
+    with open(path, encoding="utf-8") as f:
+        specials = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    import public_tokenizers
+
+    special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+    # \s of the library is Unicode's White_Space.
+    return regex.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")), special
+
+
 @lru_cache(maxsize=2)
 def _model(path: str) -> tuple[dict[tuple[int, int], tuple[int, int]], dict[int, int], regex.Pattern, regex.Pattern | None]:
     """Merge table (pair of ids: rank, merged id), ids of single bytes, pre-token pattern and pattern of special strings."""
@@ -29,13 +41,7 @@ def _model(path: str) -> tuple[dict[tuple[int, int], tuple[int, int]], dict[int,
     # Byte-level vocabularies write the printable bytes as themselves and the others as code points from 256 on.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelled = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    specials = [t["content"] for t in spec.get("added_tokens", [])]
-    import public_tokenizers
-
-    special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-    # \s of the library is Unicode's White_Space.
-    pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-    return merges, {b: vocab[c] for b, c in spelled.items()}, pattern, special
+    return merges, {b: vocab[c] for b, c in spelled.items()}, *patterns(path)
 
 
 def merged_length(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:

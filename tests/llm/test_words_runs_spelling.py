@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from hueframe.llm import bpe, periodic_runs, queries, spelling
@@ -244,3 +247,20 @@ def test_looped_awkward_rows(spark):
             assert got["text"].split() == [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
         else:
             assert got["text"] == r["text"]
+
+
+def test_bpe_gathers_in_little_memory():
+    """A block's words are held in arrays: 200,000 of them, in a text of as many, take no object each."""
+    n = 200_000
+    given = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n, dtype=np.int32) % 50_000), pa.array([b"%05d" % (i % 50_000) for i in range(n)])], names=["block", "at", "nth", "id", "piece"])
+    packs = [p for b in bpe._pack(iter([given])) for p in b.column(1).to_pylist()]
+    refs = zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(np.arange(n, dtype=np.uint32).view(np.uint8).reshape(n, 4).T).tobytes())
+    row = pa.RecordBatch.from_arrays([pa.array([[1]], pa.list_(pa.int64())), pa.array([[n]], pa.list_(pa.int64())), pa.array([refs]), pa.array([packs], pa.list_(pa.binary()))], names=["ids", "counts", "refs", "packs"])
+    tracemalloc.start()
+    try:
+        texts = [b.column(2).to_pylist() for b in bpe._gather(iter([row]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert texts == [["".join("%05d" % (i % 50_000) for i in range(n))]]
+    assert peak < 145 * n, peak
