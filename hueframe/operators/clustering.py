@@ -118,24 +118,58 @@ def kmeans_centres(points: DataFrame, k: int, starts: int = 8, seed: int = 42) -
     return lloyd_best(points, first)[2] if first else []
 
 
-#: Points that a task compares with as many others.
-BLOCK = 2000
+#: Points of a part at most; fewer where there would be too few parts to share out.
+BLOCK = 8192
+#: Clusters up to which sums by cluster are products of matrices.
+FEW = 64
 
 
-def silhouettes(assigned: DataFrame, block: int = BLOCK) -> DataFrame:
+def silhouettes(assigned: DataFrame, block: int | None = None) -> DataFrame:
     """(id, cluster_id, a, b, s) of points (id, x, cluster_id): mean distance within, to the nearest other cluster, and the score; see `silhouettes_each`."""
     return silhouettes_each(assigned.select("id", "x", F.array("cluster_id").alias("labels")), block).drop("choice")
 
 
-def silhouettes_each(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all x from all y by a product of matrices; those that it would round, of points much closer than they are far from zero, by differences."""
+    a, b = (x**2).sum(1)[:, None], (y**2).sum(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = a + b - 2 * (x @ y.T)
+        rounded = ~(d > 1e-5 * (a + b)) | ~np.isfinite(d)
+        for i in np.flatnonzero(rounded.any(1)):
+            near = np.flatnonzero(rounded[i])
+            d[i, near] = ((y[near] - x[i]) ** 2).sum(1)
+        return np.sqrt(d, out=d)
+
+
+class _Sums:
+    """Sums of a matrix's columns by their clusters, which are numbered: a product for a few, else sums of runs."""
+
+    def __init__(self, code: np.ndarray, clusters: int):
+        self.sizes = np.bincount(code, minlength=clusters)
+        self.flat = np.eye(clusters)[code] if clusters <= FEW else None
+        self.order, self.starts = np.argsort(code, kind="stable"), np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, m: np.ndarray) -> np.ndarray:
+        return m @ self.flat if self.flat is not None else np.add.reduceat(m[:, self.order], self.starts, axis=1)
+
+
+def silhouettes_each(labelled: DataFrame, block: int | None = None) -> DataFrame:
     """(choice, id, cluster_id, a, b, s) of points (id, x, labels), `labels` an array of clusters, one for each of several choices.
 
     Every point meets every other, which the score needs and which costs the square of their number, once for all choices. Points are dealt into
-    parts of about `block`, by their count, and a part is packed into one row, which is sent once to each square that it takes
-    part in: each two parts meet in one task, a point at a time, and only a sum for each point, choice and
-    cluster is kept. A point alone in its cluster has a = 0.
+    parts of about `block`, by their count (by default at least 16 parts of 500 points and more, and at most BLOCK points a part), and a part is packed into one row, which is sent once to each square that it takes
+    part in: each two parts meet in one task, which takes their distances and sums by cluster as products of matrices. Sums of some hundred points are a row, and
+    these rows are added up by points.
+    A point alone in its cluster has a = 0.
     """
-    blocks = max(math.ceil(labelled.count() / block), 1)
+    if block is None:
+        count = labelled.count()
+        most = labelled.select(F.posexplode("labels")).groupBy("pos").agg(F.countDistinct("col").alias("n")).agg(F.max("n")).first()[0] or 0
+        # Sums by very many clusters are wide, so that parts are smaller then.
+        block = min(BLOCK if most <= FEW else 2000, max(500, count // 16))
+        blocks = max(math.ceil(count / block), 1)
+    else:
+        blocks = max(math.ceil(labelled.count() / block), 1)
     part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     packed = kept(labelled.groupBy(part.alias("p")).agg(F.array_sort(F.collect_list(F.struct("id", F.col("x").cast("array<double>").alias("x"), "labels"))).alias("v")))
     packed = packed.select("p", F.col("v.id").alias("ids"), F.flatten("v.x").alias("xs"), F.flatten("v.labels").alias("labels"))
@@ -145,36 +179,57 @@ def silhouettes_each(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def sums(parts: pd.DataFrame) -> pd.DataFrame:
         sides = []
-        for ids, xs, labels in zip(parts["ids"], parts["xs"], parts["labels"]):
+        for p, ids, xs, labels in zip(parts["p"], parts["ids"], parts["xs"], parts["labels"]):
             ids = np.asarray(ids)
-            sides.append((ids, np.reshape(xs, (len(ids), -1)), np.reshape(labels, (len(ids), -1))))
+            sides.append((p, ids, np.reshape(xs, (len(ids), -1)), np.reshape(labels, (len(ids), -1))))
+        alone = len(sides) == 1 and parts.p.iloc[0] == parts.o.iloc[0]
         out = []
-        for (ids, x, labels), (others, y, theirs) in ((sides[0], sides[0]),) if len(sides) == 1 and parts.p.iloc[0] == parts.o.iloc[0] else (sides, sides[::-1]) if len(sides) == 2 else ():
-            codes = [np.unique(theirs[:, c], return_inverse=True) for c in range(theirs.shape[1])]
-            sizes = [np.bincount(code, minlength=len(found)) for found, code in codes]
-            total = [np.zeros((len(ids), len(found))) for found, _ in codes]
-            n = [np.tile(size, (len(ids), 1)) for size in sizes]
-            for i, v in enumerate(x):
-                d, same = np.sqrt(((y - v) ** 2).sum(1)), np.flatnonzero(others == ids[i])
-                for c, (found, code) in enumerate(codes):
-                    total[c][i] = np.bincount(code, d, len(found))
-                    if len(same):
-                        n[c][i] -= np.bincount(code[same], minlength=len(found))
-            for c, (found, _) in enumerate(codes):
-                k = len(found)
-                out.append(pd.DataFrame({"choice": c, "id": np.repeat(ids, k), "cluster_id": np.repeat(labels[:, c], k), "other": np.tile(found, len(ids)), "total": total[c].ravel(), "n": n[c].ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("choice", "id", "cluster_id", "other", "total", "n")})
-
-    parts = sides.groupBy("low", "high").applyInPandas(sums, "choice int, id long, cluster_id int, other int, total double, n long")
-    key = ["choice", "id", "cluster_id"]
-    mean = parts.groupBy(*key, "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).withColumn("m", F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(0.0))
-    own = F.col("cluster_id") == F.col("other")
-    both = mean.groupBy(*key).agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
-    score = F.when(F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12)))
-    return both.withColumn("s", score)
-
-
-def auto_clusters(points: DataFrame, most: int = 6, starts: int = 8, seed: int = 42, least: float = 0.10, block: int = BLOCK) -> tuple[DataFrame, int, float]:
+        for (p, ids, x, labels), (_, _, y, theirs) in ((sides[0], sides[0]),) if alone else (sides, sides[::-1]) if len(sides) == 2 else ():
+            x, y = x - y[0], y - y[0]
+            found = [np.unique(theirs[:, c], return_inverse=True) for c in range(theirs.shape[1])]
+            by = [_Sums(code, len(names)) for names, code in found]
+            # Some hundred points at a time, all rows of an id together.
+            firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            cuts = [*firsts[np.unique(np.searchsorted(firsts, np.arange(0, len(ids), 256)).clip(max=len(firsts) - 1))], len(ids)]
+            for at, to in zip(cuts[:-1], cuts[1:]):
+                d = _distances(x[at:to], y)
+                if alone:  # rows of one id, which lie in one part, leave each other out
+                    same = ids[at:to, None] == ids
+                    d[same] = 0.0
+                for c, (names, _) in enumerate(found):
+                    n = by[c].sizes - by[c](same.astype(float)) if alone else np.tile(by[c].sizes, (to - at, 1))
+                    mine = (ids[at:to], labels[at:to, c]) if alone else ([], [])
+                    out.append((p, at, c, *mine, names, by[c](d).ravel(), n.ravel()))
+        return pd.DataFrame(out, columns=["p", "at", "choice", "ids", "labels", "others", "totals", "counts"])
+
+    def scores(parts: pd.DataFrame) -> pd.DataFrame:
+        """Sums of all squares for a few points, to their scores."""
+        own = next(i for i, ids in enumerate(parts["ids"]) if len(ids))
+        ids, labels = np.asarray(parts["ids"].iloc[own]), np.asarray(parts["labels"].iloc[own])
+        names = np.unique(np.concatenate(list(parts["others"])))
+        total, n = np.zeros((len(ids), len(names))), np.zeros((len(ids), len(names)))
+        for others, t, c in zip(parts["others"], parts["totals"], parts["counts"]):
+            at = np.searchsorted(names, others)
+            total[:, at] += np.reshape(t, (len(ids), -1))
+            n[:, at] += np.reshape(c, (len(ids), -1))
+        points, of = np.unique(np.stack([ids, labels], axis=1), axis=0, return_inverse=True)
+        if len(points) < len(ids):  # a point given twice in a cluster is one of the result
+            total, n = (np.stack([np.bincount(of.ravel(), v, len(points)) for v in m.T], axis=1) for m in (total, n))
+            ids, labels = points.T
+        mean = np.divide(total, n, out=np.zeros_like(total), where=n > 0)
+        mine = labels[:, None] == names
+        a = np.where(mine, mean, 0.0).sum(1)
+        b = np.where(mine | (n <= 0), np.inf, mean).min(1)
+        alone = np.isinf(b) & ((~mine & (n > 0)).sum(1) == 0)
+        with np.errstate(invalid="ignore"):
+            s = np.where(alone, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-12))
+        return pd.DataFrame({"choice": parts["choice"].iloc[0], "id": ids, "cluster_id": labels, "a": a, "b": np.where(alone, np.nan, b), "s": s})
+
+    packs = sides.groupBy("low", "high").applyInPandas(sums, "p int, at int, choice int, ids array<long>, labels array<int>, others array<int>, totals array<double>, counts array<double>")
+    return packs.groupBy("p", "at", "choice").applyInPandas(scores, "choice int, id long, cluster_id int, a double, b double, s double")
+
+
+def auto_clusters(points: DataFrame, most: int = 6, starts: int = 8, seed: int = 42, least: float = 0.10, block: int | None = None) -> tuple[DataFrame, int, float]:
     """(assigned, k, silhouette) of the k from 2 to `most` with the best mean silhouette (ties: the smallest k); one cluster if that is below `least` or points are two or fewer.
 
     The points' distances to each other are worked out once, for all k.

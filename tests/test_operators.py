@@ -414,3 +414,14 @@ def test_data_matrix_has_all_entries(spark, sf):
     for r in rows:
         sums[r["pair_id"], r["bin_id"]] += r["val"]
     assert sums == pytest.approx(roots, abs=4e-6)
+
+
+def test_silhouettes_leave_rows_of_one_id_out(spark):
+    """Rows of one id don't count for each other; copies far from zero have no distance."""
+    rows = [(0, [0.0, 0.0], 0), (0, [8.0, 0.0], 0), (1, [3.0, 4.0], 0), (2, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, cluster_id int")
+    got = {(r["id"], r["cluster_id"]): r for r in clustering.silhouettes(df).collect()}
+    assert len(got) == 3
+    assert got[0, 0]["a"] == pytest.approx((5 + 41**0.5) / 2) and got[0, 0]["b"] == pytest.approx((1 + 65**0.5) / 2)
+    far = spark.createDataFrame([(i, [1e6 + i % 3, 0.1], i % 3) for i in range(30)], "id long, x array<double>, cluster_id int")
+    assert {(r["a"], r["s"]) for r in clustering.silhouettes(far, 7).collect()} == {(0.0, 1.0)}
