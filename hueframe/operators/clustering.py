@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .statistics import robust_standardize
+from .statistics import robust_scale
 from .storage import kept
 
 
 def standardized(features: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, x): robustly standardised vectors."""
-    long = robust_standardize(features, id_col, vec_col)
-    return long.groupBy(F.col(id_col).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda v: v["z"]).alias("x"))
+    """(id, x): robustly standardised vectors. Only medians and scales, a number each for a dimension, come to the driver."""
+    long = features.select(F.posexplode(vec_col).alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+    scale = {r["dim"]: (r["median"], r["scale"]) for r in robust_scale(long).collect()}
+    middle, width = (F.array(*(F.lit(scale.get(i, (None, None))[j]).cast("double") for i in range(max(scale, default=-1) + 1))) for j in (0, 1))
+    z = F.transform(vec_col, lambda v, i: (v.cast("double") - F.get(middle, i)) / F.get(width, i))
+    return features.where(F.size(vec_col) > 0).select(F.col(id_col).alias("id"), z.alias("x"))
 
 
 def squared_distance(x: Column, centre: list[float]) -> Column:
@@ -41,7 +46,11 @@ def means(assigned: DataFrame) -> dict[int, list[float]]:
 
 def _means(assigned: DataFrame) -> dict[int, dict[int, list[float]]]:
     """Mean vectors by start and cluster: starts times k rows come back."""
-    long = assigned.select("start", "cluster_id", F.posexplode("x").alias("dim", "v")).groupBy("start", "cluster_id", "dim").agg(F.avg("v").alias("v"))
+    long = assigned.select("start", "cluster_id", F.posexplode("x").alias("dim", "v"))
+    return _collected(long.groupBy("start", "cluster_id", "dim").agg(F.avg("v").alias("v")))
+
+
+def _collected(long: DataFrame) -> dict[int, dict[int, list[float]]]:
     rows = long.groupBy("start", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda p: p["v"]).alias("c")).collect()
     out: dict[int, dict[int, list[float]]] = {}
     for r in rows:
@@ -49,6 +58,47 @@ def _means(assigned: DataFrame) -> dict[int, dict[int, list[float]]]:
     return out
 
 
+def _round(points: DataFrame, starts: dict[int, list[list[float]]]) -> dict[int, dict[int, list[float]]]:
+    """Mean vectors of the points nearest to each centre, for each start: tasks add their points up, and only their sums are shuffled.
+
+    A point that lacks a component is in the first cluster, as with `assign`, and counts for those it has.
+    """
+    centres = {s: np.array(c, np.float64) for s, c in starts.items()}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            lists = batch.column(0)
+            wide = max((len(c[0]) for c in centres.values()), default=0)
+            n = np.asarray(lists.value_lengths().fill_null(0))
+            flat = lists.flatten()
+            wide = max(wide, int(n.max(initial=0)))
+            given = np.arange(wide) < n[:, None]
+            x, there = np.zeros(given.shape), np.zeros(given.shape, bool)
+            x[given], there[given] = flat.fill_null(0.0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+            for s, c in centres.items():
+                d = np.stack([((x[:, : len(v)] - v) ** 2).sum(1) for v in c], axis=1)
+                d[np.isnan(d)] = np.inf
+                own = np.where(there.all(1) & (n == c.shape[1]), d.argmin(1), 0)
+                for i in np.unique(own):
+                    mine = own == i
+                    part = (x[mine].sum(0), there[mine].sum(0))
+                    if (s, i) in held:
+                        size = max(wide, len(held[s, i][0]))
+                        held[s, i] = [np.pad(a, (0, size - len(a))) + np.pad(b, (0, size - len(b))) for a, b in zip(held[s, i], part)]
+                    else:
+                        held[s, i] = list(part)
+        keys = list(held)
+        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([int(k[1]) for k in keys], pa.int32())]
+        columns += [pa.array([held[k][0] for k in keys], pa.list_(pa.float64())), pa.array([held[k][1] for k in keys], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["start", "cluster_id", "total", "n"])
+
+    parts = points.select(F.col("x").cast("array<double>")).mapInArrow(sums, "start int, cluster_id int, total array<double>, n array<long>")
+    each = parts.select("start", "cluster_id", F.posexplode(F.arrays_zip("total", "n")).alias("dim", "v"))
+    found = each.groupBy("start", "cluster_id", "dim").agg(F.sum("v.total").alias("t"), F.sum("v.n").alias("n")).where("n > 0")
+    return _collected(found.select("start", "cluster_id", "dim", (F.col("t") / F.col("n")).alias("v")))
+
+
 def _uniform(seed: int) -> Column:
     """A number in (0, 1] from the id and a seed."""
     return (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 1).cast("double") / float(1 << 52)
@@ -84,8 +134,7 @@ def lloyd_best(points: DataFrame, starts: list[list[list[float]]], rounds: int =
     """`lloyd` from several starts, the one of least inertia; a round is one pass over the points for all starts that still move."""
     starts, moving = list(starts), list(range(len(starts)))
     for _ in range(rounds):
-        each = F.explode(F.array(*(F.struct(F.lit(s).alias("start"), _nearest(starts[s])["cluster_id"].alias("cluster_id")) for s in moving)))
-        found = _means(points.select("x", each.alias("a")).select("x", "a.start", "a.cluster_id"))
+        found = _round(points, {s: starts[s] for s in moving})
         still = []
         for s in moving:
             new = [found.get(s, {}).get(i, c) for i, c in enumerate(starts[s])]

@@ -425,3 +425,15 @@ def test_silhouettes_leave_rows_of_one_id_out(spark):
     assert got[0, 0]["a"] == pytest.approx((5 + 41**0.5) / 2) and got[0, 0]["b"] == pytest.approx((1 + 65**0.5) / 2)
     far = spark.createDataFrame([(i, [1e6 + i % 3, 0.1], i % 3) for i in range(30)], "id long, x array<double>, cluster_id int")
     assert {(r["a"], r["s"]) for r in clustering.silhouettes(far, 7).collect()} == {(0.0, 1.0)}
+
+
+def test_means_of_a_round(spark):
+    """A round's sums shuffle a row for each task, start, cluster and dimension; its means are those of the assigned points."""
+    x = np.random.default_rng(4).normal(size=(200, 3))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    starts = {0: x[:2].tolist(), 3: x[5:8].tolist()}
+    for s, got in clustering._round(points, starts).items():
+        own = ((x[:, None] - np.array(starts[s])[None]) ** 2).sum(2).argmin(1)
+        assert all(np.allclose(got[i], x[own == i].mean(0), rtol=1e-12) for i in range(len(starts[s])))
+    some = spark.createDataFrame([(0, [5.0, 1.0, 2.0]), (1, [1.0, None, 0.0]), (2, None)], "id long, x array<double>")
+    assert clustering._round(some, {0: [[0.0, 0.0, 0.0], [5.0, 1.0, 1.0]]}) == {0: {0: [1.0, 0.0], 1: [5.0, 1.0, 2.0]}}
